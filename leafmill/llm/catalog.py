@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from leafmill.llm import bpe, sharding, token_files
+from leafmill.llm import bpe, jaccard_join, sharding, token_files
 
 QUERIES = {
     "op2_sharding": sharding.op2,
     "op3_token_files": token_files.op3,
     "op4_byte_bpe": bpe.op4,
+    "op8_jaccard_join": jaccard_join.op8,
 }
 
 ORACLES: dict[str, str] = {}
