@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from leafmill.llm import bpe, jaccard_join, sharding, token_files
+from leafmill.llm import bpe, jaccard_join, language, quality, sharding, token_files
 
 QUERIES = {
+    "op1_quality": quality.op1,
     "op2_sharding": sharding.op2,
     "op3_token_files": token_files.op3,
     "op4_byte_bpe": bpe.op4,
     "op8_jaccard_join": jaccard_join.op8,
+    "op10_language": language.op10,
 }
 
 ORACLES: dict[str, str] = {}
