@@ -27,6 +27,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafmill.llm.splitting import pretokens
 
@@ -288,7 +289,7 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: s
                 at += len(texts)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, docs[text_col].cast("string")).mapInArrow(run, f"{id_col} {kind}, ids array<int>, decoded binary")
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {kind}, ids array<int>, decoded binary")
 
 
 def encode_digests(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,7 +313,7 @@ def encode_digests(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, docs[text_col].cast("string")).mapInArrow(
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(
         run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 

@@ -154,18 +154,20 @@ def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]
 def _overlaps(docs: DataFrame, index: Index, keep: list[str], text_col: str) -> DataFrame:
     """The columns of keep and the verified overlaps of every row with the items of one index."""
     shared = docs.sparkSession.sparkContext.broadcast(index)  # at most about SLICE seeds
+    read = [*keep] if text_col in keep else [*keep, text_col]
+    at = read.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.overlaps(hashed(words(x))) for x in batch.column(len(keep)).to_pylist()]
+            found = [own.overlaps(hashed(words(x))) for x in batch.column(at).to_pylist()]
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("equal", pa.int32())]))
             rows = [[dict(zip(("item_id", "start", "words", "equal"), x, strict=True)) for x in f] for f in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(rows, kind)], names=[*keep, "_overlaps"])
 
     each = StructType([StructField("item_id", LongType())] + [StructField(n, IntegerType()) for n in ("start", "words", "equal")])
     schema = StructType([*(docs.schema[c] for c in keep), StructField("_overlaps", ArrayType(each))])
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_scan")).mapInArrow(run, schema)
+    return docs.select(*read).mapInArrow(run, schema)
 
 
 def contamination(
@@ -192,6 +194,14 @@ def contamination(
     )
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs that overlap no benchmark item, all columns as they were."""
+    cols = docs.columns
+    plain = docs.toDF(*(f"_c{n}" for n in range(len(cols))))
+    found = contamination(plain, benchmark, keep=plain.columns, text_col=f"_c{cols.index(text_col)}")
+    return found.where(~F.col("contaminated")).select(*plain.columns).toDF(*cols)
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of all documents with all benchmark items."""
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

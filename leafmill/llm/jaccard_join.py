@@ -330,6 +330,19 @@ def jaccard_classes(
     )
 
 
+def one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row of docs of each class, all columns as they were; rows without words all stay.
+
+    Rows are numbered and written first, so repeated or missing ids do not matter."""
+    spark, cols = docs.sparkSession, docs.columns
+    plain = docs.toDF(*(f"_c{n}" for n in range(len(cols)))).withColumn("_row", F.monotonically_increasing_id())
+    rows = Scratch(spark, "unique").table(plain, "rows")
+    classes = jaccard_classes(rows, id_col="_row", text_col=f"_c{cols.index(text_col)}")
+    gone = Scratch(spark, "unique").table(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_row")), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(gone) if few else gone, "_row", "left_anti").drop("_row").toDF(*cols)
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes and numbers of links of all documents."""
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

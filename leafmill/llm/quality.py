@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from leafmill.llm.sampling import crc_rest, fit_rows
 from leafmill.llm.words import hashed, mix, place
@@ -119,18 +120,26 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     """The columns of keep (id_col if None) and the score of every row."""
     kept = keep or [id_col]
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))  # fixed size, 2 MB
+    read = [*kept] if text_col in kept else [*kept, text_col]
+    at = read.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            sums = np.array([w[i] @ v for i, v in map(features, batch.column(len(kept)).to_pylist())])
+            sums = np.array([w[i] @ v for i, v in map(features, batch.column(at).to_pylist())])
             found = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, pa.float64())], names=[*kept, out])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     schema = StructType([*(docs.schema[c] for c in kept), StructField(out, DoubleType())])
-    return docs.select(*kept, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*read).mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, weights: np.ndarray, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs with a score of at least `least`, all columns as they were."""
+    cols = docs.columns
+    plain = docs.toDF(*(f"_c{n}" for n in range(len(cols))))
+    scored = score(plain, weights, text_col=f"_c{cols.index(text_col)}", keep=plain.columns, out="_score")
+    return scored.where(F.col("_score") >= least).drop("_score").toDF(*cols)
 
 
 def learning_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
