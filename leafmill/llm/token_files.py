@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -44,16 +45,30 @@ CACHE_ENTRIES = 600_000
 READ_DOCS = 50_000
 
 
+
+def _marks() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else the next from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+MARKS = _marks()
+
+
 class IdBytes:
-    """The ids of pre-tokens as packed bytes, by the tokenizers library."""
+    """The ids of pre-tokens as packed bytes, by the merge model of the tokenizers library.
+
+    A pre-token is handed to the library's model as it would be inside the whole text; special tokens'
+    strings are ordinary text."""
 
     def __init__(self, tokenizer_json: bytes, pattern: str, dtype: str, cache_entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json.decode())
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.pattern, self.dtype, self.limit = pattern, dtype, cache_entries
+        self.pack, self.sizes = struct.pack, "<%dH" if dtype == "<u2" else "<%dI"
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -62,13 +77,10 @@ class IdBytes:
         missing = list(set(chain.from_iterable(split)).difference(self.young))
         fresh = [x for x in missing if x not in self.old]
         self.young.update((x, self.old[x]) for x in missing if x in self.old)
-        for at in range(0, len(fresh), 16384):
-            part = fresh[at : at + 16384]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            flat = np.fromiter(chain.from_iterable(ids), dtype=self.dtype).tobytes()
-            width, start = np.dtype(self.dtype).itemsize, 0
-            for word, x in zip(part, ids, strict=True):
-                self.young[word] = flat[start : (start := start + width * len(x))]
+        merge, pack, size = self.tokenizer.model.tokenize, self.pack, self.sizes
+        for word in fresh:
+            ids = [x.id for x in merge(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(MARKS))]
+            self.young[word] = pack(size % len(ids), *ids)
         get = self.young.__getitem__
         out = [b"".join(map(get, words)) for words in split]
         if len(self.young) > self.limit:
