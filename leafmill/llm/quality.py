@@ -35,7 +35,8 @@ from leafmill.llm.words import hashed, mix, place
 
 BITS = 18
 FIT_ROWS = 12_000
-EPOCHS = 4
+#: Updates that fitting makes about, in 4 to 40 passes over the sample.
+UPDATES = 60_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -59,10 +60,10 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 class Follower:
     """Per-coordinate follow-the-regularised-leader state of a logistic regression."""
 
-    alpha: float = 0.5
+    alpha: float = 2.0
     beta: float = 1.0
     l1: float = 0.02
-    l2: float = 0.1
+    l2: float = 0.05
 
     def __post_init__(self):
         self.z = np.zeros((1 << BITS) + 1)
@@ -83,7 +84,7 @@ class Follower:
         self.n[index] = n + square
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarray:
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], updates: int = UPDATES) -> np.ndarray:
     """Weights from (indices, values, label) rows; the order is shuffled repeatably in each epoch."""
     labels = [r[2] for r in rows]
     if len(set(labels)) < 2:
@@ -92,7 +93,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS)
         w[0] = np.log(share / (1 - share))
         return w
     model, order = Follower(), np.random.default_rng(11)
-    for _ in range(epochs):
+    for _ in range(min(40, max(4, updates // len(rows)))):
         for k in order.permutation(len(rows)):
             model.learn(*rows[k])
     return model.weights()
