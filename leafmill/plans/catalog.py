@@ -1,10 +1,11 @@
-"""Registered queries and their SQL twins, gathered from the operator modules."""
+"""Registered queries and their SQL twins, gathered from the query modules."""
 
 from __future__ import annotations
 
-from leafmill.plans.registry import ORACLES, QUERIES
+from leafmill.plans import page_queries, unit_queries  # noqa: F401  they register their queries
+from leafmill.plans.registry import COVERS, ORACLES, QUERIES
 
 #: The query that entry() runs.
-FLAGSHIP = "document_page_split"
+FLAGSHIP = "page_fidelity_score"
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+__all__ = ["COVERS", "FLAGSHIP", "ORACLES", "QUERIES"]

@@ -10,15 +10,20 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Survey rows that each query covers.
+COVERS: dict[str, tuple[str, ...]] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register the decorated function under name; sql is its DuckDB twin, if SQL can state it."""
+def query(name: str, covers: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register the decorated function under name.
+
+    covers: ids of the survey's operator inventory; sql: the query's DuckDB twin, if SQL can state it."""
 
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
+        COVERS[name] = tuple(covers.split())
         if sql is not None:
             ORACLES[name] = sql
         return fn
