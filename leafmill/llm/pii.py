@@ -17,8 +17,8 @@ The patterns are written so that Java's matcher neither recurses by the
 length of a match nor scans a run of characters again from each of its
 places; they match the same texts as the plain ones. Positions of matches
 come from the lengths of the pieces between them. Terms are looked for only
-around entities; only the document frequencies of terms that have the support
-need all documents again, and no text is shuffled.
+around entities; only the document frequencies of terms need all documents
+again, and no text is shuffled.
 
 Defined results: a null text is an empty one and has no spans (its digest is
 that of the empty string); repeated rows are reported each, and count as
@@ -40,8 +40,6 @@ WINDOW = 60
 SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
-#: Terms up to which their document frequencies are found by a broadcast; beyond it by a shuffle.
-BROADCAST_TERMS = 200_000
 
 _LOCAL = "A-Za-z0-9._%+-"
 _LABEL = "A-Za-z0-9-"
@@ -153,25 +151,25 @@ def _surroundings(marked: DataFrame) -> DataFrame:
 
 
 def disclosures(docs: DataFrame, marked: DataFrame, near: DataFrame, scratch: Scratch, text_col: str) -> DataFrame:
-    """(entity, term, disclosure) of the pairs over GENERALISE; counts run over all documents."""
+    """(entity, term, disclosure) of the pairs over GENERALISE; counts run over all documents.
+
+    disclosure >= GENERALISE means df(t) <= df(e, t) (N / df(e)) ** (1 - GENERALISE). A term that stands near
+    entities in more documents than that allows is dropped early: no pair is lost. The frequencies of all terms are
+    summed up in each task before they move."""
+    total = float(docs.count())
     pairs = near.select("entity", "term", "uid", "around").distinct().groupBy("entity", "term").agg(
         F.countDistinct("uid").alias("both"), F.countDistinct("around").alias("support")
     )
-    pairs = scratch.table(pairs.where(F.col("support") >= SUPPORT).select("entity", "term", "both"), "pairs")
     entities = marked.select("uid", F.explode("_spans").alias("s")).select(F.xxhash64(F.col("s.kind"), F.lower("s.value")).alias("entity"), "uid").distinct()
     entities = entities.groupBy("entity").agg(F.count("*").alias("df_e"))
-    terms = pairs.select("term").distinct()
-    few = terms.limit(BROADCAST_TERMS + 1).count()
-    if few:
-        tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"\p{L}{3,}+"), F.lit(0)))
-        seen = docs.select(F.explode(tokens).alias("term")).join(F.broadcast(terms) if few <= BROADCAST_TERMS else terms, "term", "left_semi")
-        frequency = seen.groupBy("term").agg(F.count("*").alias("df_t"))
-    else:
-        frequency = terms.withColumn("df_t", F.lit(0).cast("long"))
-    total = docs.agg(F.count("*").alias("total"))
-    share = F.log(F.col("total") * F.col("both") / (F.greatest("df_t", "both") * F.col("df_e"))) / F.log(F.col("total") / F.col("df_e"))
-    scored = pairs.join(entities, "entity").join(frequency, "term").crossJoin(F.broadcast(total)).where("total > df_e")  # one row
-    return scored.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    at_least = near.select("term", "uid").distinct().groupBy("term").agg(F.count("*").alias("seen"))
+    most = F.col("both") * F.pow(F.lit(total) / F.col("df_e"), F.lit(1 - GENERALISE)) * 1.001
+    pairs = pairs.where(F.col("support") >= SUPPORT).join(entities, "entity").join(at_least, "term")
+    pairs = scratch.table(pairs.where((F.col("seen") <= most) & (F.col("df_e") < total)).select("entity", "term", "both", "df_e"), "pairs")
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"\p{L}{3,}+"), F.lit(0)))
+    frequency = docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    share = F.log(total * F.col("both") / (F.greatest("df_t", "both") * F.col("df_e"))) / F.log(total / F.col("df_e"))
+    return pairs.join(frequency, "term").select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
 def _mark(docs: DataFrame, columns: list[Column], scratch: Scratch, text_col: str) -> tuple[DataFrame, DataFrame]:
