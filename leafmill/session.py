@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that do not depend on the size of the cluster.
 DEFAULTS = {
@@ -32,3 +33,11 @@ def get_session(app: str = "leafmill", master: str | None = None, **conf: str) -
     if master or "SPARK_MASTER" in os.environ:
         builder = builder.master(master or os.environ["SPARK_MASTER"])
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed to the shared folder: cuts its lineage and survives lost executors."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='leafmill-')}")  # no cluster setting: a local run
+    return df.checkpoint(eager=True)
