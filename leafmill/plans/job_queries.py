@@ -40,13 +40,13 @@ def queue_position(spark, d):
     return jobs.queue_position(j)
 
 
-@query("job_page_keyset", "L01", f"""with {JOBS}, c as (select us, job_id from s order by us desc, job_id desc limit 1 offset 19),
+@query("job_page_keyset", "L01", f"""with {JOBS}, c as (select us, job_id from s order by us desc, job_id desc limit 1 offset 4),
 p as (select s.job_id, s.us, row_number() over (order by s.us desc, s.job_id desc) as rank, count(*) over () as n from s, c where s.us < c.us or (s.us = c.us and s.job_id < c.job_id))
-select job_id, us, rank, n > 20 as has_more from p where rank <= 20""")
+select job_id, us, rank, n > 5 as has_more from p where rank <= 5""")
 def job_page_keyset(spark, d):
     j = _jobs(spark, d).select("job_id", "us")
-    cursor = j.orderBy(F.desc("us"), F.desc("job_id")).offset(19).limit(1).first()  # the caller's cursor: one row
-    return jobs.keyset_page(j, "us", "job_id", (cursor.us, cursor.job_id) if cursor else None, 20)
+    cursor = j.orderBy(F.desc("us"), F.desc("job_id")).offset(4).limit(1).first()  # the caller's cursor: one row
+    return jobs.keyset_page(j, "us", "job_id", (cursor.us, cursor.job_id) if cursor else None, 5)
 
 
 @query("job_ttl_expired", "A18", """with e as (select *, epoch_us(ts) as us from events), l as (select user_id, max(us) as last_us, bool_or(event_type = 'purchase' and value > 200) as protected from e group by 1)
