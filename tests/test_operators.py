@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry as G
-from leafmill.functions import markup
+from leafmill.functions import markup, unicode
 from leafmill.functions import text as T
 from leafmill.functions.arrays import running_total
-from leafmill.operators import align, evaluate, fidelity, folds, gates, jobs, ladder, masking, pages, repetition, units
+from leafmill.operators import align, control, evaluate, fidelity, folds, gates, jobs, ladder, masking, pages, repetition, textlayer, units
 
 
 def column(spark, values, expr, kind="string"):
@@ -188,3 +188,57 @@ def test_pages_and_units(spark):
 @pytest.mark.parametrize("fn", [pages.explode_pages, lambda d: folds.merge_fragments(d.selectExpr("doc_id as page", "1L idx", "1L x0", "1L y0", "1L x1", "1L y1"), "page"), lambda d: masking.mask_rows(d, "doc_id")])
 def test_empty_tables(spark, fn):
     assert fn(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_text_layer(spark):
+    lines = spark.createDataFrame([(1, 1, 0, 0, 10, 10, "aa", 9.0), (1, 2, 12, 0, 20, 10, "b", 12.0), (1, 3, 0, 11, 10, 20, "cc", 12.0)], "block long, line long, x0 long, y0 long, x1 long, y1 long, text string, size double")
+    b = textlayer.text_blocks(lines.withColumn("page", F.lit(1)).withColumn("horizontal", F.lit(True))).first()
+    assert (b.text, b.size, b.x1, b.tabular) == ("aa\nb\ncc", 12.0, 20, False)
+    boxes = spark.createDataFrame([(1, 1, 0, 0, 30, 12), (1, 2, 50, 50, 60, 60)], "page long, box long, x0 long, y0 long, x1 long, y1 long")
+    rows = lines.withColumn("page", F.lit(1).cast("long"))
+    assert {r.box: r.text for r in textlayer.lines_in_boxes(boxes, rows).collect()} == {1: "aab", 2: ""}
+    assert [r.text for r in textlayer.plain_pages(rows.withColumn("block", F.col("line")), [1, 5]).orderBy("page").collect()] == ["aa\nb\ncc", None]
+    im = spark.createDataFrame([(1, 0, 0, 50, 50), (1, 0, 0, 50, 50), (1, 0, 0, 100, 100)], "page long, x0 long, y0 long, x1 long, y1 long").withColumn("width", F.lit(100)).withColumn("height", F.lit(100))
+    assert [(r.x1, r.over) for r in textlayer.figures(im).collect()] == [(0.5, False)]
+    spans = spark.createDataFrame([(1, 1, 1, "Bold ", True), (1, 1, 2, "two", True), (1, 1, 3, " rest", False), (1, 2, 1, "all", True), (1, 3, 1, "x", False)], "page long, block long, span long, text string, bold boolean")
+    assert {r.block: r.prefix for r in textlayer.leading_bold(spans).collect()} == {1: "Bold two", 2: None, 3: None}
+    c = spark.createDataFrame([(1, 0, 10.0, 0.0, 90.0), (1, 1, 40.0, 0.0, 90.0), (1, 2, 80.0, 0.0, 90.0), (2, 0, 50.0, 0.0, 90.0), (2, 1, 40.0, 0.0, 90.0)], "page long, k long, c double, lo double, hi double")
+    assert [(r.page, r.at) for r in textlayer.boundaries(c).orderBy("page", "k").collect()] == [(1, 25.0), (1, 60.0), (2, 45.0)]
+    cells = spark.createDataFrame([(1, 1, 0, 0, 100, 20)], "page long, cell long, x0 long, y0 long, x1 long, y1 long")
+    ink = spark.createDataFrame([(1, 9.0, True, 70, 2, 99, 18)], "page long, size double, bold boolean, x0 long, y0 long, x1 long, y1 long")
+    assert textlayer.cell_styles(cells, ink).first()[2:] == (9.0, "right", True)
+    chain = spark.createDataFrame([(1, k, 8 * k, 0, 8 * k + 10, 5) for k in range(6)] + [(1, 9, 500, 0, 510, 5)], "page long, idx long, x0 long, y0 long, x1 long, y1 long")
+    assert {r.idx: r.cluster for r in textlayer.clusters(chain).collect()} == {**dict.fromkeys(range(6), 0), 9: 9}
+    links = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "b")], "page long, link long, anchor string")
+    hits = spark.createDataFrame([(1, 70, "a"), (1, 80, "a")], "page long, hit long, anchor string")
+    assert {r.link: r.hit for r in textlayer.relocated_links(links, hits).collect()} == {1: 70, 2: 80, 3: None}
+
+
+def test_control(spark):
+    f = spark.createDataFrame([("/w/.staging-a/x", 10), ("/w/.staging-b/x", 95), ("/w/keep", 1)], "path string, mtime long")
+    assert [r.path for r in control.expired_staging(f, 100, 50).collect()] == ["/w/.staging-a/x"]
+    k = spark.createDataFrame([("1.1.1.1", "9.9.9.9, 8.8.8.8", True), ("1.1.1.1", "9.9.9.9", False), ("1.1.1.1", None, True)], "d string, c string, t boolean")
+    assert [r.x for r in k.select(control.client_key(F.col("d"), F.col("c"), 2, F.col("t")).alias("x")).collect()] == ["9.9.9.9", "1.1.1.1", "1.1.1.1"]
+    assert control.variant({"a": 1, "b": 2, "key": "s"}, {"a": 1}, ("key",)).startswith("b=2;key=") and len(control.variant({"key": "s"}, {}, ("key",))) == 20
+    e = spark.createDataFrame([(404, "", 1, 2), (400, "Content Policy", 1, 2), (200, "", 2, 2), (None, "", 0, 2)], "s int, b string, u int, l int")
+    assert [r.x for r in e.select(control.failure_text(*(F.col(c) for c in "sbul")).alias("x")).collect()] == ["model not found", "content policy", "output limit", "transport"]
+    pages_ = spark.createDataFrame([(j, p, "boom" if j == 2 else f"t{p}") for j in (1, 2) for p in (1, 2, 3)], "job long, page long, payload string")
+
+    def run(chunk):
+        if any(t == "boom" for _, t in chunk):
+            raise RuntimeError("bad page")
+        return [t.upper() for _, t in chunk]
+
+    got = control.Engine("test", run, control.Capabilities(chunk=2)).recognise(pages_).orderBy("job", "page").collect()
+    assert [r.raw for r in got] == ["T1", "T2", "T3", "", "", ""] and all("bad page" in r.warning for r in got[3:])
+    with pytest.raises(KeyError):
+        control.engine("none")
+    with pytest.raises(ValueError):
+        control.register(control.engine("demo"))
+    sets = list(control.until_settled(spark.createDataFrame([(k,) for k in range(6)], "k long"), lambda df: df.where("k < 3"), ["k"]))
+    assert [s.count() for s in sets] == [6, 3, 3]
+
+
+def test_exact_forms():
+    assert unicode.normalize("<b>ﬁne</b> Ⅳ \\alpha Straße_1") == "fineivαstrasse1"
+    assert unicode.for_truth("![x](y) a &amp; B <i>c</i>") == "abc"
