@@ -195,11 +195,22 @@ def contamination(
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that overlap no benchmark item, all columns as they were."""
-    cols = docs.columns
-    plain = docs.toDF(*(f"_c{n}" for n in range(len(cols))))
-    found = contamination(plain, benchmark, keep=plain.columns, text_col=f"_c{cols.index(text_col)}")
-    return found.where(~F.col("contaminated")).select(*plain.columns).toDF(*cols)
+    """The rows of docs that overlap no benchmark item, all columns as they were; only texts go to Python."""
+    for index in _slices(benchmark, "item_id", "text"):
+        docs = docs.where(~_overlapping(docs.sparkSession, index)(F.col(text_col)))
+    return docs
+
+
+def _overlapping(spark: SparkSession, index: Index):
+    shared = spark.sparkContext.broadcast(index)  # at most about SLICE seeds
+
+    @F.arrow_udf("boolean")
+    def overlapping(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = shared.value
+        for part in texts:
+            yield pa.array([bool(own.overlaps(hashed(words(x)))) for x in part.to_pylist()], pa.bool_())
+
+    return overlapping
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from leafmill.llm.sampling import crc_rest, fit_rows
 from leafmill.llm.words import hashed, mix, place
 
 BITS = 18
-FIT_ROWS = 12_000
+FIT_ROWS = 6_000
 #: Updates that fitting makes about, in 4 to 40 passes over the sample.
 UPDATES = 60_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: in
 
     sample = fit_rows(docs, labels, label_col, most, id_col, text_col).select("h", F.col(label_col).cast("int").alias("label"), "text")
     rows = sorted(sample.mapInArrow(run, "h long, label int, i binary, v binary").collect())  # at most `most` rows
-    return train([(np.frombuffer(r.i, "<i4").astype(np.int64), np.frombuffer(r.v, "<f4").astype(np.float64), r.label) for r in rows])
+    return train([(np.frombuffer(r.i, "<i4"), np.frombuffer(r.v, "<f4"), r.label) for r in rows])
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
@@ -136,11 +136,16 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs with a score of at least `least`, all columns as they were."""
-    cols = docs.columns
-    plain = docs.toDF(*(f"_c{n}" for n in range(len(cols))))
-    scored = score(plain, weights, text_col=f"_c{cols.index(text_col)}", keep=plain.columns, out="_score")
-    return scored.where(F.col("_score") >= least).drop("_score").toDF(*cols)
+    """The rows of docs with a score of at least `least`, all columns as they were; only texts go to Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
+
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        w = shared.value
+        for part in texts:
+            yield pa.array([1 / (1 + np.exp(-np.clip(w[i] @ v, -35, 35))) for i, v in map(features, part.to_pylist())], pa.float64())
+
+    return docs.where(scored(F.col(text_col)) >= least)
 
 
 def learning_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
