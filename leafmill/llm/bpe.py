@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.splitting import pretokens
+from leafmill.llm.storage import bounded_batches
 
 POS_BITS = 24
 POS_MASK = (1 << POS_BITS) - 1
@@ -273,7 +274,7 @@ def blocks(texts: list[str], limit: int = 1 << 20) -> Iterator[list[str]]:
 
 def encode_documents(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids array<int>, decoded binary) of every row."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     shared = spark.sparkContext.broadcast(vocabulary)  # the vocabulary file: bounded, about 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +295,7 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: s
 
 def encode_digests(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256): as encode_documents, but only digests leave the worker."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +321,7 @@ def encode_digests(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str
 
 def decode_documents(rows: DataFrame, vocabulary: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, decoded binary): the bytes of the ids, null ids as none; an id outside the vocabulary is an error."""
-    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = bounded_batches(rows.sparkSession).sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {rank: token for token, rank in read_ranks(shared.value).items()}

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from leafmill.llm.storage import bounded_batches
 from leafmill.llm.words import hashed, mix, place, shingles, words
 
 # The places a mask looks at; each spans 11 words and looks at 7.
@@ -153,7 +154,7 @@ def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]
 
 def _overlaps(docs: DataFrame, index: Index, keep: list[str], text_col: str) -> DataFrame:
     """The columns of keep and the verified overlaps of every row with the items of one index."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most about SLICE seeds
+    shared = bounded_batches(docs.sparkSession).sparkContext.broadcast(index)  # at most about SLICE seeds
     read = [*keep] if text_col in keep else [*keep, text_col]
     at = read.index(text_col)
 
@@ -202,7 +203,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
 
 def _overlapping(spark: SparkSession, index: Index):
-    shared = spark.sparkContext.broadcast(index)  # at most about SLICE seeds
+    shared = bounded_batches(spark).sparkContext.broadcast(index)  # at most about SLICE seeds
 
     @F.arrow_udf("boolean")
     def overlapping(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.graph import components
 from leafmill.llm.jaccard_join import Forest, _runs
-from leafmill.llm.storage import Scratch
+from leafmill.llm.storage import Scratch, bounded_batches
 
 PROJECTIONS = 48
 WIDTH = 1.2
@@ -147,7 +147,7 @@ def embedding_links(
     vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
-    spark = vectors.sparkSession
+    spark = bounded_batches(vectors.sparkSession)
     scratch, parts = Scratch(spark, "vectors"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     radius = math.sqrt(2 - 2 * threshold) + 1e-9
     half, least = WIDTH * radius, required_count()

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.graph import components
-from leafmill.llm.storage import Scratch
+from leafmill.llm.storage import Scratch, bounded_batches
 from leafmill.llm.words import hashed, shingles, words
 
 HASHES, ROWS = 128, 4
@@ -303,7 +303,7 @@ def jaccard_classes(
 
     class_id: the least id reachable over links; n_links: other documents linked directly, copies
     included; n_copies: documents of the same words, itself included."""
-    scratch = Scratch(docs.sparkSession, "jaccard")
+    scratch = Scratch(bounded_batches(docs.sparkSession), "jaccard")
     least = least_matches(threshold, tolerance)
     signed = scratch.table(_sign(docs, id_col, text_col, width), "signed")
     nodes = scratch.table(signed.where("node is not null").groupBy("node").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.sampling import crc_rest, fit_rows
+from leafmill.llm.storage import bounded_batches
 
 #: Buckets of the 1- and 2-grams, the 3-grams and the 4-grams.
 SPAN = (1 << 14, 1 << 14, 1 << 15)
@@ -135,7 +136,7 @@ def fit(docs: DataFrame, labelled: DataFrame, most: int = FIT_ROWS, lang_col: st
 
 def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)  # fixed size a language: 256 kB
+    shared = bounded_batches(docs.sparkSession).sparkContext.broadcast(matrix)  # fixed size a language: 256 kB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from leafmill.llm.sampling import crc_rest, fit_rows
+from leafmill.llm.storage import bounded_batches
 from leafmill.llm.words import hashed, mix, place
 
 BITS = 18
@@ -120,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: in
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """The columns of keep (id_col if None) and the score of every row."""
     kept = keep or [id_col]
-    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))  # fixed size, 2 MB
+    shared = bounded_batches(docs.sparkSession).sparkContext.broadcast(weights.astype(np.float64))  # fixed size, 2 MB
     read = [*kept] if text_col in kept else [*kept, text_col]
     at = read.index(text_col)
 
@@ -137,7 +138,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, weights: np.ndarray, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs with a score of at least `least`, all columns as they were; only texts go to Python."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
+    shared = bounded_batches(docs.sparkSession).sparkContext.broadcast(weights.astype(np.float64))
 
     @F.arrow_udf("double")
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -23,6 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of a batch that is handed to Python: texts may be long, and executors have little memory beside the heap.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of at most BATCH_ROWS rows from now on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage; drop() frees what is no longer read."""
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.bpe import blocks, published_pattern, vocabulary_file
 from leafmill.llm.splitting import pretokens
-from leafmill.llm.storage import Scratch, arrow_fs, local_path
+from leafmill.llm.storage import Scratch, arrow_fs, bounded_batches, local_path
 
 CACHE_ENTRIES = 600_000
 #: Documents that one reading task takes.
@@ -126,7 +126,7 @@ def write_token_files(
     docs: DataFrame, root: str, tokenizer_json: bytes, pattern: str, end_id: int, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> dict:
     """Write the data set under root and return its manifest."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     size = len(json.loads(tokenizer_json)["model"]["vocab"])
     dtype = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
     shared = spark.sparkContext.broadcast(tokenizer_json)  # the tokenizer's file: bounded, a few MB
