@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.splitting import pretokens
-from leafmill.llm.storage import bounded_batches
+from leafmill.llm.storage import bounded_batches, claim
 
 POS_BITS = 24
 POS_MASK = (1 << POS_BITS) - 1
 NONE = np.int64(1 << 62)
 BATCH_BYTES = 64
 #: Entries of each of the two generations of a worker's cache; it bounds memory, not results.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -235,6 +235,7 @@ class Encoder:
                     self.young[word] = tuple(ids)
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        claim(self, self.forget)
         out = []
         split = [pretokens(x, self.pattern) for x in texts]
         missing = list(set(chain.from_iterable(split)).difference(self.young))
@@ -246,6 +247,9 @@ class Encoder:
             self.old, self.young = self.young, {}
         return out
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0]
 

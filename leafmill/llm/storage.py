@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,17 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_held: tuple[object, Callable[[], None]] | None = None
+
+
+def claim(owner: object, clear: Callable[[], None]) -> None:
+    """Called by a Python worker's task before it uses a cache: workers outlive stages, so another operator's cache is cleared."""
+    global _held
+    if _held is not None and _held[0] is not owner:
+        _held[1]()
+    _held = (owner, clear)
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage; drop() frees what is no longer read."""
 
@@ -50,7 +62,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back: a lost executor costs a reread, not a recomputation."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", 32 << 20).parquet(path)  # less of a row group is held while it is written
         back = self.spark.read.schema(df.schema).parquet(path)
         back._leafmill_path = path
         return back

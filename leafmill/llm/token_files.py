@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.bpe import blocks, published_pattern, vocabulary_file
 from leafmill.llm.splitting import pretokens
-from leafmill.llm.storage import Scratch, arrow_fs, bounded_batches, local_path
+from leafmill.llm.storage import Scratch, arrow_fs, bounded_batches, claim, local_path
 
 CACHE_ENTRIES = 600_000
 #: Documents that one reading task takes.
@@ -72,7 +72,11 @@ class IdBytes:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        claim(self, self.forget)
         split = [pretokens(x, self.pattern) for x in texts]
         missing = list(set(chain.from_iterable(split)).difference(self.young))
         fresh = [x for x in missing if x not in self.old]

@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 
+from leafmill.llm.storage import claim
+
 WORD = re.compile(r"\w+")
 #: Entries kept of the word hashes of a worker; it bounds memory, not results.
 KEPT = 200_000
@@ -38,6 +40,7 @@ HASHES = WordHashes()
 
 
 def hashed(tokens: list[str]) -> np.ndarray:
+    claim(HASHES, HASHES.clear)
     return np.fromiter(map(HASHES.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
 
