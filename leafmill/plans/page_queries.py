@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.operators import fidelity, pages
 from leafmill.plans.registry import query, table
+from leafmill.session import spread
 
 LINES = """lines as (
   select doc_id, unnest(l) as line, generate_subscripts(l, 1)::bigint as page
@@ -16,7 +17,7 @@ SPLIT = "string_split(n, '')"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
 
 
 @query("document_page_split", "S08 X07", r"""

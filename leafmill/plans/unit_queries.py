@@ -10,10 +10,11 @@ from leafmill.functions.arrays import let
 from leafmill.operators import gates, glossary, pages, repetition, units
 from leafmill.plans.page_queries import LINES
 from leafmill.plans.registry import query, table
+from leafmill.session import spread
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
