@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.splitting import pretokens
 from leafmill.llm.storage import bounded_batches, claim
+from leafmill.session import spread
 
 POS_BITS = 24
 POS_MASK = (1 << POS_BITS) - 1
@@ -294,7 +295,7 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: s
                 at += len(texts)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {kind}, ids array<int>, decoded binary")
+    return spread(docs.select(id_col, F.col(text_col).cast("string"))).mapInArrow(run, f"{id_col} {kind}, ids array<int>, decoded binary")
 
 
 def encode_digests(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,7 +319,7 @@ def encode_digests(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(
+    return spread(docs.select(id_col, F.col(text_col).cast("string"))).mapInArrow(
         run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 

@@ -36,6 +36,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from leafmill.llm.storage import bounded_batches
 from leafmill.llm.words import hashed, mix, place, shingles, words
+from leafmill.session import spread
 
 # The places a mask looks at; each spans 11 words and looks at 7.
 MASKS = ("11101100101", "10110010111", "11010111001")
@@ -168,7 +169,7 @@ def _overlaps(docs: DataFrame, index: Index, keep: list[str], text_col: str) ->
 
     each = StructType([StructField("item_id", LongType())] + [StructField(n, IntegerType()) for n in ("start", "words", "equal")])
     schema = StructType([*(docs.schema[c] for c in keep), StructField("_overlaps", ArrayType(each))])
-    return docs.select(*read).mapInArrow(run, schema)
+    return spread(docs.select(*read)).mapInArrow(run, schema)
 
 
 def contamination(

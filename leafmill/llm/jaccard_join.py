@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.graph import components
 from leafmill.llm.storage import Scratch, bounded_batches
 from leafmill.llm.words import hashed, shingles, words
+from leafmill.session import spread
 
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
@@ -188,7 +189,7 @@ def _sign(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, node binary, sig array<long>")
+    return spread(docs.select(id_col, F.col(text_col).cast("string"))).mapInArrow(run, f"doc_id {kind}, node binary, sig array<long>")
 
 
 def _tiles(df: DataFrame, size: str, tag: str = "node", block: int = BLOCK) -> DataFrame:
@@ -335,7 +336,7 @@ def one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Rows are numbered and written first, so repeated or missing ids do not matter."""
     spark, cols = docs.sparkSession, docs.columns
-    plain = docs.toDF(*(f"_c{n}" for n in range(len(cols)))).withColumn("_row", F.monotonically_increasing_id())
+    plain = spread(docs).toDF(*(f"_c{n}" for n in range(len(cols)))).withColumn("_row", F.monotonically_increasing_id())
     rows = Scratch(spark, "unique").table(plain, "rows")
     classes = jaccard_classes(rows, id_col="_row", text_col=f"_c{cols.index(text_col)}")
     gone = Scratch(spark, "unique").table(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_row")), "gone")

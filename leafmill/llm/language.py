@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.sampling import crc_rest, fit_rows
 from leafmill.llm.storage import bounded_batches
+from leafmill.session import spread
 
 #: Buckets of the 1- and 2-grams, the 3-grams and the 4-grams.
 SPAN = (1 << 14, 1 << 14, 1 << 15)
@@ -148,7 +149,7 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")
+    return spread(docs.select(id_col, F.col(text_col).cast("string"))).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

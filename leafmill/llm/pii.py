@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.storage import Scratch
+from leafmill.session import spread
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -176,7 +177,7 @@ def _mark(docs: DataFrame, columns: list[Column], scratch: Scratch, text_col: st
     """(marked, hits): rows with a number, the given columns, the texts of rows with spans, their base spans;
     and (uid, terms) with the disclosing terms of a row, ordered."""
     text = F.coalesce(F.col("_text"), F.lit(""))
-    rows = docs.select(*columns, F.col(text_col).cast("string").alias("_text"))
+    rows = spread(docs).select(*columns, F.col(text_col).cast("string").alias("_text"))
     rows = with_spans(rows, text).withColumn("text", F.when(F.size("_spans") > 0, F.col("_text"))).drop("_text")
     marked = scratch.table(rows.withColumn("uid", F.monotonically_increasing_id()), "marked")
     near = scratch.table(_surroundings(marked.where(F.size("_spans") > 0).select("uid", "text", "_spans")), "near")

@@ -33,6 +33,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from leafmill.llm.sampling import crc_rest, fit_rows
 from leafmill.llm.storage import bounded_batches
 from leafmill.llm.words import hashed, mix, place
+from leafmill.session import spread
 
 BITS = 18
 FIT_ROWS = 6_000
@@ -133,7 +134,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, pa.float64())], names=[*kept, out])
 
     schema = StructType([*(docs.schema[c] for c in kept), StructField(out, DoubleType())])
-    return docs.select(*read).mapInArrow(run, schema)
+    return spread(docs.select(*read)).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, least: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -146,7 +147,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, least: float = 0.3, text_col
         for part in texts:
             yield pa.array([1 / (1 + np.exp(-np.clip(w[i] @ v, -35, 35))) for i, v in map(features, part.to_pylist())], pa.float64())
 
-    return docs.where(scored(F.col(text_col)) >= least)
+    return spread(docs).where(scored(F.col(text_col)) >= least)
 
 
 def learning_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
