@@ -64,3 +64,30 @@ def dag_cost(edges: DataFrame, own: DataFrame, cap: int, most: int = 64) -> Data
             break  # calls in a circle: what is left never ends
         done, left = cut(done.unionByName(now)), cut(left.join(now, "node", "left_anti"))
     return done.withColumnRenamed("total", "cost").unionByName(left.select("node", F.lit(cap).cast("long").alias("cost")))
+
+
+def flow_components(blocks: DataFrame, key: str, share: float = 0.35, gap: int = 40) -> DataFrame:
+    """(key, idx, component): blocks from top to bottom join the open component that they overlap most in width, if that is
+    a share of the narrower one and the gap is small; others open one."""
+    import pandas as pd
+
+    kind = blocks.schema[key].dataType.simpleString()
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        open_: list[list] = []
+        out = []
+        for idx, x0, y0, x1, y1 in df.sort_values(["y0", "x0", "idx"])[["idx", "x0", "y0", "x1", "y1"]].itertuples(index=False):
+            best, where = 0.0, None
+            for c, (a0, a1, low) in enumerate(open_):
+                part = (min(a1, x1) - max(a0, x0)) / max(1, min(a1 - a0, x1 - x0))
+                if part >= share and y0 - low <= gap and part > best:
+                    best, where = part, c
+            if where is None:
+                open_.append([x0, x1, y1])
+                where = len(open_) - 1
+            else:
+                open_[where] = [min(open_[where][0], x0), max(open_[where][1], x1), max(open_[where][2], y1)]
+            out.append((df[key].iloc[0], idx, where))
+        return pd.DataFrame(out, columns=[key, "idx", "component"])
+
+    return blocks.groupBy(key).applyInPandas(run, f"{key} {kind}, idx long, component long")

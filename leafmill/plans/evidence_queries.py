@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafmill.functions import markdown, markup, scalars
 from leafmill.functions import unicode as U
-from leafmill.operators import control, layout, textlayer
+from leafmill.operators import control, folds, layout, textlayer
 from leafmill.plans.layout_queries import CHANGED, OVERLAP, B, _blocks, _changed
 from leafmill.plans.registry import query, table
 from leafmill.sources import sinks
@@ -167,3 +168,37 @@ def engine_pages(spark, d):
 
     p = P.explode_pages(table(spark, d, "documents")).select(F.col("doc_id").alias("job"), "page", F.col("line").alias("payload"))
     return control.engine("demo").recognise(p)
+
+
+@query("retry_backoff", "X16", "select event_id, least(30, pow(3, event_id % 6))::bigint as seconds from events")
+def retry_backoff(spark, d):
+    return table(spark, d, "events").select("event_id", scalars.backoff(F.col("event_id") % 6).alias("seconds"))
+
+
+FONTS = ("NotoSans-Bold", "Times New Roman", "Batang", "DejaVuSansMono", "Helvetica-Black", "Unknown")
+
+
+@query("font_styles", "P21 X17 X15", f"""with f as (select p_partkey, (p_partkey % 64)::int as flags, case p_partkey % 6 {' '.join(f"when {k} then '{n}'" for k, n in enumerate(FONTS))} end as name from part)
+select p_partkey, (flags & 16) <> 0 or regexp_matches(lower(name), 'bold|black|heavy') as bold, case when regexp_matches(lower(name), 'sans|gothic|arial|helvet|dotum') then 'sans' when regexp_matches(lower(name), 'serif|times|roman|batang|myeongjo|mincho') then 'serif' end as style,
+  case when p_partkey * 74 + 1 < 1024 then (p_partkey * 74 + 1) || ' B' else printf('%.1f', (p_partkey * 74 + 1) / 1024) || ' KB' end as label from f""")
+def font_styles(spark, d):
+    name = F.element_at(F.array(*(F.lit(n) for n in FONTS)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", scalars.is_bold((F.col("p_partkey") % 64).cast("int"), name).alias("bold"), scalars.font_style(name).alias("style"), scalars.size_label(F.col("p_partkey") * 74 + 1).alias("label"))
+
+
+@query("markdown_blocks", "S10")
+def markdown_blocks(spark, d):
+    """(doc_id, i, kind, start, stop, level) of every document behind a heading, a list, a fence and a table."""
+    head = F.lit("# Title\n\n- a\n- b\n\n```\nx\n\ny\n```\n| a | b |\n|---|---|\n| 1 | 2 |\n\n")
+    b = table(spark, d, "documents").select("doc_id", F.explode(markup.as_udf(markdown.page_blocks, markdown.BLOCKS)(F.concat(head, "text"))).alias("b"))
+    return b.select("doc_id", "b.i", "b.kind", "b.start", "b.stop", "b.level")
+
+
+@query("markdown_html", "K07 K08")
+def markdown_html(spark, d):
+    return table(spark, d, "documents").select("doc_id", markup.as_udf(markdown.to_html, "string")(F.concat(F.lit("# T <b>\n\n"), "text")).alias("html"))
+
+
+@query("flow_components", "W12")
+def flow_components(spark, d):
+    return folds.flow_components(_blocks(spark, d).select(F.floor(F.col("page") / 20).alias("page"), (F.col("page") % 20 * 100 + F.col("idx")).alias("idx"), *BOX), "page")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry as G
-from leafmill.functions import markup, unicode
+from leafmill.functions import markdown, markup, unicode
 from leafmill.functions import text as T
 from leafmill.functions.arrays import running_total
 from leafmill.operators import align, control, evaluate, fidelity, folds, gates, jobs, ladder, masking, pages, repetition, textlayer, units
@@ -242,3 +242,23 @@ def test_control(spark):
 def test_exact_forms():
     assert unicode.normalize("<b>ﬁne</b> Ⅳ \\alpha Straße_1") == "fineivαstrasse1"
     assert unicode.for_truth("![x](y) a &amp; B <i>c</i>") == "abc"
+
+
+def test_markdown_blocks_cover_every_line():
+    rng = random.Random(9)
+    parts = ["# h", "", "text", "- item", "> q", "```", "~~~", "| a | b |", "|---|---|", "<div>", "---", "  ", "1. x", "<table><tr><td>x"]
+    for _ in range(300):
+        text = "\n".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        blocks, lines = markdown.page_blocks(text), text.split("\n")
+        seen = [k for b in blocks for k in range(b["start"], b["stop"])]
+        assert seen == sorted(set(seen)) and all(not lines[k].strip() for k in set(range(len(lines))) - set(seen))
+        out = markdown.to_html(text)
+        assert "<div>" not in out and out.count("<table") == out.count("</table")
+    assert markdown.to_html("# A *b* <i>\n\nx `a<b` **c**") == "<h1>A <em>b</em> &lt;i&gt;</h1>\n<p>x <code>a&lt;b</code> <strong>c</strong></p>"
+    assert [b["kind"] for b in markdown.page_blocks("a\nb\n# c\n- d\n  e\n\n```\n\n```\nf")] == ["paragraph", "heading", "list", "fence", "paragraph"]
+
+
+def test_flow_components(spark):
+    rows = [(1, 1, 0, 0, 100, 10), (1, 2, 0, 20, 90, 30), (1, 3, 200, 0, 300, 10), (1, 4, 0, 200, 100, 210), (1, 5, 210, 20, 290, 30)]
+    got = folds.flow_components(spark.createDataFrame(rows, "page long, idx long, x0 long, y0 long, x1 long, y1 long"), "page")
+    assert {r.idx: r.component for r in got.collect()} == {1: 0, 2: 0, 3: 1, 4: 2, 5: 1}
