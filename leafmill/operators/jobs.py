@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.session import global_rank
+
 
 def latest_state(events: DataFrame, key: str, order: list[str], *cols: str) -> DataFrame:
     """Last event of each key wins."""
@@ -12,11 +14,8 @@ def latest_state(events: DataFrame, key: str, order: list[str], *cols: str) -> D
 
 
 def queue_position(jobs: DataFrame, status: str = "status", seq: str = "submit_seq", inserted: str = "job_id") -> DataFrame:
-    """Adds position: 1-based among queued jobs by submit sequence (missing last), then insertion; null for others.
-
-    Only queued jobs are ranked, so the single ordered partition holds the queue, not the history."""
-    w = Window.orderBy(F.col(seq).asc_nulls_last(), inserted)
-    queued = jobs.where(F.col(status) == "queued").withColumn("position", F.row_number().over(w).cast("long"))
+    """Adds position: 1-based among queued jobs by submit sequence (missing last), then insertion; null for others."""
+    queued = global_rank(jobs.where(F.col(status) == "queued"), [F.col(seq).asc_nulls_last(), F.col(inserted)], "position")
     return queued.unionByName(jobs.where(~F.col(status).eqNullSafe("queued")).withColumn("position", F.lit(None).cast("long")))
 
 

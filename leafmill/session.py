@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Settings that do not depend on the size of the cluster.
 DEFAULTS = {
@@ -44,6 +45,26 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores if its input has fewer splits than there are, as one large row group has; else as it is."""
+    """df dealt over all cores if it is a scan of fewer splits than there are, as of one large row group; else as it is.
+
+    Only plans without an exchange or a cache are looked at: to count the partitions of others would run them."""
+    plan = df._jdf.queryExecution()
+    text = plan.executedPlan().toString()
+    if "Exchange" in text or "InMemory" in text:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the 1-based rank over the whole of df without one task seeing all of it: ranges of the order are numbered
+    on their own, from the counts of the ranges before. What reaches the driver is a count to a range."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    base, total = [], 0
+    for row in ranged.groupBy("_range").count().orderBy("_range").collect():
+        base.append((row["_range"], total))
+        total += row["count"]
+    bases = df.sparkSession.createDataFrame(base, "_range int, _base long")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_own", own).join(F.broadcast(bases), "_range").withColumn(name, F.col("_base") + F.col("_own")).drop("_range", "_own", "_base")
