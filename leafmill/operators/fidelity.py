@@ -31,12 +31,22 @@ def inflation(truth_len: Column, cand_len: Column) -> Column:
 
 
 def page_fidelity(pairs: DataFrame, key: list[str], truth_col: str, cand_col: str, least: int = LEAST_TRUTH) -> DataFrame:
-    """(key, truth_chars, cand_chars, score): score is null where the truth is too short to measure."""
-    norm = pairs.select(*key, normalize_latin(F.coalesce(F.col(truth_col), F.lit(""))).alias("t"), normalize_latin(F.coalesce(F.col(cand_col), F.lit(""))).alias("c"))
-    cover = containment(norm.select(*key, F.col("t").alias("text")), norm.select(*key, F.col("c").alias("text")), key)
-    lens = norm.select(*key, F.length("t").cast("long").alias("truth_chars"), F.length("c").cast("long").alias("cand_chars"))
-    value = F.coalesce("containment", F.lit(1.0)) * inflation(F.col("truth_chars"), F.col("cand_chars"))
-    return lens.join(cover, key, "left").select(*key, "truth_chars", "cand_chars", F.when(F.col("truth_chars") >= least, F.round(value, 6)).alias("score"))
+    """(key, truth_chars, cand_chars, score): score is null where the truth is too short to measure.
+
+    Lengths travel with the bigrams, so the texts are read once for each side and nothing is joined."""
+
+    def side(col: str, truth: bool) -> DataFrame:
+        text = normalize_latin(F.coalesce(F.col(col), F.lit("")))
+        grams = pairs.select(*key, text.alias("x")).select(*key, F.length("x").cast("long").alias("n"), F.explode_outer(char_bigrams(F.col("x"))).alias("gram"))
+        one, none = F.when(F.col("gram").isNotNull(), 1).otherwise(0), F.lit(0)
+        return grams.select(*key, "gram", (one if truth else none).alias("t"), (none if truth else one).alias("c"), F.when(F.lit(truth), F.col("n")).alias("tn"), F.when(F.lit(not truth), F.col("n")).alias("cn"))
+
+    both = side(truth_col, True).unionByName(side(cand_col, False))
+    counts = both.groupBy(*key, "gram").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.max("tn").alias("tn"), F.max("cn").alias("cn"))
+    g = counts.groupBy(*key).agg(F.sum(F.least("t", "c")).alias("shared"), F.sum("t").alias("total"), F.max("tn").alias("truth_chars"), F.max("cn").alias("cand_chars"))
+    cover = F.when(F.col("total") > 0, F.col("shared") / F.col("total")).otherwise(1.0)
+    value = cover * inflation(F.col("truth_chars"), F.col("cand_chars"))
+    return g.select(*key, "truth_chars", "cand_chars", F.when(F.col("truth_chars") >= least, F.round(value, 6)).alias("score"))
 
 
 def untrusted_reason(raw: Column) -> Column:

@@ -59,6 +59,8 @@ def test_fidelity(spark):
     df = spark.createDataFrame(rows, "k long, t string, c string")
     got = {r.k: r.score for r in fidelity.page_fidelity(df, ["k"], "t", "c").collect()}
     assert got == {1: 1.0, 2: 0.65, 3: None, 4: 0.0, 5: None}
+    a, b = spark.createDataFrame([(1, "abab"), (2, "")], "k long, text string"), spark.createDataFrame([(1, "abxab"), (2, "zz")], "k long, text string")
+    assert {r.k: (r.shared, r.total) for r in fidelity.containment(a, b, ["k"]).collect()} == {1: (2, 3), 2: (0, 0)}
     p = spark.createDataFrame([(1, k, s, lost) for k, (s, lost) in enumerate([(0.1, False), (0.2, True), (0.9, False), (None, False), (0.3, False)])], "doc_id long, page long, score double, lost boolean")
     assert [r.decision for r in fidelity.decisions(p, 0.1).orderBy("page").collect()] == ["retry", "retry", "kept", "unmeasurable", "skipped"]
 
