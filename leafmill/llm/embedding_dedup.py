@@ -206,12 +206,14 @@ def embedding_links(
     found = scratch.table(found, "found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     merged = components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")), scratch)
-    classes = merged.join(nodes.select("node", "rep"), "node")
-    least_id = classes.groupBy("component").agg(F.min("rep").alias("low"))
+    # what is joined back is written first: then both sides are shuffled, and a hot component or vector can be split
+    classes = scratch.table(merged.join(nodes.select("node", "rep"), "node"), "classes")
+    least_id = scratch.table(classes.groupBy("component").agg(F.min("rep").alias("low")), "least")
     home = classes.join(least_id, "component").select("node", "low")
     facts = nodes.select("node", "rep", "n").join(links, "node", "left").join(home, "node", "left").select(
         "node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("low", "rep").alias("component_id")
     )
+    facts = scratch.table(facts, "facts")
     return named.select("vec_id", "node").join(facts, "node", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col("vec_id")).cast("long").alias("component_id"),
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

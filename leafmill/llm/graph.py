@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from leafmill.llm.storage import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each larger neighbour of a node goes to the least node of its neighbourhood."""
+def _large_star(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Each larger neighbour of a node goes to the least node of its neighbourhood; with the table of least nodes.
+
+    The least nodes are written before they are joined: so both sides of the join are shuffled on their own, and
+    adaptive execution can split the edges of a node that most others hang on."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = scratch.table(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
+    moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return moved, least
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -29,7 +33,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _print(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") / 2**20), F.bit_xor(F.xxhash64("u", "v"))).first()
+    """What a set of edges is recognised by, whatever the order of its rows."""
+    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
     return tuple(row)
 
 
@@ -43,8 +48,9 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     for _ in range(most):
         if not seen[0]:
             break
-        nxt = scratch.table(_small_star(_large_star(now)).distinct(), "edges")
-        scratch.drop(now)
+        moved, least = _large_star(now, scratch)
+        nxt = scratch.table(_small_star(moved).distinct(), "edges")
+        scratch.drop(now, least)
         now, was, seen = nxt, seen, _print(nxt)
         if was == seen:
             break

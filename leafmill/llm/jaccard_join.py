@@ -205,7 +205,8 @@ def _candidate_forest(nodes: DataFrame, least: list[int], scratch: Scratch, bloc
     """Edges (u, v) that connect all pairs of nodes which share a band and survive."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bands = nodes.select("node", F.posexplode("sig").alias("band", "value"))
-    met = bands.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    # counts that are joined back are written first: then both sides of the join are shuffled, and a hot key can be split
+    met = scratch.table(bands.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"), "met")
     members = scratch.table(bands.join(met, ["band", "value"]), "members")
     small = members.where(F.col("n") <= block).select(F.col("band").cast("long").alias("g"), F.col("value").alias("h"), "node", "n")
     hot = members.where(F.col("n") > block).select("node", F.xxhash64("band", "value").alias("key"))
@@ -216,7 +217,7 @@ def _candidate_forest(nodes: DataFrame, least: list[int], scratch: Scratch, bloc
         merged = components(links, scratch).withColumnRenamed("node", "v")
         homes = firsts.join(merged, "v", "left").select("node", F.coalesce("component", "v").alias("h"))
         homes = scratch.table(homes, "homes")
-        sizes = homes.groupBy("h").agg(F.count("*").alias("n"))
+        sizes = scratch.table(homes.groupBy("h").agg(F.count("*").alias("n")), "group-sizes")
         found = found.unionByName(_tiles(homes.join(sizes, "h"), "n", block=block).select(F.lit(-1).cast("long").alias("g"), "h", "node", "b", "i", "j"))
     ready = found.join(nodes.select("node", "sig"), "node").select("g", "h", "i", "j", "b", "node", "sig")
 
@@ -310,7 +311,7 @@ def jaccard_classes(
     nodes = scratch.table(signed.where("node is not null").groupBy("node").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
     edges = scratch.table(_candidate_forest(nodes, least, scratch, block), "candidates")
     comps = components(edges, scratch).withColumnRenamed("component", "home")
-    sizes = comps.groupBy("home").agg(F.count("*").alias("size"))
+    sizes = scratch.table(comps.groupBy("home").agg(F.count("*").alias("size")), "sizes")
     homes = scratch.table(comps.join(sizes, "home").join(nodes.select("node", "rep", "n"), "node"), "homes")
     sets = _shingle_sets(docs, signed, homes, id_col, text_col, width)
     checked = scratch.table(_verify(homes, sets, threshold, block), "checked")
@@ -319,12 +320,13 @@ def jaccard_classes(
     if not tiled.isEmpty():
         merged = components(tiled, scratch)
         links = links.join(merged, "node", "left").select("node", "links", F.coalesce("component", "root").alias("root"))
-    linked = links.join(homes.select("node", "rep"), "node")
-    classes = linked.groupBy("root").agg(F.min("rep").alias("class_rep"))
-    final = scratch.table(linked.join(classes, "root").select("node", "links", "class_rep"), "linked")
+    linked = scratch.table(links.join(homes.select("node", "rep"), "node"), "linked")
+    classes = scratch.table(linked.groupBy("root").agg(F.min("rep").alias("class_rep")), "classes")
+    final = linked.join(classes, "root").select("node", "links", "class_rep")
     facts = nodes.select("node", "rep", "n").join(final, "node", "left").select(
         "node", F.col("n").alias("n_copies"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("class_rep", "rep").alias("class_rep")
     )
+    facts = scratch.table(facts, "facts")
     return signed.select("doc_id", "node").join(facts, "node", "left").select(
         "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_rep")).alias("class_id"),
         F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
