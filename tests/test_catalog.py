@@ -14,7 +14,7 @@ from leafmill.plans.catalog import COVERS, ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 #: Queries whose case the smallest tables may not hold.
-RARE = ("degenerate_output_groups", "unregistered_pages", "repeated_line_runs", "benchmark_contamination_echo")
+RARE = ("degenerate_output_groups", "explained_losses", "unregistered_pages", "repeated_line_runs", "benchmark_contamination_echo")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
