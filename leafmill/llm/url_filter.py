@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmill.llm.storage import Scratch
+
 #: About 10 MB of patterns and dates.
 BROADCAST_ENTRIES = 100_000
 
@@ -69,6 +71,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame, keep: list[str], ur
     active = asked.join(valid, "pattern").where("valid_from <= at and (valid_to is null or at < valid_to)")
     best = F.max(F.struct(F.length("pattern").alias("n"), "pattern", "action", "valid_from"))
     verdicts = active.groupBy("host", "segment", "at").agg(best.alias("best"))
+    # written, so that both sides of the join back are shuffled and the copies of a hot capture can be split
+    verdicts = Scratch(captures.sparkSession, "urls").table(verdicts, "verdicts")
     judged = rows.join(verdicts, ["host", "segment", "at"], "left")
     return judged.select(
         *(F.col(f"_k{n}").alias(c) for n, c in enumerate(keep)), "host", F.coalesce("best.action", F.lit("none")).alias("verdict"),
