@@ -226,13 +226,18 @@ def _candidate_forest(nodes: DataFrame, least: list[int], scratch: Scratch, bloc
         for (_, _, i, j), rows in _runs(batches, 4):
             if len(rows) < 2:
                 continue
+            rows.sort(key=lambda r: r[1])
             b = np.array([r[0] for r in rows])
             sig = np.array([r[2] for r in rows], dtype=np.int64).view(np.uint16)
             spots = np.arange(len(rows))
             left, right = (spots, spots) if i == j else (spots[b == i], spots[b == j])
+            forest = Forest(len(rows))
             for x, y in surviving_forest(sig, left, right, least):
-                us.append(rows[x][1])
-                vs.append(rows[y][1])
+                forest.join(x, y)
+            for x in range(len(rows)):  # each on the least of its tree: no node has many smaller neighbours
+                if (y := forest.find(x)) != x:
+                    us.append(rows[x][1])
+                    vs.append(rows[y][1])
             if len(us) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
                 us, vs = [], []
