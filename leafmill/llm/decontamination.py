@@ -1,9 +1,12 @@
 """Operator 9: benchmark decontamination with spaced seeds.
 
-Fixed masks (MASKS) look at some of the words under them and ignore the
-others, so a window with substituted words still shares a seed. The seeds of
-all benchmark items form a table; every window of every document is looked up
-in it under every mask. Around each hit the document and the item are laid
+Fixed masks look at some of the words under them and ignore the others, so a
+window with substituted words still shares a seed. They are chosen together:
+whichever words of an overlap that counts (see below) are substituted, some
+mask looks at equal words only somewhere inside it. MASKS hit every stretch of
+MIN_WORDS words or more, SHORT_MASKS every shorter item; the tests go through
+all placements. The seeds of all benchmark items form a table; every window of
+every document is looked up in it under every mask. Around each hit the document and the item are laid
 over each other on that diagonal, and the overlap is verified word by word:
 a document is contaminated by an item if some stretch of the diagonal of at
 least MIN_WORDS words (or the whole item, if it is shorter) starts and ends
@@ -14,8 +17,8 @@ The seed table is sent to the executors in slices of at most SLICE seeds, so
 what is broadcast stays bounded whatever the benchmark's size; one slice is
 the rule. Documents are read once for each slice and are never shuffled.
 
-Items of fewer words than a mask spans are looked up whole; items of fewer
-than SHORTEST words are left out, as they would match ordinary text.
+Items of fewer than SHORTEST words are left out, as they would match ordinary
+text.
 
 Defined results: null and wordless documents are clean; null items are left
 out; an empty benchmark leaves all documents clean; repeated rows are judged
@@ -35,11 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from leafmill.llm.storage import bounded_batches
-from leafmill.llm.words import hashed, mix, place, shingles, words
+from leafmill.llm.words import hashed, mix, place, words
 from leafmill.session import spread
 
-# The places a mask looks at; each spans 11 words and looks at 7.
-MASKS = ("11101100101", "10110010111", "11010111001")
+# The places a mask looks at, in items of MIN_WORDS words or more and in shorter ones.
+MASKS = ("1101111", "1100010111", "11011000011", "1111101")
+SHORT_MASKS = ("1111", "11011", "10111", "11101", "1110111")
 MIN_WORDS = 13
 IDENTITY = 0.8
 SHORTEST = 5
@@ -65,7 +69,7 @@ class Index:
 
     items: list[np.ndarray]
     ids: list[int]
-    kinds: list[str | int]
+    masks: list[str]
     tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @staticmethod
@@ -76,33 +80,33 @@ class Index:
             if len(h) >= SHORTEST:
                 items.append(h)
                 ids.append(key)
-        span = len(MASKS[0])
-        kinds: list[str | int] = [*MASKS, *sorted({len(h) for h in items if len(h) < span})]
-        tables = []
-        for kind in kinds:
-            found = [(k, seeds(h, kind) if isinstance(kind, str) else shingles(h, kind)) for k, h in enumerate(items) if isinstance(kind, str) or len(h) == kind]
-            s = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.uint64)
-            item = np.concatenate([np.full(len(x), k) for k, x in found]) if found else np.zeros(0, np.int64)
-            at = np.concatenate([np.arange(len(x)) for _, x in found]) if found else np.zeros(0, np.int64)
+        masks, tables = [], []
+        for mask, short in [(m, False) for m in MASKS] + [(m, True) for m in SHORT_MASKS]:
+            found = [(k, seeds(h, mask)) for k, h in enumerate(items) if (len(h) < MIN_WORDS) == short]
+            if not found:
+                continue
+            s = np.concatenate([x for _, x in found])
+            item = np.concatenate([np.full(len(x), k) for k, x in found])
+            at = np.concatenate([np.arange(len(x)) for _, x in found])
             order = np.argsort(s, kind="stable")
             s = s[order]
             there = np.zeros(1 << _BITS, dtype=bool)
             there[s >> np.uint64(64 - _BITS)] = True
+            masks.append(mask)
             tables.append((s, item[order].astype(np.int64), at[order].astype(np.int64), there))
-        return Index(items, ids, kinds, tables)
+        return Index(items, ids, masks, tables)
 
     def hits(self, h: np.ndarray) -> dict[tuple[int, int], list[int]]:
         """Document positions of the hits by (item, diagonal)."""
         out: dict[tuple[int, int], list[int]] = {}
-        for kind, (s, item, at, there) in zip(self.kinds, self.tables, strict=True):
-            if isinstance(kind, str):
-                own = seeds(h, kind)
-            else:
-                own = shingles(h, kind) if len(h) >= kind else np.zeros(0, np.uint64)
-            for p in np.flatnonzero(there[own >> np.uint64(64 - _BITS)]):
-                lo, hi = np.searchsorted(s, own[p], "left"), np.searchsorted(s, own[p], "right")
-                for q in range(lo, hi):
-                    out.setdefault((int(item[q]), int(p - at[q])), []).append(int(p))
+        for mask, (s, item, at, there) in zip(self.masks, self.tables, strict=True):
+            own = seeds(h, mask)
+            where = np.flatnonzero(there[own >> np.uint64(64 - _BITS)])
+            lo, hi = np.searchsorted(s, own[where], "left"), np.searchsorted(s, own[where], "right")
+            for k in np.flatnonzero(lo < hi):
+                p = int(where[k])
+                for q in range(lo[k], hi[k]):
+                    out.setdefault((int(item[q]), int(p - at[q])), []).append(p)
         return out
 
     def overlaps(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -112,7 +116,10 @@ class Index:
             w = self.items[item]
             a, b = max(0, shift), min(len(h), shift + len(w))
             same = h[a:b] == w[a - shift : b - shift]
-            found = longest(same, min(MIN_WORDS, len(w)), [p - a for p in where])
+            least = min(MIN_WORDS, len(w))
+            if np.count_nonzero(same) < IDENTITY * least - 1e-9:
+                continue
+            found = longest(same, least, [p - a for p in where])
             if found and (item not in best or found[1] > best[item][1]):
                 best[item] = (found[0] + a, found[1], found[2])
         return sorted((self.ids[k], *v) for k, v in best.items())
@@ -145,7 +152,7 @@ def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]
     texts = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     for key, text in texts.toLocalIterator():
         rows.append((key, text))
-        size += len(MASKS) * (text.count(" ") + 1)
+        size += max(len(MASKS), len(SHORT_MASKS)) * (text.count(" ") + 1)
         if size >= SLICE:
             yield Index.build(rows)
             rows, size = [], 0

@@ -1,5 +1,6 @@
 """Operators 7, 8 and 9: links between texts and vectors, overlaps with a benchmark."""
 
+import itertools
 import random
 from fractions import Fraction
 
@@ -165,6 +166,36 @@ def test_planted_passages_are_found_and_others_are_not(spark):
     assert decontamination.contamination(df, bench(spark, [])).where("contaminated").count() == 0
 
 
+def evading(masks, n):
+    """Least number of n words to substitute so that no mask finds equal words only."""
+    span = max(map(len, masks))
+    least = {(): 0}  # by the last span words, True for equal ones
+    for _ in range(n):
+        grown = {}
+        for last, cost in least.items():
+            for same in (True, False):
+                now = (*last, same)[-span:]
+                if not any(len(m) <= len(now) and all(x for x, c in zip(now[-len(m) :], m, strict=True) if c == "1") for m in masks):
+                    grown[now] = min(cost + (not same), grown.get(now, n))
+        least = grown
+    return min(least.values())
+
+
+def test_masks_hit_every_overlap_that_counts():
+    # Longer stretches fall into parts of 13 to 25 words, of which one has a fifth of its words substituted at most.
+    assert all(evading(decontamination.MASKS, n) > n // 5 for n in range(decontamination.MIN_WORDS, 2 * decontamination.MIN_WORDS))
+    assert all(evading(decontamination.SHORT_MASKS, n) > n // 5 for n in range(decontamination.SHORTEST, decontamination.MIN_WORDS))
+
+
+@pytest.mark.parametrize("n", [5, 9, 10, 12, 13, 15, 16, 20])
+def test_every_placement_of_substitutions_is_found(n):
+    item = [f"w{k}" for k in range(n)]
+    index = decontamination.Index.build([(1, " ".join(item))])
+    for places in itertools.combinations(range(1, n - 1), n // 5):
+        text = spoil(" ".join(item), places)
+        assert index.overlaps(hashed(words("before " + text + " after"))) == [(1, 1, n, n - n // 5)], places
+
+
 def test_slices_of_the_index_give_the_same(spark, docs, monkeypatch):
     items = bench(spark, [(k, r.text) for k, r in enumerate(docs.where(F.col("doc_id").between(100, 104)).select("text").collect())])
     want = sorted(map(str, decontamination.contamination(docs, items).collect()))
