@@ -1,24 +1,27 @@
 """Operator 6: personal data, with information-theoretic sanitisation. DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers, found by
-fixed patterns. Each distinct value is a protected entity. Words near an
-entity can give it away: over all documents, with N documents, df(t) holding
-term t, df(e) entity e, and df(e, t) t within WINDOW characters of e,
+fixed patterns. Each distinct value is a protected entity. Words that share
+documents with an entity can give it away: over all documents, with N
+documents, df(t) holding term t, df(e) entity e, and df(e, t) both, at any
+distance,
 
     disclosure(t, e) = PMI(t; e) / IC(e) = log(N df(e,t) / (df(t) df(e))) / log(N / df(e)),
 
 the share of the entity's information that the term carries. A pair is judged
 only if it has been seen in at least SUPPORT different surroundings, as
-copies of one passage are no evidence. Terms over GENERALISE are replaced by
-a general mark where they stand near the entity, terms over REMOVE are
+copies of one passage are no evidence: the term within WINDOW characters of
+so many mentions that read differently, or both in so many documents whose
+mentions do. Terms over GENERALISE are replaced by a general mark wherever
+they stand in a document that holds the entity, terms over REMOVE are
 removed. Base spans always stay.
 
 The patterns are written so that Java's matcher neither recurses by the
 length of a match nor scans a run of characters again from each of its
 places; they match the same texts as the plain ones. Positions of matches
-come from the lengths of the pieces between them. Terms are looked for only
-around entities; only the document frequencies of terms need all documents
-again, and no text is shuffled.
+come from the lengths of the pieces between them. Terms are looked for in the
+documents that hold an entity of enough surroundings, which are moved once to
+meet it; only the document frequencies of terms need all documents again.
 
 Defined results: a null text is an empty one and has no spans (its digest is
 that of the empty string); repeated rows are reported each, and count as
@@ -29,7 +32,9 @@ passed through by sanitise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.storage import Scratch
@@ -129,44 +134,89 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _surroundings(marked: DataFrame) -> DataFrame:
-    """(uid, entity, around, term, start, end) of the words near each base span; marked: uid, text, _spans.
+def _windows(marked: DataFrame) -> DataFrame:
+    """(uid, _spans, entity, low, around, last) of each base span; marked: uid, text, _spans.
 
-    Words that touch a base span or are cut by the window are left out."""
+    around: the text within WINDOW characters, from low on; last: whether it reaches the end of the text."""
     each = marked.select("uid", "_spans", "text", F.explode("_spans").alias("s"))
     low = F.greatest(F.col("s.start") - WINDOW, F.lit(0))
-    each = each.select(
+    return each.select(
         "uid", "_spans", F.xxhash64(F.col("s.kind"), F.lower("s.value")).alias("entity"), low.alias("low"),
         F.expr(f"substring(text, greatest(s.start - {WINDOW}, 0) + 1, s.end - greatest(s.start - {WINDOW}, 0) + {WINDOW})").alias("around"),
+        (F.col("s.end") + WINDOW >= F.length("text")).alias("last"),
     )
-    each = each.withColumn("words", F.regexp_extract_all("around", F.lit(WORD), F.lit(0)))
+
+
+def _free(start: Column, end: Column) -> Column:
+    """Whether no base span is touched."""
+    return ~F.exists("_spans", lambda s: (s["start"] < end) & (start < s["end"]))
+
+
+def _surroundings(windows: DataFrame) -> DataFrame:
+    """(entity, around, term) of the words in each window, without repetition.
+
+    Words that touch a base span or are cut by the window are left out."""
+    each = windows.withColumn("words", F.regexp_extract_all("around", F.lit(WORD), F.lit(0)))
     each = each.withColumn("words", located(F.col("around"), WORD, F.col("words"), len(KINDS)))
-    whole = F.length("around")
-    each = each.withColumn("w", F.explode("words")).select(
-        "uid", "_spans", "entity", F.xxhash64("around").alias("around"), F.lower("w.value").alias("term"),
-        (F.col("low") + F.col("w.start")).alias("start"), (F.col("low") + F.col("w.end")).alias("end"), F.col("w.start").alias("a"), F.col("w.end").alias("b"), whole.alias("n"), "low",
-    )
-    inside = ((F.col("a") > 0) | (F.col("low") == 0)) & (F.col("b") < F.col("n"))
-    free = ~F.exists("_spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    return each.where(inside & free).select("uid", "entity", "around", "term", "start", "end")
+    each = each.withColumn("w", F.explode("words"))
+    inside = ((F.col("w.start") > 0) | (F.col("low") == 0)) & ((F.col("w.end") < F.length("around")) | F.col("last"))
+    free = _free(F.col("low") + F.col("w.start"), F.col("low") + F.col("w.end"))
+    return each.where(inside & free).select("entity", F.xxhash64("around").alias("around"), F.lower("w.value").alias("term")).distinct()
+
+
+def _terms(text: Column, spans: Column) -> Column:
+    """The distinct lower-case words of a text that touch no base span."""
+    word = r"^[\p{L}\p{N}_]"
 
+    def mark(s: Column) -> Column:  # a word next to a span stays one only if it was
+        edges = [F.when(F.rlike(c, F.lit(word)), "_").otherwise(" ") for c in (F.substring(s["value"], 1, 1), F.right(s["value"], F.lit(1)))]
+        return F.concat(edges[0], F.lit(" "), edges[1])
 
-def disclosures(docs: DataFrame, marked: DataFrame, near: DataFrame, scratch: Scratch, text_col: str) -> DataFrame:
+    return F.array_distinct(F.regexp_extract_all(F.lower(replaced(text, spans, mark)), F.lit(WORD), F.lit(0)))
+
+
+def _words(marked: DataFrame) -> DataFrame:
+    """(uid, term, start, end) of every word of the texts, by running totals of the lengths of the pieces between them."""
+    pieces = F.transform(F.split("text", WORD, -1), lambda x: F.length(x))
+    each = marked.select("uid", F.posexplode(F.arrays_zip(pieces.alias("gap"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("word"))))
+    each = each.where(F.col("col.word").isNotNull()).select("uid", "pos", "col.gap", "col.word")
+    end = F.sum(F.col("gap") + F.length("word")).over(Window.partitionBy("uid").orderBy("pos")).cast("int")
+    return each.select("uid", F.lower("word").alias("term"), (end - F.length("word")).alias("start"), end.alias("end"))
+
+
+def _held(marked: DataFrame, scratch: Scratch, total: int) -> tuple[DataFrame, DataFrame]:
+    """(held, near): a row (uid, entities, terms) of every document that holds an entity with at least SUPPORT
+    surroundings, entities with their df_e and one surrounding; and (entity, term, around) of the words near those."""
+    windows = scratch.table(_windows(marked), "windows")
+    entities = windows.groupBy("entity").agg(F.countDistinct("uid").alias("df_e"), F.countDistinct(F.xxhash64("around")).alias("surroundings"))
+    entities = scratch.table(entities.where((F.col("surroundings") >= SUPPORT) & (F.col("df_e") < total)).select("entity", "df_e"), "entities")
+    mentions = windows.groupBy("uid", "entity").agg(F.min(F.xxhash64("around")).alias("around")).join(entities, "entity")
+    mentions = mentions.groupBy("uid").agg(F.collect_list(F.struct("entity", "df_e", "around")).alias("entities"))
+    held = marked.join(scratch.table(mentions, "mentions"), "uid").select("uid", "entities", _terms(F.col("text"), F.col("_spans")).alias("terms"))
+    return scratch.table(held, "held"), _surroundings(windows.join(entities, "entity", "left_semi"))
+
+
+def _pairs(held: DataFrame) -> DataFrame:
+    """(uid, entity, df_e, around, term) of each entity and term of a document."""
+    each = held.select("uid", "terms", F.explode("entities").alias("e"))
+    return each.select("uid", "e.*", F.explode("terms").alias("term"))
+
+
+def disclosures(docs: DataFrame, held: DataFrame, near: DataFrame, scratch: Scratch, text_col: str, total: int) -> DataFrame:
     """(entity, term, disclosure) of the pairs over GENERALISE; counts run over all documents.
 
-    disclosure >= GENERALISE means df(t) <= df(e, t) (N / df(e)) ** (1 - GENERALISE). A term that stands near
-    entities in more documents than that allows is dropped early: no pair is lost. The frequencies of all terms are
+    disclosure >= GENERALISE means df(t) <= df(e, t) (N / df(e)) ** (1 - GENERALISE). A term that stands in more
+    documents with entities than that allows is dropped early: no pair is lost. The frequencies of all terms are
     summed up in each task before they move."""
-    total = float(docs.count())
-    pairs = near.select("entity", "term", "uid", "around").distinct().groupBy("entity", "term").agg(
-        F.countDistinct("uid").alias("both"), F.countDistinct("around").alias("support")
+    total = float(total)
+    pairs = _pairs(held).groupBy("entity", "term").agg(
+        F.first("df_e").alias("df_e"), F.count("*").alias("both"), F.countDistinct("around").alias("documents")
     )
-    entities = marked.select("uid", F.explode("_spans").alias("s")).select(F.xxhash64(F.col("s.kind"), F.lower("s.value")).alias("entity"), "uid").distinct()
-    entities = entities.groupBy("entity").agg(F.count("*").alias("df_e"))
-    at_least = near.select("term", "uid").distinct().groupBy("term").agg(F.count("*").alias("seen"))
+    close = near.groupBy("entity", "term").agg(F.count("*").alias("near"))
+    at_least = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("seen"))
     most = F.col("both") * F.pow(F.lit(total) / F.col("df_e"), F.lit(1 - GENERALISE)) * 1.001
-    pairs = pairs.where(F.col("support") >= SUPPORT).join(entities, "entity").join(at_least, "term")
-    pairs = scratch.table(pairs.where((F.col("seen") <= most) & (F.col("df_e") < total)).select("entity", "term", "both", "df_e"), "pairs")
+    pairs = pairs.join(close, ["entity", "term"], "left").where(F.greatest("documents", "near") >= SUPPORT).join(at_least, "term")
+    pairs = scratch.table(pairs.where(F.col("seen") <= most).select("entity", "term", "both", "df_e"), "pairs")
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"\p{L}{3,}+"), F.lit(0)))
     frequency = docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     share = F.log(total * F.col("both") / (F.greatest("df_t", "both") * F.col("df_e"))) / F.log(total / F.col("df_e"))
@@ -180,11 +230,15 @@ def _mark(docs: DataFrame, columns: list[Column], scratch: Scratch, text_col: st
     rows = spread(docs).select(*columns, F.col(text_col).cast("string").alias("_text"))
     rows = with_spans(rows, text).withColumn("text", F.when(F.size("_spans") > 0, F.col("_text"))).drop("_text")
     marked = scratch.table(rows.withColumn("uid", F.monotonically_increasing_id()), "marked")
-    near = scratch.table(_surroundings(marked.where(F.size("_spans") > 0).select("uid", "text", "_spans")), "near")
-    told = scratch.table(disclosures(docs, marked.where(F.size("_spans") > 0), near, scratch, text_col), "disclosures")
-    hits = near.join(told, ["entity", "term"]).groupBy("uid", "start", "end").agg(F.max("disclosure").alias("disclosure"), F.first("term").alias("term"))
+    some = marked.where(F.size("_spans") > 0).select("uid", "text", "_spans")
+    total = docs.count()
+    held, near = _held(some, scratch, total)
+    told = scratch.table(disclosures(docs, held, near, scratch, text_col, total), "disclosures")
+    found = scratch.table(_pairs(held).join(told, ["entity", "term"]).groupBy("uid", "term").agg(F.max("disclosure").alias("disclosure")), "found")
+    each = _words(some.join(found.select("uid").distinct(), "uid", "left_semi")).join(found, ["uid", "term"])
+    hits = each.join(some.select("uid", "_spans"), "uid").where(_free(F.col("start"), F.col("end")))
     span = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", F.when(F.col("disclosure") >= REMOVE, "").otherwise("[term]").alias("value"))
-    return marked, hits.groupBy("uid").agg(F.array_sort(F.collect_list(span)).alias("terms"))  # words near the spans of one row
+    return marked, hits.groupBy("uid").agg(F.array_sort(F.collect_list(span)).alias("terms"))  # words of one row
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,11 +257,15 @@ def redacted(text: Column, spans: Column) -> Column:
     """The text with spans replaced: base spans by <kind>, terms by their value; what overlaps an earlier span is
     joined to it."""
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
+    return replaced(text, spans, lambda s: F.when(s["kind"] < len(KINDS), F.get(names, s["kind"])).otherwise(s["value"]))
+
+
+def replaced(text: Column, spans: Column, marked: Callable[[Column], Column]) -> Column:
+    """The text with a mark for each span; what overlaps an earlier span is joined to it."""
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        mark = F.when(s["kind"] < len(KINDS), F.get(names, s["kind"])).otherwise(s["value"])
-        grown = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mark)
+        grown = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), marked(s))
         fresh = s["start"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, grown).otherwise(acc["out"]).alias("out"))
 

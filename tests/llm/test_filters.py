@@ -85,6 +85,24 @@ def test_disclosing_terms(spark):
     assert clean[0] == "Wilbert0 met agent  at noon 0 near <email> on the quay 0" and clean[902] == "Kowalczyk alone" and clean[900] == "Mirabel wrote once to <email>"
 
 
+def test_disclosing_terms_far_from_the_entity_and_at_the_end(spark):
+    filler = "of the and so on with more " * 40  # some 1,000 characters
+    apart = [(k, f"Kowalczyk was seen {filler} write {k} to joe@x.org now {filler} by kowalczyk") for k in range(12)]
+    last = [(100 + k, f"write {k} to ann@y.org now Mirabel") for k in range(12)]
+    copies = [(200 + k, f"Oberwald {filler} to eve@z.org {filler}") for k in range(5)]
+    once = [(300, f"Lindqvist {filler} a1 ivo@v.org {filler} b2 ivo@v.org {filler} c3 ivo@v.org")]
+    plain = [(1000 + k, f"{filler} was seen write now by {k}") for k in range(300)]
+    df = make(spark, apart + last + copies + once + plain)
+    got = {r.doc_id: r for r in pii.pii_spans(df).collect()}
+    for k, t in apart + last:
+        spans = [x.split(":") for x in got[k].spans.split(",")]
+        terms = [t[int(a) : int(b)].lower() for kind, a, b in spans if kind == "term"]
+        assert terms == (["kowalczyk"] * 2 if k < 100 else ["mirabel"]), k
+    assert all(got[k].n_terms == 0 for k, _ in copies + once + plain)  # one passage or one document is no evidence
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert "owalczyk" not in clean[0] and clean[100] == "write 0 to <email> now " and "Oberwald" in clean[200] and "Lindqvist" in clean[300]
+
+
 def test_sanitised_rows_keep_their_columns(spark, docs, corpus, empty):
     out = pii.sanitise(docs, length_col="n_chars")
     assert out.columns == docs.columns and out.count() == len(corpus)
