@@ -10,18 +10,23 @@
    are dropped. Survivors leave as a spanning forest, never as all pairs.
    Bands that more than BLOCK nodes share are joined into groups which are
    compared once, in tiles of two blocks, rather than once to a band.
-3. Inside each connected component of survivors every pair is verified
-   exactly on its shingle sets, again in tiles; each node gets its number of
-   links, and the verified links leave as a spanning forest.
+3. Inside each connected component of survivors the pairs are compared in the
+   same way, in tiles again, and those that survive are verified exactly on
+   their shingle sets; each node gets its number of links, and the verified
+   links leave as a spanning forest.
 4. Components of verified links are the classes.
 
-No group is gathered beyond two blocks of BLOCK nodes, and nothing of the
-documents reaches the driver.
+No group is gathered beyond two blocks, which are bounded in nodes and in
+bytes, and nothing of the documents reaches the driver. A text larger than a
+block is a block of its own.
 
 Defined results: texts of fewer than five words have one shingle of all their
-words; null texts and texts without words link with nothing and are a class
-each; repeated rows count as documents of equal text; an empty table gives an
-empty result; columns other than the id and the text are not read.
+words; a similarity of exactly the threshold links; very long texts are taken
+whole; null texts and texts without words link with nothing and are a class
+each; repeated rows count as documents of equal text; rows without an id are
+compared like others, and a class of which no row has an id has none; an empty
+table gives an empty result; columns other than the id and the text are not
+read.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.graph import components
@@ -44,7 +49,12 @@ from leafmill.session import spread
 
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
+#: Nodes of a block of signatures; a tile has two blocks, and a worker holds one tile.
 BLOCK = 2048
+#: Nodes and bytes of a block of shingle sets.
+SET_BLOCK, SET_BYTES = 512, 4 << 20
+#: Members that are gathered at once while sets are intersected.
+GATHERED = 1 << 20
 TOLERANCE = 1e-6
 STEPS = (16, 32, 64, 128)
 #: Ids up to which the members of components are sent to all executors (16 MB); beyond it a shuffled join is used.
@@ -101,6 +111,18 @@ class Forest:
         return True
 
 
+def _survivors(sig: np.ndarray, i: int, todo: np.ndarray, least: list[int]) -> np.ndarray:
+    """The rows of todo whose signatures keep up with that of row i after each step."""
+    start, matches = 0, np.zeros(len(todo), dtype=np.int32)
+    for n, m in zip(STEPS, least, strict=True):
+        if not len(todo):
+            break
+        matches += (sig[todo, start:n] == sig[i, start:n]).sum(axis=1, dtype=np.int32)
+        start, keep = n, matches >= m
+        todo, matches = todo[keep], matches[keep]
+    return todo
+
+
 def surviving_forest(sig: np.ndarray, left: np.ndarray, right: np.ndarray, least: list[int]) -> list[tuple[int, int]]:
     """A spanning forest of the pairs (of left x right positions) that survive the incremental comparison.
 
@@ -109,15 +131,7 @@ def surviving_forest(sig: np.ndarray, left: np.ndarray, right: np.ndarray, least
     forest, edges = Forest(len(sig)), []
     root = np.arange(len(sig))
     for i in left:
-        todo = right[(root[right] != root[i]) & (right != i)]
-        start = 0
-        matches = np.zeros(len(todo), dtype=np.int32)
-        for n, m in zip(STEPS, least, strict=True):
-            if not len(todo):
-                break
-            matches += (sig[todo, start:n] == sig[i, start:n]).sum(axis=1, dtype=np.int32)
-            start, keep = n, matches >= m
-            todo, matches = todo[keep], matches[keep]
+        todo = _survivors(sig, i, right[(root[right] != root[i]) & (right != i)], least)
         for j in todo:
             if forest.join(int(i), int(j)):
                 edges.append((int(i), int(j)))
@@ -127,39 +141,69 @@ def surviving_forest(sig: np.ndarray, left: np.ndarray, right: np.ndarray, least
     return edges
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections of sorted sets of hashes.
-
-    Members that occur once are left out, members of one occurrence pattern are
-    counted together, and the rest is a product of 0/1 matrices in slices."""
-    g = len(sets)
-    flat = np.concatenate(sets)
-    row = np.repeat(np.arange(g), [len(s) for s in sets])
-    _, col, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count[col] > 1
-    col, row = col[shared], row[shared]
-    out = np.zeros((g, g), dtype=np.float64)
-    if not len(col):
+class SharedMembers:
+    """Sets of hashes, cut to what intersections need: members that occur once are left out, and members of one
+    occurrence pattern are a column with a weight. The columns of a set are a range of one flat array."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        g = len(sets)
+        row = np.repeat(np.arange(g, dtype=np.int32), [len(s) for s in sets])
+        _, col, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+        keep = count[col] > 1
+        row, col = row[keep], col[keep]
+        tag = np.random.default_rng(7).integers(0, 1 << 63, g, dtype=np.uint64)
+        pattern = np.zeros(len(count), dtype=np.uint64)
+        np.add.at(pattern, col, tag[row])
+        used = np.flatnonzero(count > 1)
+        _, first, weight = np.unique(pattern[used], return_index=True, return_counts=True)
+        new = np.full(len(count), -1, dtype=np.int32)
+        new[used[first]] = np.arange(len(first), dtype=np.int32)
+        col = new[col]
+        self.weight, self.flat = weight.astype(np.int32), col[col >= 0]
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(row[col >= 0], minlength=g))])
+        self._here = np.zeros(len(first), dtype=np.int32)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.flat[self.ends[i] : self.ends[i + 1]]
+
+    def common(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of set i with others; what is gathered at once is bounded."""
+        out = np.zeros(len(others), dtype=np.int64)
+        own = self.of(i)
+        self._here[own] = self.weight[own]
+        size = self.ends[others + 1] - self.ends[others]
+        for part in np.split(np.arange(len(others)), np.flatnonzero(np.diff(np.cumsum(size) // GATHERED)) + 1):
+            n = size[part]
+            at = np.arange(n.sum()) + np.repeat(self.ends[others[part]] - np.cumsum(n) + n, n)
+            out[part] = np.bincount(np.repeat(np.arange(len(part)), n), weights=self._here[self.flat[at]], minlength=len(part))
+        self._here[own] = 0
         return out
-    tag = np.random.default_rng(7).integers(0, 1 << 63, g, dtype=np.uint64)
-    pattern = np.zeros(len(count), dtype=np.uint64)
-    np.add.at(pattern, col, tag[row])
-    used = np.unique(col)
-    _, first, weight = np.unique(pattern[used], return_index=True, return_counts=True)
-    new = np.full(len(count), -1, dtype=np.int64)
-    new[used[first]] = np.arange(len(first))
-    col = new[col]
-    row, col = row[col >= 0], col[col >= 0]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    width = max(64, min(4096, (1 << 23) // g))
-    for a in range(0, len(first), width):
-        b = min(a + width, len(first))
-        lo, hi = np.searchsorted(col, [a, b])
-        m = np.zeros((g, b - a), dtype=np.float32)
-        m[row[lo:hi], col[lo:hi] - a] = 1
-        out += (m * weight[a:b].astype(np.float32)) @ m.T
-    return out
+
+
+def verified_links(
+    sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, copies: np.ndarray, least: list[int], threshold: Fraction
+) -> tuple[np.ndarray, np.ndarray]:
+    """(links, root) of each row: the copies of other rows that it is linked with, and the least row that it is connected with.
+
+    Pairs are of left x right rows. They are compared incrementally on their signatures; those that survive are
+    verified on their sets. One row's pairs are held at a time."""
+    up, down = threshold.numerator + threshold.denominator, threshold.numerator
+    members, length = SharedMembers(sets), np.array([len(s) for s in sets], dtype=np.int64)
+    links, root = np.zeros(len(sets), dtype=np.int64), np.arange(len(sets))
+    for i in left:
+        todo = right[right > i] if left is right else right
+        todo = _survivors(sig, i, todo, least)
+        if not len(todo):
+            continue
+        linked = todo[up * members.common(i, todo) >= down * (length[i] + length[todo])]
+        if not len(linked):
+            continue
+        links[i] += copies[linked].sum()
+        links[linked] += copies[i]
+        trees = np.unique(np.append(root[linked], root[i]))
+        if len(trees) > 1:
+            root[np.isin(root, trees)] = trees[0]
+    return links, root
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -185,17 +229,17 @@ def _sign(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                     digests.append(None)
                     sigs.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "node", "sig"]
+                [batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "key", "node", "sig"]
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return spread(docs.select(id_col, F.col(text_col).cast("string"))).mapInArrow(run, f"doc_id {kind}, node binary, sig array<long>")
+    text = F.col(text_col).cast("string")
+    return spread(docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))).mapInArrow(run, f"doc_id {kind}, key long, node binary, sig array<long>")
 
 
-def _tiles(df: DataFrame, size: str, tag: str = "node", block: int = BLOCK) -> DataFrame:
-    """Adds tile columns i <= j and the row's own block b: a group of up to block rows is one tile."""
-    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    df = df.withColumn("nb", n).withColumn("b", F.pmod(F.xxhash64(tag), F.col("nb")).cast("int"))
+def _tiles(df: DataFrame, blocks: Column, tag: str = "node") -> DataFrame:
+    """Adds tile columns i <= j and the row's own block b, of as many blocks as the row's group needs."""
+    df = df.withColumn("nb", F.greatest(F.ceil(blocks), F.lit(1)).cast("int")).withColumn("b", F.pmod(F.xxhash64(tag), F.col("nb")).cast("int"))
     return df.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         *[c for c in df.columns if c not in ("nb", "b")], "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")
     )
@@ -218,7 +262,7 @@ def _candidate_forest(nodes: DataFrame, least: list[int], scratch: Scratch, bloc
         homes = firsts.join(merged, "v", "left").select("node", F.coalesce("component", "v").alias("h"))
         homes = scratch.table(homes, "homes")
         sizes = scratch.table(homes.groupBy("h").agg(F.count("*").alias("n")), "group-sizes")
-        found = found.unionByName(_tiles(homes.join(sizes, "h"), "n", block=block).select(F.lit(-1).cast("long").alias("g"), "h", "node", "b", "i", "j"))
+        found = found.unionByName(_tiles(homes.join(sizes, "h"), F.col("n") / block).select(F.lit(-1).cast("long").alias("g"), "h", "node", "b", "i", "j"))
     ready = found.join(nodes.select("node", "sig"), "node").select("g", "h", "i", "j", "b", "node", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,12 +290,13 @@ def _candidate_forest(nodes: DataFrame, least: list[int], scratch: Scratch, bloc
     return ready.repartition(parts, "g", "h", "i", "j").sortWithinPartitions("g", "h", "i", "j").mapInArrow(run, "u binary, v binary")
 
 
-def _shingle_sets(docs: DataFrame, signed: DataFrame, homes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, shingles binary) of the nodes of homes: their texts are read again, and only theirs are moved."""
-    wanted = homes.select("node", "rep")
-    small = wanted.count() <= BROADCAST_IDS
-    ids = wanted.select(F.col("rep").alias(id_col)).distinct()
-    own = docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).join(F.broadcast(ids) if small else ids, id_col, "left_semi")
+def _shingle_sets(docs: DataFrame, homes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(node, shingles binary) of the nodes of homes: the text of one row of each is read again, found by id and hash."""
+    keys = homes.select("key", "rep").distinct()
+    small = keys.count() <= BROADCAST_IDS
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("own"))
+    own = own.join(F.broadcast(keys) if small else keys, F.col("own").eqNullSafe(F.col("key")) & F.col("id").eqNullSafe(F.col("rep")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,49 +307,39 @@ def _shingle_sets(docs: DataFrame, signed: DataFrame, homes: DataFrame, id_col:
                     sets.append(np.unique(shingles(hashed(tokens), width)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return own.select(text_col).mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"])
+    return own.select("text").mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"])
 
 
-def _verify(homes: DataFrame, sets: DataFrame, threshold: Fraction, block: int) -> DataFrame:
+def _verify(homes: DataFrame, least: list[int], threshold: Fraction, block: int, block_bytes: int) -> DataFrame:
     """(node, root, links, tiled): the node's links with documents of other nodes in one tile, and the
-    least node that it is connected with there."""
+    least node that it is connected with there. homes has the nodes' sets, and the rows and bytes of their component."""
     parts = int(homes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    up, down = threshold.numerator + threshold.denominator, threshold.numerator
-    tiles = _tiles(homes, "size", block=block).join(sets, "node").select("home", "i", "j", "size", "b", "node", "n", "shingles")
+    blocks = F.greatest(F.col("size") / block, F.col("bytes") / block_bytes)
+    tiles = _tiles(homes, blocks).select("home", "i", "j", (F.ceil(blocks) > 1).alias("tiled"), "b", "node", "n", "sig", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j, size), rows in _runs(batches, 4):
+        for (_, i, j, tiled), rows in _runs(batches, 4):
             rows.sort(key=lambda r: r[1])
-            b = np.array([r[0] for r in rows])
-            sets_ = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
-            n = np.array([r[2] for r in rows], dtype=np.int64)
-            length = np.array([len(s) for s in sets_], dtype=np.float64)
-            both = intersections(sets_)
-            linked = up * both >= down * (length[:, None] + length[None, :])
-            np.fill_diagonal(linked, False)
-            if i != j:
-                linked &= b[:, None] != b[None, :]
-            forest = Forest(len(rows))
-            for x in range(len(rows)):
-                for y in np.flatnonzero(linked[x, x + 1 :]) + x + 1:
-                    forest.join(x, int(y))
-            links = linked @ n
+            names, b = [r[1] for r in rows], np.array([r[0] for r in rows])
+            copies, sig = np.array([r[2] for r in rows], dtype=np.int64), np.array([r[3] for r in rows], dtype=np.int64).view(np.uint16)
+            sets = [np.frombuffer(r[4], dtype=np.uint64) for r in rows]
+            spots = np.arange(len(rows))
+            left, right = (spots, spots) if i == j else (spots[b == i], spots[b == j])
+            links, root = verified_links(sig, sets, left, right, copies, least, threshold)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[1] for r in rows], pa.binary()), pa.array([rows[forest.find(x)][1] for x in range(len(rows))], pa.binary()),
-                    pa.array(links, pa.int64()), pa.array([size > block] * len(rows), pa.bool_()),
-                ], names=["node", "root", "links", "tiled"],
-            )
+                [pa.array(names, pa.binary()), pa.array([names[x] for x in root], pa.binary()), pa.array(links, pa.int64()), pa.array([tiled] * len(rows), pa.bool_())],
+                names=["node", "root", "links", "tiled"],
+            )
 
     return (
-        tiles.repartition(parts, "home", "i", "j").sortWithinPartitions("home", "i", "j", "size")
+        tiles.repartition(parts, "home", "i", "j").sortWithinPartitions("home", "i", "j", "tiled")
         .mapInArrow(run, "node binary, root binary, links long, tiled boolean")
     )
 
 
 def jaccard_classes(
     docs: DataFrame, threshold: Fraction = Fraction(4, 5), width: int = 5, tolerance: float = TOLERANCE, block: int = BLOCK,
-    id_col: str = "doc_id", text_col: str = "text",
+    block_bytes: int = SET_BYTES, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies) of every document.
 
@@ -313,13 +348,15 @@ def jaccard_classes(
     scratch = Scratch(bounded_batches(docs.sparkSession), "jaccard")
     least = least_matches(threshold, tolerance)
     signed = scratch.table(_sign(docs, id_col, text_col, width), "signed")
-    nodes = scratch.table(signed.where("node is not null").groupBy("node").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min("sig").alias("sig"), first.alias("first"), F.count("*").alias("n"))
+    nodes = scratch.table(nodes.select("node", "sig", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("key"), "n"), "nodes")
     edges = scratch.table(_candidate_forest(nodes, least, scratch, block), "candidates")
     comps = components(edges, scratch).withColumnRenamed("component", "home")
-    sizes = scratch.table(comps.groupBy("home").agg(F.count("*").alias("size")), "sizes")
-    homes = scratch.table(comps.join(sizes, "home").join(nodes.select("node", "rep", "n"), "node"), "homes")
-    sets = _shingle_sets(docs, signed, homes, id_col, text_col, width)
-    checked = scratch.table(_verify(homes, sets, threshold, block), "checked")
+    homes = scratch.table(comps.join(nodes.select("node", "rep", "key", "n", "sig"), "node"), "homes")
+    homes = scratch.table(homes.join(_shingle_sets(docs, homes, id_col, text_col, width), "node"), "sets")
+    sizes = scratch.table(homes.groupBy("home").agg(F.count("*").alias("size"), F.sum(F.octet_length("shingles")).alias("bytes")), "sizes")
+    checked = scratch.table(_verify(homes.join(sizes, "home"), least, threshold, min(block, SET_BLOCK), block_bytes), "checked")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     tiled = checked.where("tiled and node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     if not tiled.isEmpty():

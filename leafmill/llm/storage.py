@@ -24,15 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Rows of a batch that is handed to Python: texts may be long, and executors have little memory beside the heap.
-BATCH_ROWS = 1000
+#: Rows and bytes of a batch that is handed to Python: texts may be long, and executors have little memory beside the heap.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
-    """The session, with Arrow batches of at most BATCH_ROWS rows from now on."""
+    """The session, with Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES from now on."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

@@ -57,12 +57,30 @@ def test_posterior_bounds_are_those_of_the_beta_distribution():
         assert tail[0] < 1e-4 and tail[1] < 0.2 and m < 0.8 * n
 
 
-def test_intersections_equal_sets():
+def test_intersections_equal_sets(monkeypatch):
     rng = random.Random(9)
     sets = [np.unique(np.array([rng.randrange(60) for _ in range(rng.randint(0, 50))], dtype=np.uint64)) for _ in range(25)]
     want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
-    got = jaccard_join.intersections(sets)
-    assert all(got[i][j] == want[i][j] for i in range(25) for j in range(25) if i != j)
+    for gathered in (1 << 20, 7):
+        monkeypatch.setattr(jaccard_join, "GATHERED", gathered)
+        members = jaccard_join.SharedMembers(sets)
+        for i in range(25):
+            others = np.array([j for j in range(25) if j != i])
+            assert members.common(i, others).tolist() == [want[i][j] for j in others]
+    assert jaccard_join.SharedMembers([]).weight.size == 0
+
+
+def test_blocks_are_bounded_in_bytes(docs, corpus):
+    got = jaccard_join.jaccard_classes(docs, block_bytes=4000).collect()
+    assert sorted((r.doc_id or -1, r.class_id or -1, r.n_links) for r in got) == brute_classes(corpus)
+
+
+def test_rows_without_an_id_keep_their_links(spark):
+    words_ = [f"w{k}" for k in range(60)]
+    near = [" ".join([*words_[:k], "changed", *words_[k + 1 :]]) for k in (1, 58)]
+    rows = [(7, " ".join(words_)), (None, near[0]), (None, near[0]), (None, near[1]), (None, "a text apart from all the others")]
+    got = sorted((r.n_links, r.class_id or -1, r.n_copies) for r in jaccard_join.jaccard_classes(make(spark, rows)).collect())
+    assert got == [(0, -1, 1), (3, 7, 1), (3, 7, 1), (3, 7, 2), (3, 7, 2)]
 
 
 def test_components(spark):
