@@ -13,9 +13,11 @@ The matrix has a fixed size and is broadcast; each text is read once, whole.
 
 Defined results: a text that is null or has no letter is "und" with score 0;
 ties go to the first language in order; without any labelled row every text
-is "und"; with labels of one language only that is predicted. Repeated rows
-are predicted each; an empty table gives an empty result; columns other than
-the id and the text (and lang, for fitting) are not read.
+is "und"; with labels of one language only that is predicted; very long texts
+are taken whole. Repeated rows are predicted each and learnt from once, and
+rows of one id with other texts or languages are learnt from each with its
+own; an empty table gives an empty result; columns other than the id and the
+text (and lang, for fitting) are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.sampling import crc_rest, fit_rows
+from leafmill.llm.sampling import crc_rest, fit_own_rows, fit_rows
 from leafmill.llm.storage import bounded_batches
 from leafmill.session import spread
 
@@ -116,8 +118,8 @@ def _predict(masks: list[np.ndarray | None], names: list[str], matrix: np.ndarra
     return langs, scores
 
 
-def fit(docs: DataFrame, labelled: DataFrame, most: int = FIT_ROWS, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """Model from labelled (id_col, lang_col) rows; masks are made on the executors."""
+def _learn(sample: DataFrame, lang_col: str) -> tuple[list[str], np.ndarray]:
+    """Model from (h, lang_col, text) rows of a bounded number; masks are made on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +129,7 @@ def fit(docs: DataFrame, labelled: DataFrame, most: int = FIT_ROWS, lang_col: st
                 names=["h", "label", "mask"],
             )
 
-    sample = fit_rows(docs, labelled, lang_col, most, id_col, text_col).select("h", F.col(lang_col).cast("string").alias("label"), "text")
+    sample = sample.select("h", F.col(lang_col).cast("string").alias("label"), "text")
     rows = sorted(r for r in sample.mapInArrow(run, "h long, label string, mask binary").collect() if r.mask is not None)  # at most `most`
     if not rows:
         return [], np.zeros((DIM, 0), dtype=np.float32)
@@ -135,6 +137,16 @@ def fit(docs: DataFrame, labelled: DataFrame, most: int = FIT_ROWS, lang_col: st
     return names, matrix.astype(np.float32)
 
 
+def fit(docs: DataFrame, labelled: DataFrame, most: int = FIT_ROWS, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
+    """Model from the languages (id_col, lang_col) of another table."""
+    return _learn(fit_rows(docs, labelled, lang_col, most, id_col, text_col), lang_col)
+
+
+def fit_own(docs: DataFrame, most: int = FIT_ROWS, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
+    """Model from rows that carry their own language; those without one or without a text are left out."""
+    return _learn(fit_own_rows(docs, lang_col, most, id_col, text_col), lang_col)
+
+
 def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score) of every row."""
     shared = bounded_batches(docs.sparkSession).sparkContext.broadcast(matrix)  # fixed size a language: 256 kB
@@ -155,5 +167,5 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, id_col: str =
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    names, matrix = fit(docs, docs.where(crc_rest("doc_id", 4) != 2).where("text is not null").select("doc_id", "lang"))
+    names, matrix = fit_own(docs.where(crc_rest("doc_id", 4) != 2))
     return predict(docs, names, matrix).select("doc_id", (crc_rest("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")

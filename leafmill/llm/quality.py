@@ -14,8 +14,12 @@ broadcast.
 
 Defined results: null and empty texts are scored by the intercept; without
 labels of both values the score is their smoothed share (0.5 without any);
-repeated rows are scored each; an empty table gives an empty result; columns
-other than the id and the text are not read.
+very long texts are taken whole; equal texts have equal scores, and a score of
+exactly the least one passes. Repeated rows are scored each. For the fit a
+repeated label counts once, an id that is labelled both ways counts both ways,
+and of several texts of one id the least is taken, so that the sample never
+exceeds its bound. An empty table gives an empty result; columns other than
+the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -115,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: in
             )
 
     sample = fit_rows(docs, labels, label_col, most, id_col, text_col).select("h", F.col(label_col).cast("int").alias("label"), "text")
-    rows = sorted(sample.mapInArrow(run, "h long, label int, i binary, v binary").collect())  # at most `most` rows
+    rows = sorted(sample.mapInArrow(run, "h long, label int, i binary, v binary").collect())  # at most `most` rows, see fit_rows
     return train([(np.frombuffer(r.i, "<i4"), np.frombuffer(r.v, "<f4"), r.label) for r in rows])
 
 

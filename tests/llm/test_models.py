@@ -1,11 +1,14 @@
 """Operators 1 and 10: models fitted on labelled rows."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
-from leafmill.llm import language, quality
+from leafmill.llm import language, quality, sampling
 from tests.llm.conftest import make
 
 
@@ -49,6 +52,60 @@ def test_quality_of_every_kind_of_row(spark, docs, corpus, empty):
     assert quality.keep_good(docs, np.where(np.arange(len(weights)) == 0, -5.0, 0)).count() == 0
 
 
+def plain_follower(rows, alpha=2.0, beta=1.0, l1=0.02, l2=0.05):
+    """Proximal follow-the-regularised-leader, coordinate by coordinate, on (dict of values, label) rows in order."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * l1) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for x, label in rows:
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+        for i, v in x.items():
+            g = (p - label) * v
+            sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+            z[i] = z.get(i, 0.0) + g - sigma * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def plain_features(text):
+    """Root counts of words and of pairs of words by their strings, a repeat written '='; scaled to one, with an intercept."""
+    tokens = re.findall(r"\w+|[^\w\s]+", text)
+    tokens = [t if k == 0 or t != tokens[k - 1] else "=" for k, t in enumerate(tokens)]
+    count = Counter(tokens) + Counter(zip(tokens, tokens[1:], strict=False))
+    total = sum(count.values())
+    return {k: math.sqrt(c / total) for k, c in count.items()} | {"": 1.0}
+
+
+def test_weights_equal_a_plain_follower():
+    texts = [("a b a b c", 1), ("a a a a", 0), ("b c d e", 1), ("z !! z !! z", 0), ("c d e a", 1), ("z z z", 0)]
+    got = quality.train([(*quality.features(t), y) for t, y in texts], updates=24)
+    order, epochs = np.random.default_rng(11), 4
+    rows = [(plain_features(t), y) for t, y in texts]
+    want = plain_follower([rows[k] for _ in range(epochs) for k in order.permutation(len(rows))])
+    for text in [t for t, _ in texts] + ["a b !! q"]:
+        index, values = quality.features(text)
+        x = plain_features(text)
+        assert len(index) == len(x)
+        assert abs(got[index] @ values - sum(want.get(i, 0.0) * v for i, v in x.items())) < 1e-9
+
+
+def test_the_sample_is_bounded_and_rows_keep_their_labels(spark):
+    rows = [(5, f"der die und {k}" if k % 2 else f"the of and {k}", "de" if k % 2 else "en") for k in range(400)] + [(None, "ohne id", "de")] * 3
+    own = sampling.fit_own_rows(make(spark, rows), "lang", 100, "doc_id", "text").collect()
+    assert len(own) == 100 and all((r.lang == "de") == r.text.startswith(("der", "ohne")) for r in own)
+    labels = spark.createDataFrame([(5, q) for q in (0, 1)] * 200, "doc_id long, quality int")
+    other = sampling.fit_rows(make(spark, rows), labels, "quality", 100, "doc_id", "text").collect()
+    assert sorted(r.quality for r in other) == [0, 1] and len({r.text for r in other}) == 1
+    few = sampling.fit_own_rows(make(spark, [(k, "x", "en") for k in range(50)] * 4), "lang", 20, "doc_id", "text")
+    assert few.count() == 20
+
+
 SPEECH = {"en": "the of and with this from house", "de": "der die und mit für über straße", "fr": "le la les avec été où forêt"}
 
 
