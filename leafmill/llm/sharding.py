@@ -9,21 +9,23 @@ candidate being checked greedily, and the sequence is cut under it. A unit
 of at least the mean load (a hot group of copies) gets a shard to itself
 first, as no contiguous cut could balance the others around it.
 
-Slots are numbered without gathering a shard in one task: rows are dealt into
-cells (shard, salt), cells are numbered in parallel, and their bases are
-prefix sums of the cells' counts.
+The result of that is an expression of at most two literals a shard, so rows
+find their shard without a join. Slots are numbered without gathering a shard
+in one task: rows are dealt by their number into cells (shard, salt), cells are
+numbered in parallel, and their bases are prefix sums of the cells' counts.
 
 Defined results: a null text has the bytes of an empty one (size 16, crc 0)
-and is grouped with empty texts; repeated rows get a slot each; an empty table
-gives an empty result; fewer units than shards leave shards empty; columns
-other than the id and the text are not read.
+and is grouped with empty texts; very long texts count with all their bytes;
+of two cuts equally near the even point the first is taken; repeated rows get a
+slot each, in any order among themselves; an empty table gives an empty result;
+fewer units than shards leave shards empty; columns other than the id and the
+text are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.storage import Scratch
@@ -32,6 +34,8 @@ UNIT_BITS = 18
 OVERHEAD = 16
 #: Rows of a cell at which shards are dealt into more cells.
 CELL_ROWS = 200_000
+#: Cells of all shards at most: their bases are broadcast (2 MB). Beyond it cells hold more rows, which are sorted on disk.
+CELLS = 1 << 17
 
 
 def _greedy(prefix: np.ndarray, capacity: int, shards: int) -> list[int] | None:
@@ -102,6 +106,19 @@ def assign_units(sizes: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def shard_of(units: np.ndarray, shard: np.ndarray, shards: int, unit: Column) -> Column:
+    """The shard of a unit as an expression of at most two literals a shard: units that are alone in theirs, and first units of the others."""
+    alone = {int(s): int(u[0]) for s in np.unique(shard) if len(u := units[shard == s]) == 1}
+    firsts = sorted((int(units[shard == s].min()), int(s)) for s in np.unique(shard) if int(s) not in alone)
+    found = F.lit(0)
+    if firsts:
+        starts, names = (F.array(*(F.lit(x) for x in column)) for column in zip(*firsts, strict=True))
+        found = F.coalesce(F.get(names, F.size(F.filter(starts, lambda x: x <= unit)) - 1), F.lit(0))
+    for s, u in alone.items():
+        found = F.when(unit == u, s).otherwise(found)
+    return found.cast("int")
+
+
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of every row."""
     spark = docs.sparkSession
@@ -109,27 +126,28 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = scratch.table(
         docs.select(
-            F.col(id_col),
+            F.col(id_col).alias("id"),
             (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.shiftrightunsigned(F.xxhash64(text), 64 - UNIT_BITS).cast("int").alias("unit"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "rows",
     )
-    units = rows.groupBy("unit").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).toPandas().sort_values("unit")
+    units = rows.groupBy("unit").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).toPandas().sort_values("unit")  # at most 2**UNIT_BITS
     shard = assign_units(units["bytes"].to_numpy(np.int64), shards)
-    table = pd.DataFrame({"unit": units["unit"].astype("int32"), "shard": shard})
     busiest = int(units["n"].groupby(shard).sum().max()) if len(units) else 0
-    salts = max(16, -(-busiest // CELL_ROWS))
-    placed = rows.join(F.broadcast(spark.createDataFrame(table, "unit int, shard int")), "unit").withColumn(
-        "cell", F.pmod(F.xxhash64(F.col(id_col), F.col("text_crc32")), F.lit(salts)).cast("int")
+    salts = min(max(16, -(-busiest // CELL_ROWS)), max(16, CELLS // shards))
+    # dealt by the row's number, which was written: equal rows and rows without an id are in all cells alike
+    placed = rows.withColumn("shard", shard_of(units["unit"].to_numpy(np.int64), shard, shards, F.col("unit"))).withColumn(
+        "cell", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")
     )
-    cells = placed.groupBy("shard", "cell").count().toPandas().sort_values(["shard", "cell"])  # one row to CELL_ROWS rows, or 16 a shard
+    cells = placed.groupBy("shard", "cell").count().toPandas().sort_values(["shard", "cell"])  # at most CELLS rows, or 16 a shard
     cells["base"] = (cells.groupby("shard")["count"].cumsum() - cells["count"]).astype("int64")
     bases = spark.createDataFrame(cells[["shard", "cell", "base"]], "shard int, cell int, base long")
-    within = Window.partitionBy("shard", "cell").orderBy(id_col, "text_crc32", "size")
+    within = Window.partitionBy("shard", "cell").orderBy("id", "text_crc32", "size", "row")
     return placed.join(F.broadcast(bases), ["shard", "cell"]).select(
-        id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("base") + F.row_number().over(within) - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
