@@ -23,10 +23,19 @@ def compiled(pattern: str):
     return regex.compile(pattern)
 
 
+@lru_cache(maxsize=4)
+def _is_published(pattern: str) -> bool:
+    import public_tokenizers
+
+    return pattern == public_tokenizers.PATTERN
+
+
 def pretokens(text: str, pattern: str) -> list[str]:
-    """All matches of the pattern; they cover the text."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return compiled(pattern).findall(text)
-    return NARROW.findall(text)
+    """All matches of the pattern, in order; the published pattern's cover the text."""
+    if _is_published(pattern):
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return compiled(pattern).findall(text)
+        return NARROW.findall(text)
+    return [m[0] for m in compiled(pattern).finditer(text)]

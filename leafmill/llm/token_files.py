@@ -11,12 +11,17 @@ bases. Readers map the files into memory.
 Writers write under another name and rename: a lost or repeated task leaves
 the same files. Each match of the pre-tokenisation pattern is encoded by the
 tokenizers library once and kept in a cache of bounded size, which gives the
-ids of the whole text, as the library merges within matches only.
+ids of the whole text, as the library merges within matches only. A text with
+the string of an added token is encoded by the library whole.
+
+Parts are ranges of (id, hash of the text, row): rows of one id, rows without
+an id and equal rows are dealt over parts like any others.
 
 Defined results: a null text is encoded as an empty one (the end id alone).
-Rows of equal id are ordered by text. Rows without an id come first and come
-back without one. An empty table gives an empty data set. Columns other than
-the id and the text are not read.
+Rows of equal id are ordered by the hash of their text, equal rows in any
+order. Rows without an id come first and come back without one. Very long
+texts are encoded whole. An empty table gives an empty data set. Columns other
+than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -57,16 +62,17 @@ MARKS = _marks()
 
 
 class IdBytes:
-    """The ids of pre-tokens as packed bytes, by the merge model of the tokenizers library.
+    """The ids of texts as packed bytes, by the tokenizers library.
 
-    A pre-token is handed to the library's model as it would be inside the whole text; special tokens'
-    strings are ordinary text."""
+    A pre-token is handed to the library's merge model as it would be inside the whole text. A text that holds
+    the string of an added token is handed to the library whole, as that string is cut out before the pattern is applied."""
 
     def __init__(self, tokenizer_json: bytes, pattern: str, dtype: str, cache_entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json.decode())
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern, self.dtype, self.limit = pattern, dtype, cache_entries
         self.pack, self.sizes = struct.pack, "<%dH" if dtype == "<u2" else "<%dI"
         self.young: dict[str, bytes] = {}
@@ -77,16 +83,18 @@ class IdBytes:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         claim(self, self.forget)
-        split = [pretokens(x, self.pattern) for x in texts]
+        pack, size = self.pack, self.sizes
+        whole = {k: self.tokenizer.encode(x, add_special_tokens=False).ids for k, x in enumerate(texts) if any(t in x for t in self.added)}
+        split = [[] if k in whole else pretokens(x, self.pattern) for k, x in enumerate(texts)]
         missing = list(set(chain.from_iterable(split)).difference(self.young))
         fresh = [x for x in missing if x not in self.old]
         self.young.update((x, self.old[x]) for x in missing if x in self.old)
-        merge, pack, size = self.tokenizer.model.tokenize, self.pack, self.sizes
+        merge = self.tokenizer.model.tokenize
         for word in fresh:
             ids = [x.id for x in merge(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(MARKS))]
             self.young[word] = pack(size % len(ids), *ids)
         get = self.young.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
+        out = [pack(size % len(whole[k]), *whole[k]) if k in whole else b"".join(map(get, words)) for k, words in enumerate(split)]
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         return out
@@ -164,10 +172,10 @@ def write_token_files(
         if files:
             yield pa.RecordBatch.from_pydict({"part": [part], "docs": [n_docs], "nulls": [n_null], "ids": [n_ids]})
 
-    rows = (
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        .repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
-    )
+    # ranges are of narrow keys, since some of them reach the driver; with the row's number even equal rows can be parted
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange(parts, "id", "h", "row").sortWithinPartitions("id", "h", "row").select("id", "text")
     counts = sorted(rows.mapInArrow(run, "part long, docs long, nulls long, ids long").collect())  # a row to a part
     base, listed = 0, []
     for part, n_docs, n_null, n_ids in counts:

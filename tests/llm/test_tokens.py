@@ -10,11 +10,13 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from leafmill.llm import bpe, sharding, token_files
 from leafmill.llm.splitting import pretokens
 from leafmill.llm.storage import shared_dir
+from tests.llm.conftest import make
 
 PATTERN = public_tokenizers.PATTERN
 
@@ -33,9 +35,7 @@ def plain():
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_pretokens_are_the_matches_of_the_pattern():
@@ -44,6 +44,11 @@ def test_pretokens_are_the_matches_of_the_pattern():
         assert pretokens(x, PATTERN) == full.findall(x)
 
 
+def test_pretokens_follow_any_other_pattern():
+    assert pretokens("ab cd", ".") == list("ab cd")
+    assert pretokens("ab (cd)", r"(\w)\w") == ["ab", "cd"]
+
+
 def test_encoding_equals_the_library_and_decodes_back(plain):
     enc = bpe.Encoder(bpe.Vocabulary(bpe.read_ranks(bpe.vocabulary_file())), PATTERN, cache_entries=50)
     for x in odd_texts():
@@ -95,6 +100,27 @@ def test_token_files_come_back(spark, docs, corpus, library, empty):
     assert token_files.read_token_files(spark, root).count() == 0
 
 
+def test_added_tokens_in_a_text_are_those_of_the_library(spark, library):
+    tokenizer = bpe.vocabulary_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b <|endoftex", *odd_texts()]
+    root = f"{shared_dir(spark)}/test-{uuid.uuid4().hex}"
+    token_files.write_token_files(make(spark, list(enumerate(texts))), root, tokenizer, PATTERN, end_id=2, parts=3)
+    got = {r.doc_id: r.ids for r in token_files.read_token_files(spark, root, with_ids=True).collect()}
+    assert got == {k: [*library.encode(t, add_special_tokens=False).ids, 2] for k, t in enumerate(texts)}
+    assert 50256 in got[0]
+
+
+def test_rows_of_one_id_are_dealt_over_parts(spark):
+    tokenizer = bpe.vocabulary_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for rows in ([(None, f"text {k}") for k in range(400)], [(7, "one text")] * 400):
+        root = f"{shared_dir(spark)}/test-{uuid.uuid4().hex}"
+        manifest = token_files.write_token_files(make(spark, rows).repartition(4), root, tokenizer, PATTERN, end_id=2, parts=4)
+        assert len(manifest["parts"]) == 4 and max(p["docs"] for p in manifest["parts"]) < 200
+        got = sorted(token_files.read_token_files(spark, root).collect(), key=lambda r: r.start)
+        assert [r.doc_id for r in got] == [i for i, _ in rows]
+        assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+
+
 def brute_capacity(sizes, shards):
     best = [0] + [10**18] * len(sizes)
     for _ in range(shards):
@@ -129,3 +155,19 @@ def test_shards(docs, corpus, empty):
     loads = got.groupby("shard")["size"].sum()
     assert loads.max() <= max(units.max(), loads.sum() / 7 + units[units < units.max()].max())
     assert sharding.shard_documents(empty, 7).count() == 0
+
+
+@pytest.mark.parametrize("rows", [[(3, "one text")] * 300, [(None, "one text")] * 300, [(None, None)] * 300])
+def test_equal_rows_are_dealt_over_cells(spark, rows, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 10)
+    got = sharding.shard_documents(make(spark, rows).repartition(3), 4).toPandas()
+    assert got["shard"].nunique() == 1 and sorted(got["slot"]) == list(range(300))
+
+
+def test_the_shard_expression_equals_the_assignment(spark):
+    rng = np.random.default_rng(3)
+    for n, shards in ((1, 4), (3, 4), (4, 4), (200, 7), (200, 40)):
+        units = np.sort(rng.choice(1 << 18, n, replace=False))
+        shard = sharding.assign_units(rng.choice([1, 5, 40, 4000], n), shards)
+        df = spark.createDataFrame([(int(u), int(s)) for u, s in zip(units, shard, strict=True)], "unit int, want int")
+        assert df.where(sharding.shard_of(units, shard, shards, F.col("unit")) != F.col("want")).count() == 0
