@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,11 +37,28 @@ def get_session(app: str = "leafmill", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a local master may do without: a folder of our own is made for it."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='leafmill-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def working_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/leafmill/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df checkpointed to the shared folder: cuts its lineage and survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='leafmill-')}")  # no cluster setting: a local run
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
