@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -47,26 +48,29 @@ class _Cells(HTMLParser):
             self.cell.append(data)
 
 
-def table_cells(html: str, most: int = 4096) -> list[dict] | None:
-    """Cells (row, col, rowspan, colspan, text) of the first table; None if spans overlap, leave holes or are too many."""
+def table_cells(html: str) -> list[dict] | None:
+    """Cells (row, col, rowspan, colspan, text) of the first table; None if spans overlap or leave holes.
+
+    Of each column only the row is held up to which cells reach, so a table may have any number of cells."""
     parser = _Cells()
     parser.feed(html)
-    taken: set[tuple[int, int]] = set()
+    reach: list[int] = []
+    filled: list[int] = []
     cells, height = [], len(parser.rows)
     for r, row in enumerate(parser.rows):
         c = 0
         for rowspan, colspan, text in row:
-            while (r, c) in taken:
+            while c < len(reach) and reach[c] > r:
                 c += 1
-            rowspan = min(rowspan, height - r)
-            spots = {(r + i, c + j) for i in range(rowspan) for j in range(colspan)}
-            if spots & taken or len(taken) + len(spots) > most:
+            if any(below > r for below in reach[c : c + colspan]):
                 return None
-            taken |= spots
+            rowspan = min(rowspan, height - r)
+            reach += [r] * (c + colspan - len(reach))
+            reach[c : c + colspan] = [r + rowspan] * colspan
             cells.append({"row": r, "col": c, "rowspan": rowspan, "colspan": colspan, "text": " ".join("".join(text).split())})
             c += colspan
-    width = max((c for _, c in taken), default=-1) + 1
-    return cells if cells and len(taken) == width * height else None
+        filled.append(sum(below > r for below in reach))
+    return cells if cells and all(n == len(reach) for n in filled) else None
 
 
 def table_matrix(html: str) -> list[list[str]] | None:
@@ -119,9 +123,6 @@ _GUARD = re.compile(r"`[^`\n]*`|\$[^$\n]*\$|\\\(.*?\\\)|\\\[.*?\\\]|https?://\S+
 
 def recover_math_line(line: str) -> str:
     """Bare algebra with a spaced relation and a numeric script gets delimiters; code, links, tags and maths stay."""
-    if len(line) > 4096:
-        return line
-
     def wrap(text: str) -> str:
         return _ALGEBRA.sub(lambda m: f"\\({m[0]}\\)" if len(m[0]) <= 256 and re.search(r"[_^](?:\d|\{)", m[0]) else m[0], text)
 
@@ -152,19 +153,47 @@ def is_dollar_math(tex: str) -> bool:
     return bool(re.search(r"[\\^_{}]", tex)) or (bool(tex) and not tex[0].isdigit() and len(tex) <= 40)
 
 
+_PARAGRAPH = r"\n[^\S\n]*\n"
+_DELIMITED = re.compile(
+    rf"(?P<code>^(?P<fence>```|~~~)[^\n]*\n(?:.*?\n)??(?P=fence)[^\n]*$|`[^`\n]+`)|\$\$(?P<block>(?:(?!{_PARAGRAPH}).)+?)\$\$|\$(?P<dollar>[^$\n]+?)\$"
+    rf"|(?<!\\)\\\[(?P<display>(?:(?!(?<!\\)\\\[|{_PARAGRAPH}).)+?)\\\]|(?<!\\)\\\((?P<inline>(?:(?!(?<!\\)\\\(|{_PARAGRAPH}).)+?)\\\)|(?P<sign>\$)",
+    re.S | re.M,
+)
+
+
+def dollar_delimiters(text: str) -> str:
+    """All maths between dollar signs: one for maths in a line, two on lines of their own for displayed maths. Code stays,
+    dollar signs that are prices are escaped, empty maths goes."""
+
+    def put(m: re.Match) -> str:
+        if m["code"]:
+            return m[0]
+        if m["sign"]:
+            return "\\$"
+        if m["dollar"] is not None and not is_dollar_math(m["dollar"].strip()):
+            return m[0].replace("$", "\\$")
+        tex = next(g for g in (m["block"], m["display"], m["dollar"], m["inline"]) if g is not None).strip()
+        if not tex:
+            return ""
+        return f"${tex}$" if m["block"] is None and m["display"] is None else f"\n\n$$\n{tex}\n$$\n\n"
+
+    return _DELIMITED.sub(put, text.replace("\0", "\ufffd"))
+
+
+_RUN = re.compile(r"\\\[(?P<display>.+?)\\\]|\\\((?P<inline>.+?)\\\)", re.S)
+
+
 def split_inline_math(text: str) -> list[dict]:
-    """Runs (kind, text) of text and maths."""
+    """Runs (kind, text, display) of text and of marked maths, blanks around maths left out; an empty text is one empty run."""
     out, at = [], 0
-    for m in re.finditer(r"\\\((.+?)\\\)|\$\$(.+?)\$\$|(?<![\\$])\$([^$\n]+)\$", text, re.S):
-        tex = next(g for g in m.groups() if g is not None)
-        if m[3] is not None and not is_dollar_math(tex):
-            continue
+    for m in _RUN.finditer(text):
         if m.start() > at:
-            out.append({"kind": "text", "text": text[at : m.start()]})
-        out.append({"kind": "math", "text": tex})
+            out.append({"kind": "text", "text": text[at : m.start()], "display": False})
+        if tex := (m["display"] or m["inline"]).strip():
+            out.append({"kind": "math", "text": tex, "display": m["display"] is not None})
         at = m.end()
-    if at < len(text):
-        out.append({"kind": "text", "text": text[at:]})
+    if at < len(text) or not out:
+        out.append({"kind": "text", "text": text[at:], "display": False})
     return out
 
 
@@ -231,22 +260,79 @@ def strip_markdown(content: str, source: str) -> str:
     return re.sub(r"\0(\d+)\0", lambda m: spans[int(m[1])], text)
 
 
-def math_tokens(text: str) -> list[str]:
-    """Commands, numbers, names and signs of an equation; spacing does not count."""
-    return re.findall(r"\\[A-Za-z]+|\d+(?:\.\d+)?|[A-Za-z]|[^\sA-Za-z0-9]", text)
+# Signs of an equation, what may not stand next to a bare one, and what may not follow it after a blank.
+EQUATION_SIGNS = frozenset(".+*/=^_(),<>≤≥≈-")
+BEFORE, BEFORE_BLANK = frozenset("_\\/@.:?#%&=^+-*"), frozenset("=+-*/^_")
+AFTER, AFTER_BLANK = frozenset("_\\/@?#%&=^+*({<>"), frozenset("=+-*/^_%&|!<>≤≥≈\\")
+_PIECE = re.compile(r"\\(?P<name>[A-Za-z]+)|(?P<script>[_^])\s*\{\s*(?P<index>[+-]?\s*\d+|[A-Za-z])\s*\}|(?P<other>.)", re.S)
+_SPAN = re.compile(r"\$\$(.*?)\$\$|\\\[(.*?)\\\]|\\\((.*?)\\\)|(?<!\$)\$(?!\$)(.*?)(?<!\$)\$(?!\$)", re.S)
+
+
+def _presented(tex: str, depth: int = 0) -> str:
+    """One spelling for what is only written differently: signs of products and minus, wrapped names, scripts, roots; the rest stays."""
+    if depth > 16:
+        return tex
+    out, at = [], 0
+    while m := _PIECE.match(tex, at):
+        at = m.end()
+        if m["script"]:
+            out.append(m["script"] + m["index"])
+        elif m["name"] in ("times", "cdot"):
+            out.append("*")
+        elif m["name"] in ("text", "mathrm", "operatorname", "sqrt"):
+            opens = at + len(tex[at:]) - len(tex[at:].lstrip())
+            inner, end = _group(tex, opens) if tex[opens : opens + 1] == "{" else ("", 0)
+            if m["name"] == "sqrt" and end and tex[end - 1 : end] == "}" and inner.count("{") == inner.count("}"):
+                out.append(f"sqrt({_presented(inner, depth + 1)})")
+                at = end
+            elif m["name"] != "sqrt" and end and not set("{}") & set(_presented(inner, depth + 1)):
+                out.append("".join(_presented(inner, depth + 1).split()))
+                at = end
+            else:
+                out.append(m[0])
+        elif m["name"] not in ("left", "right"):
+            out.append({"−": "-", "×": "*"}.get(m[0], m[0]))
+    return "".join(out)
+
+
+def math_text(tex: str) -> str | None:
+    """An equation as it is compared: one spelling, no blanks; None if it has other signs or unbalanced brackets."""
+    text = "".join(_presented(unescape(tex)).split())
+    depth = 0
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if depth < 0 or not (c in EQUATION_SIGNS or c.isascii() and c.isalnum()):
+            return None
+    return text if text and not depth else None
+
+
+def _apart(before: str, after: str) -> bool:
+    """Whether what stands around a bare equation does not go on with it."""
+    if before and (before[-1].isalnum() or before[-1] in BEFORE) or before.rstrip(" \t")[-1:] in BEFORE_BLANK and before.rstrip(" \t"):
+        return False
+    if after and (after[0].isalnum() or after[0] in AFTER) or re.match(r"\.\d", after):
+        return False
+    tail = after.split("\n", 1)[0].lstrip(" \t")
+    return not (tail and tail[0] in AFTER_BLANK or re.match(r"[A-Za-z]{1,2}\b|\d", tail))
 
 
 def equation_found(page: str, expected: str) -> bool:
-    """Whether the equation stands on the page as a marked span, or bare between neighbours that do not go on with it."""
-    want = math_tokens(expected)
-    if any(math_tokens(run["text"]) == want for run in split_inline_math(page) if run["kind"] == "math"):
+    """Whether the equation stands on the page as a whole marked span, or bare between neighbours that do not go on with it.
+
+    What is expected must be an equation in the sense of math_text."""
+    want = math_text(expected)
+    if want is None:
+        raise ValueError(f"no equation that can be compared: {expected!r}")
+    if any(math_text(next(g for g in m.groups() if g is not None)) == want for m in _SPAN.finditer(page)):
         return True
-    have = math_tokens(page)
-    for k in range(len(have) - len(want) + 1):
-        if have[k : k + len(want)] == want:
-            around = [*have[max(0, k - 1) : k], *have[k + len(want) : k + len(want) + 1]]
-            if not any(re.fullmatch(r"[+\-*/=^_<>]|[A-Za-z]|\d.*", x) for x in around):
-                return True
+    bare = _presented(unescape(re.sub(r"<[^>]*>", " ", _SPAN.sub(" ", page))))
+    where = [k for k, c in enumerate(bare) if not c.isspace()]
+    dense = "".join(bare[k] for k in where)
+    at = dense.find(want)
+    while at >= 0:
+        if _apart(bare[max(0, where[at] - 200) : where[at]], bare[where[at + len(want) - 1] + 1 :][:2000]):
+            return True
+        at = dense.find(want, at + len(want))
     return False
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry as G
@@ -42,3 +42,35 @@ def dropped_pages(before: DataFrame, after: DataFrame, floor: float, retention:
     """(page, was, now) of pages whose share of the target's letters was at least floor and fell under retention of it."""
     j = before.join(after, "page").where((F.col("was") >= floor) & (F.col("now") < retention * F.col("was")))
     return j.select("page", "was", "now")
+
+
+def judge_sample(rows: DataFrame, group: str, key: str, size: str, draw: str, longest: int, drawn: int) -> DataFrame:
+    """(group, key, part): the longest rows of each group, and of the others those that are drawn first.
+
+    Every task keeps its first rows of a group only: the filter on the rank goes below the shuffle. Among the first
+    `longest + drawn` of the draw there are always enough rows that are not among the longest."""
+    def first(order: list[Column], most: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+        return rows.select(group, key, size, draw).withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+
+    top = first([F.desc(size), F.col(key)], longest)
+    lots = first([F.col(draw), F.col(key)], longest + drawn).join(top.select(group, key), [group, key], "left_anti")
+    rest = lots.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(draw, key))).where(F.col("_r") <= drawn)
+    return top.select(group, key, F.lit("longest").alias("part")).unionByName(rest.select(group, key, F.lit("drawn").alias("part")))
+
+
+def reason_pairs(counts: Column) -> Column:
+    """(reason, n) of a map of counts, the most frequent first, equals by name; counts under one are left out."""
+    pairs = F.transform(F.map_entries(counts), lambda e: F.struct((-F.floor(e["value"])).alias("m"), e["key"].alias("reason")))
+    return F.transform(F.array_sort(F.filter(pairs, lambda p: p["m"] < 0)), lambda p: F.struct(p["reason"].alias("reason"), (-p["m"]).cast("long").alias("n")))
+
+
+def reason_total(pairs: Column, counted: Column) -> Column:
+    """The larger of the counted total and the sum of the reasons, as either may be missing."""
+    return F.greatest(F.coalesce(counted, F.lit(0)), F.aggregate(pairs, F.lit(0).cast("long"), lambda a, p: a + p["n"]))
+
+
+def kept_summary(kept: Column, skipped: Column) -> Column:
+    """One line on what was not translated."""
+    k, s = F.concat(F.lit("원문 유지 "), kept), F.concat(F.lit("건너뜀 "), skipped)
+    return F.when((kept > 0) & (skipped > 0), F.concat(k, F.lit(" · "), s)).when(kept > 0, k).when(skipped > 0, s).otherwise("전부 번역됨")

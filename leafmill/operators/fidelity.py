@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,21 +34,34 @@ def inflation(truth_len: Column, cand_len: Column) -> Column:
     return F.when(cand_len > 0, F.least(F.lit(1.0), INFLATION * truth_len / cand_len)).otherwise(1.0)
 
 
-def page_fidelity(pairs: DataFrame, key: list[str], truth_col: str, cand_col: str, least: int = LEAST_TRUTH) -> DataFrame:
-    """(key, truth_chars, cand_chars, score): score is null where the truth is too short to measure.
+def shared_bigrams(truth: Column, candidate: Column) -> Column:
+    """(shared, total): bigrams of the truth, as a multiset, that the candidate has, and all of the truth; both are texts of one row."""
+
+    def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        return np.unique(code[:-1] << 21 | code[1:], return_counts=True)
 
-    Lengths travel with the bigrams, so the texts are read once for each side and nothing is joined."""
+    @F.arrow_udf("struct<shared: bigint, total: bigint>")
+    def count(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in parts:
+            shared, total = [], []
+            for t, c in zip(left.to_pylist(), right.to_pylist(), strict=True):
+                (g, n), (h, m) = grams(t), grams(c)
+                _, i, j = np.intersect1d(g, h, assume_unique=True, return_indices=True)
+                shared.append(int(np.minimum(n[i], m[j]).sum()))
+                total.append(int(n.sum()))
+            yield pa.StructArray.from_arrays([pa.array(shared, pa.int64()), pa.array(total, pa.int64())], names=["shared", "total"])
 
-    def side(col: str, truth: bool) -> DataFrame:
-        text = normalize_latin(F.coalesce(F.col(col), F.lit("")))
-        grams = pairs.select(*key, text.alias("x")).select(*key, F.length("x").cast("long").alias("n"), F.explode_outer(char_bigrams(F.col("x"))).alias("gram"))
-        one, none = F.when(F.col("gram").isNotNull(), 1).otherwise(0), F.lit(0)
-        return grams.select(*key, "gram", (one if truth else none).alias("t"), (none if truth else one).alias("c"), F.when(F.lit(truth), F.col("n")).alias("tn"), F.when(F.lit(not truth), F.col("n")).alias("cn"))
+    return count(truth, candidate)
+
+
+def page_fidelity(pairs: DataFrame, key: list[str], truth_col: str, cand_col: str, least: int = LEAST_TRUTH) -> DataFrame:
+    """(key, truth_chars, cand_chars, score): score is null where the truth is too short to measure.
 
-    both = side(truth_col, True).unionByName(side(cand_col, False))
-    counts = both.groupBy(*key, "gram").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.max("tn").alias("tn"), F.max("cn").alias("cn"))
-    g = counts.groupBy(*key).agg(F.sum(F.least("t", "c")).alias("shared"), F.sum("t").alias("total"), F.max("tn").alias("truth_chars"), F.max("cn").alias("cand_chars"))
-    cover = F.when(F.col("total") > 0, F.col("shared") / F.col("total")).otherwise(1.0)
+    Both texts are columns of one row, so they are counted there: nothing is shuffled."""
+    texts = pairs.select(*key, *(normalize_latin(F.coalesce(F.col(c), F.lit(""))).alias(n) for c, n in ((truth_col, "_t"), (cand_col, "_c"))))
+    g = texts.select(*key, F.length("_t").cast("long").alias("truth_chars"), F.length("_c").cast("long").alias("cand_chars"), shared_bigrams(F.col("_t"), F.col("_c")).alias("_g"))
+    cover = F.when(F.col("_g.total") > 0, F.col("_g.shared") / F.col("_g.total")).otherwise(1.0)
     value = cover * inflation(F.col("truth_chars"), F.col("cand_chars"))
     return g.select(*key, "truth_chars", "cand_chars", F.when(F.col("truth_chars") >= least, F.round(value, 6)).alias("score"))
 

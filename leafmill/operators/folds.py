@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.session import cut
 
-MOST_BLOCKS = 4000
-
 
 def visual_lines(spans: DataFrame, key: str, size: float) -> DataFrame:
     """(key, span, line): a new line starts where y leaves the first span of the line by max(1.25, .55 size).
@@ -28,23 +29,40 @@ def visual_lines(spans: DataFrame, key: str, size: float) -> DataFrame:
 
 def merge_fragments(blocks: DataFrame, key: str, gap: float = 0.6) -> DataFrame:
     """(key, group, x0, y0, x1, y1, n): neighbours on a row whose vertical overlap is 0.4 or more and whose gap is at most
-    `gap` heights are merged, the box growing as it goes; pages of over MOST_BLOCKS blocks are left as they are."""
-    cols = ("x0", "y0", "x1", "y1")
-    g = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "idx", "x1", "y1"))).alias("s"))  # blocks of one page
-    box = lambda s, n: F.struct(*(s[c].cast("long").alias(c) for c in cols), n.alias("n"))
-    none = F.expr("cast(array() as array<struct<x0: bigint, y0: bigint, x1: bigint, y1: bigint, n: bigint>>)")
-    one = F.lit(1).cast("long")
-
-    def step(acc, s):
-        top = F.get(acc, F.size(acc) - 1)
-        high = F.greatest(F.lit(1), F.least(top["y1"] - top["y0"], s["y1"] - s["y0"]))
-        both = F.least(top["y1"], s["y1"]) - F.greatest(top["y0"], s["y0"])
-        near = (both >= 0.4 * high) & (s["x0"] >= top["x1"]) & (s["x0"] - top["x1"] <= gap * high)
-        grown = F.struct(top["x0"].alias("x0"), F.least(top["y0"], s["y0"]).cast("long").alias("y0"), F.greatest(top["x1"], s["x1"]).cast("long").alias("x1"), F.greatest(top["y1"], s["y1"]).cast("long").alias("y1"), (top["n"] + 1).alias("n"))
-        return F.when(F.coalesce(near, F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(box(s, one))))
-
-    merged = F.when(F.size("s") <= MOST_BLOCKS, F.aggregate("s", none, step)).otherwise(F.transform("s", lambda s: box(s, one)))
-    return g.select(key, F.posexplode(merged).alias("k", "b")).select(key, F.col("k").cast("long").alias("group"), "b.*")
+    `gap` heights are merged, the box growing as it goes. One pass over the ordered blocks, which holds one box at a time,
+    so a page may have any number of them."""
+    kind = blocks.schema[key].dataType.simpleString()
+    names = [key, "group", "x0", "y0", "x1", "y1", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        page, group, box, n = None, 0, None, 0
+        for batch in batches:
+            for k, x0, y0, x1, y1 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if box is not None and k == page:
+                    a0, b0, a1, b1 = box
+                    high = max(1, min(b1 - b0, y1 - y0))
+                    if min(b1, y1) - max(b0, y0) >= 0.4 * high and 0 <= x0 - a1 <= gap * high:
+                        box, n = (a0, min(b0, y0), max(a1, x1), max(b1, y1)), n + 1
+                        continue
+                if box is not None:
+                    out.append((page, group, *box, n))
+                group = group + 1 if box is not None and k == page else 0
+                page, box, n = k, (x0, y0, x1, y1), 1
+            if len(out) > 10_000:
+                yield _batch(out)
+                out = []
+        if box is not None:
+            out.append((page, group, *box, n))
+        yield _batch(out)
+
+    key_type = blocks.select(key).limit(0).toArrow().schema.field(0).type
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 7, [key_type] + [pa.int64()] * 6, strict=True)], names=names)
+
+    ordered = blocks.repartition(key).sortWithinPartitions(key, "y0", "x0", "idx").select(key, *(F.col(c).cast("long") for c in ("x0", "y0", "x1", "y1")))
+    return ordered.mapInArrow(run, f"{key} {kind}, group long, x0 long, y0 long, x1 long, y1 long, n long")
 
 
 def dag_cost(edges: DataFrame, own: DataFrame, cap: int, most: int = 64) -> DataFrame:

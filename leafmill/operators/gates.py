@@ -5,18 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafmill.functions.arrays import let
 from leafmill.functions.text import lines, nonempty_lines, strip_ws
 
-HANGUL = r"[\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}\x{3130}-\x{318F}]"
-LETTER = r"\p{L}"
-# Marks of code, bibliography, refusal and prompt scaffold lines.
-CODE_LINE = r"(?:[;{}]\s*$|^\s*(?:def|class|import|from|return|if|for|while|else|elif|try|except|#include|function|const|let|var)\b|^\s*(?:\$|>>>)\s|\w\(.*\)\s*[:;{]?\s*$|^\s*//|^\s*#!)"
+HANGUL = r"[\x{AC00}-\x{D7A3}]"
+# Lines of a reference list and the evidence that a single one needs, an identifier, refusals, and marks of a prompt.
 REFERENCE_LINE = r"^\s*\[\d+\]\s+\S"
-BIBLIOGRAPHY = r"(?:\b(?:19|20)\d\d\b.*\b(?:pp|vol|doi|arXiv|Proc|Journal|Conference)\b|\bdoi:|\barXiv:\d)"
-ARXIV = r"^(?:arXiv:)?\d{4}\.\d{4,5}(?:v\d+)?$"
-REFUSAL = r"(?i)\b(?:i can(?:no|')t (?:assist|help|translate)|i am unable to|as an ai)\b"
-SCAFFOLD = r"(?i)^\s*(?:\[?(?:source|translation|glossary|context)\]?\s*:|###\s*(?:source|task|output))"
-IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_.]*$"
+BIBLIOGRAPHY = r"(?i)\b(?:19|20)\d{2}\b|arXiv|,\s*[A-Z]\.|\bpp\.\s*\d|\bvol\.\s*\d"
+ARXIV = r"^(?:arXiv:\d{4}\.\d{4,5}(?:v\d+)?\s*)+$"
+KO_NEGATION = r"번역(?:을|이|은|할|해)?\s*(?:드릴|제공할|수행할)?\s*수\s*없|번역(?:을|이|은)?\s*불가"
+REFUSAL = (
+    r"(?i)(?:cannot|can'?t|unable to|won'?t)\s+(?:translate|assist|help|comply|process)|as an ai(?:\s+language)?\s+model|i'?m (?:sorry|unable)|i am (?:sorry|unable)|"
+    + KO_NEGATION + r"|죄송(?:합니다|해요)|도와드릴\s*수\s*없"
+)
+SCAFFOLD = (
+    r"(?i)^\s*(?:\[?(?:source|translation|glossary|context)\]?\s*:|###\s*(?:source|task|output))|\[번역할 원문|\[원문 유지|\[용어집|\[직전 문맥|\[첫 등장 병기|\[블록 유형|\[수정할 번역문"
+    r"|\[원문 — 아래 꺾쇠 태그|\[논문 개요|\[섹션 제목|\[용어 후보|다음 꺾쇠 태그가"
+)
+POLITE_END = r"(?:입니다|습니다)\s*[.!?]?\s*$"
+# Signs of code by line, and the words that prose has.
+LISTING = (
+    r"^\s*#?\s*\[?\s*(?:Step|단계)\s*:?\s*\d+\s*/\s*\d+\s*\]?\s*$|^\s*[-dlbcps][-rwxsStT]{8,12}\s+\d+\s+\S+|^\s*[\{\[].*[\"'][A-Za-z_]+[\"']\s*[:=]"
+    r"|^\s*(?:total\s+\d+\s*$|\w[\w.-]*:\s*(?:cannot |No such |command not found|Permission denied))|^\s*\"[A-Za-z_][\w-]*\"\s*:\s*(?:[\"\[{]|-?\d|true\b|false\b|null\b)"
+)
+CODE_SURE = LISTING + r"|^\s*[$>%]\s+\S|^[\s{}\[\](),;]+$"
+DECLARATION = r"^\s*(?:use|import|from|package|require|#include|#define|def|class|fn|func|impl|struct|pub|let|const|var|module|namespace)\s+\S"
+ASSIGNMENT = r"^\s*[A-Za-z_][\w.\[\]'\"+:-]*\s*=\s*\S"
+SENTENCE_END = r"[.!?][\"')\]]?\s*$"
+CODE_SIGNS = (
+    r"::|->|=>|!==|===|==|!=|\+=|-=|&&|\|\||\bself\b", r"[:{]\s*$", r";$",
+    r"(?:^|\s)(?:\.{0,2}/[\w./-]+|[\w-]+\.(?:py|rs|sh|c|cc|cpp|h|js|ts|json|jpg|md))", r"\w\([^)]*\)",
+)
+PROMPT_MARK = r"^\s*(?:[$#>%]+|//|--|;;)\s*"
+PROSE_WORD = r"[A-Za-z][A-Za-z'-]{2,}"
+PROSE_WORDS = (
+    "the of to this that these those it its we our you your they them their there here was were been being has have had does did would could should might must which what when where why how"
+    " because however therefore although while whereas than such more most also both each any every other another same different"
+).split()
+IDENTIFIER = r"^[a-z0-9][a-z0-9._+-]*$"
 
 
 def is_reference_list(text: Column) -> Column:
@@ -27,68 +53,113 @@ def is_reference_list(text: Column) -> Column:
 
 
 def code_line(line: Column) -> Column:
-    return line.rlike(CODE_LINE)
+    """A line in the form of a listing, a declaration or assignment that ends no sentence, or two weaker signs."""
+    signs = F.lit(0)
+    for sign in CODE_SIGNS:
+        signs = signs + line.rlike(sign).cast("int")
+    return line.rlike(CODE_SURE) | (~line.rlike(SENTENCE_END) & (line.rlike(DECLARATION) | line.rlike(ASSIGNMENT) | (signs >= 2)))
 
 
 def prose_line(line: Column) -> Column:
-    """Five words or more, a word of four letters, and an end of sentence or a capital."""
-    return (F.regexp_count(line, F.lit(r"[A-Za-z]+")) >= 5) & line.rlike(r"[A-Za-z]{4}") & line.rlike(r"(?:[.!?]\s*$|^[A-Z][a-z])") & ~code_line(line)
+    """Six words or more of which two are words of prose, few marks, and no form of code; a prompt before it does not count."""
+    def judged(body: Column) -> Column:
+        words = F.regexp_extract_all(F.lower(body), F.lit(PROSE_WORD), F.lit(0))
+        marks = F.regexp_count(body, F.lit(r"[^\p{L}\p{N}_\s]"))
+        return (F.size(words) >= 6) & (F.size(F.filter(words, lambda w: w.isin(PROSE_WORDS))) >= 2) & ~body.rlike(DECLARATION) & ~body.rlike(r";\s*$") & (marks * 100 < F.length(body) * 18)
+
+    return ~line.rlike(LISTING) & let(F.regexp_replace(line, PROMPT_MARK, ""), judged)
 
 
 def is_identifier_list(text: Column) -> Column:
     """Eight comma parts or more, nine tenths of them identifiers."""
-    parts = F.filter(F.transform(F.split(text, ","), strip_ws), lambda x: x != "")
-    hits = F.size(F.filter(parts, lambda x: x.rlike(IDENTIFIER)))
-    return (F.size(parts) >= 8) & (hits * 10 >= F.size(parts) * 9)
+    parts = F.filter(F.transform(F.split(F.translate(text, "\n", " "), ","), strip_ws), lambda x: x != "")
+    return let(parts, lambda p: (F.size(p) >= 8) & (F.size(F.filter(p, lambda x: x.rlike(IDENTIFIER))) * 10 >= F.size(p) * 9))
+
+
+def code_reason(text: Column) -> Column:
+    """identifier-list or code (most lines are code and none is prose); empty for other texts and those with Hangul in them."""
+    def judged(each: Column) -> Column:
+        code = F.size(F.filter(each, code_line))
+        return F.when((F.size(each) > 0) & (code * 2 > F.size(each)) & ~F.exists(each, prose_line), "code").otherwise("")
+
+    return F.when(text.rlike(HANGUL), "").when(is_identifier_list(text), "identifier-list").otherwise(let(nonempty_lines(text), judged))
 
 
 def looks_like_code(text: Column) -> Column:
-    """Most lines are code and none is prose, or the text lists identifiers."""
-    each = nonempty_lines(text)
-    code, prose = F.size(F.filter(each, code_line)), F.size(F.filter(each, prose_line))
-    return ((F.size(each) > 0) & (code * 2 > F.size(each)) & (prose == 0)) | is_identifier_list(text)
-
-
-def skip_reason(text: Column, with_code: bool = True) -> Column:
-    """Why a unit needs no translation; empty if it does."""
-    bare = F.regexp_replace(text, r"\s+", "")
-    n = F.length(bare)
-    letters = F.regexp_count(bare, F.lit(LETTER))
-    ids = F.filter(F.split(strip_ws(text), r"\s+"), lambda x: x != "")
-    out = (
-        F.when(n == 0, "non-linguistic").when(is_reference_list(text), "references").when(F.regexp_count(bare, F.lit(HANGUL)) * 2 > n, "already-korean")
-        .when(F.forall(ids, lambda x: x.rlike(ARXIV)), "identifier")
+    return code_reason(text) != ""
+
+
+def skip_reason(text: Column, with_code: bool = True, residual: Column | None = None) -> Column:
+    """Why a unit needs no translation; empty if it does. residual: what is left of it when marks are taken out; the text if None."""
+    residual = text if residual is None else residual
+    count = lambda c, p: F.regexp_count(c, F.lit(p))
+    found = (
+        F.when(strip_ws(text) == "", "non-linguistic").when(is_reference_list(text), "references").when(count(text, HANGUL) * 2 > count(text, r"\S"), "already-korean")
+        .when(strip_ws(text).rlike(ARXIV), "identifier")
     )
     if with_code:
-        out = out.when(looks_like_code(text), "code")
-    return out.when(~text.rlike(r"\p{L}{2}") | (letters * 10 < n * 3), "non-linguistic").otherwise("")
+        found = found.when(code_reason(text) != "", code_reason(text))
+    return found.when(~residual.rlike(r"[A-Za-z]{2}") | (count(residual, "[A-Za-z]") * 10 < count(residual, r"\S") * 3), "non-linguistic").otherwise("")
 
 
 def numbers_dropped(src: Column, out: Column) -> Column:
-    """All numbers of four digits or more are lost; separators do not count."""
-    flat = lambda c: F.regexp_replace(c, r"(?<=\d)[,\s](?=\d)", "")
-    found = F.regexp_extract_all(flat(src), F.lit(r"\d{4,}"), F.lit(0))
-    return (F.size(found) > 0) & F.forall(found, lambda x: ~F.contains(flat(out), x))
+    """All numbers of four digits or more are lost; commas and blanks of the output do not count."""
+    found = F.regexp_extract_all(src, F.lit(r"\d{4,}"), F.lit(0))
+    return (F.size(found) > 0) & let(F.regexp_replace(out, r"[,\s]", ""), lambda flat: F.forall(found, lambda x: ~F.contains(flat, x)))
 
 
 def refusal_hit(src: Column, out: Column) -> Column:
-    return out.rlike(REFUSAL) & ~src.rlike(REFUSAL)
-
-
-def output_reason(src: Column, out: Column, own: str = HANGUL) -> Column:
-    """Why an output is not taken as a translation; empty if it is. own: class of the target's letters."""
-    bare = lambda c: F.regexp_replace(c, r"\s+", "")
-    n_src, n_out = F.length(bare(src)), F.length(bare(out))
-    letters = F.regexp_count(out, F.lit(LETTER))
-    share = F.when(letters > 0, F.regexp_count(out, F.lit(own)) / letters).otherwise(0.0)
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z]{2,}"), F.lit(0)))
-    retention = F.when(F.size(words(src)) > 0, F.size(F.array_intersect(words(src), words(out))) / F.size(words(src))).otherwise(0.0)
-    low = F.when(n_src >= 200, 0.25).otherwise(0.12)
-    return (
-        F.when(out.rlike(SCAFFOLD) & ~src.rlike(SCAFFOLD), "scaffold").when(refusal_hit(src, out), "refusal")
-        .when(n_src < 12, "").when((n_src <= 80) & numbers_dropped(src, out), "numbers").when((share < 0.15) & ((share < 0.05) | (retention >= 0.9)), "untranslated")
-        .when(F.lower(bare(src)) == F.lower(bare(out)), "echo").when((n_out < low * n_src) | (n_out * 3 > n_src * 4), "length").otherwise("")
-    )
+    """A refusal that the source does not have; of a source about translation, not only that something cannot be translated."""
+    apart = F.regexp_replace(out, KO_NEGATION, " ").rlike(REFUSAL)
+    return out.rlike(REFUSAL) & ~src.rlike(REFUSAL) & (~src.rlike("(?i)translat") | apart)
+
+
+def label_became_sentence(src: Column, out: Column) -> Column:
+    """A source that ends no sentence, an output in polite sentence form."""
+    return ~src.rlike(r"[.!?:;]\s*$") & out.rlike(POLITE_END)
+
+
+def embeds_source(words: Column, out: Column) -> Column:
+    """Whether four fifths of the source's words, eight at least, stand in the output in a row; words of Hangul break a row."""
+    tokens = F.transform(F.regexp_extract_all(out, F.lit(rf"[A-Za-z]{{2,}}|{HANGUL}+"), F.lit(0)), lambda t: F.when(t.rlike(HANGUL), "|").otherwise(F.lower(t)))
+    row = lambda a: F.concat(F.lit(" "), F.array_join(a, " "), F.lit(" "))
+
+    def found(w: Column) -> Column:
+        need = F.greatest(F.lit(8), F.floor((F.size(w) * 4 + 4) / 5).cast("int"))
+        starts = F.sequence(F.lit(1), F.size(w) - need + 1)
+        return F.when(F.size(w) >= need, let(row(tokens), lambda body: F.exists(starts, lambda k: F.contains(body, row(F.slice(w, k, need)))))).otherwise(F.lit(False))
+
+    return let(words, found)
+
+
+def output_reason(
+    src: Column, out: Column, own: str = HANGUL, residual: Column | None = None, plain_out: Column | None = None, masked: Column | None = None, with_repetition: bool = True
+) -> Column:
+    """Why an output is not taken as a translation; empty if it is.
+
+    own: class of the target's letters; residual: the source without its marks; plain_out: the output without what the
+    marks stand for; masked: whether there are marks."""
+    residual, plain_out = src if residual is None else residual, out if plain_out is None else plain_out
+    latin = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[a-z]{2,}"), F.lit(0))
+    n_src, n_out = F.length(src), F.length(out)
+
+    def judged(words: Column) -> Column:
+        dense = F.regexp_count(plain_out, F.lit(r"\S"))
+        share = F.when(dense > 0, F.regexp_count(plain_out, F.lit(own)) / dense).otherwise(1.0)
+        kept = let(F.array_distinct(latin(out)), lambda seen: F.size(F.filter(words, lambda w: F.array_contains(seen, w)))) / F.size(words)
+        most = (F.when(masked, 4) if masked is not None else F.when(F.lit(False), 4)).otherwise(3)
+        found = F.when(out.rlike(SCAFFOLD) & ~src.rlike(SCAFFOLD), "scaffold").when(refusal_hit(src, out), "refusal")
+        if with_repetition:
+            found = found.when(is_degenerate(plain_out, residual), "repetition")
+        return (
+            found.when((F.size(words) <= 2) & label_became_sentence(strip_ws(src), strip_ws(out)), "label-sentence")
+            .when(F.size(words) < 2, F.when(n_out > F.greatest(F.lit(40), 6 * n_src), "length-ratio").otherwise(""))
+            .when((n_src <= 80) & numbers_dropped(residual, plain_out), "number-mismatch").when((share < 0.15) & ((share < 0.05) | (kept >= 0.9)), "hangul-ratio")
+            .when((F.size(words) >= 8) & embeds_source(words, plain_out), "echo")
+            .when((n_out < F.when(n_src <= 80, 0.12).otherwise(0.25) * n_src) | (n_out > most * n_src), "length-ratio").otherwise("")
+        )
+
+    return let(latin(residual), judged)
 
 
 def repetition_spans(text: Column) -> Column:

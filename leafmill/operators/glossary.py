@@ -14,6 +14,8 @@ CAPITALISED = r"(?:^|[^\p{L}\p{N}_])(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+){0,2})"
 COMPOUND = r"(?:^|[^\p{L}\p{N}_-])(\p{Ll}{2,}(?:-\p{Ll}{2,})+)"
 TOKEN = r"[\p{L}\p{N}_]+"
 ACRONYM = r"^[A-Z]{2,8}s?$"
+#: First words of terms that go with the plan at most; a longer glossary is joined on all words.
+FIRST_WORDS = 2_000
 
 
 def candidates(df: DataFrame, text_col: str = "text", least: int = 3, most: int = 80) -> DataFrame:
@@ -32,11 +34,15 @@ def acronyms(df: DataFrame, text_col: str = "text", least: int = 2) -> DataFrame
 def matches(units: DataFrame, glossary: DataFrame, unit_col: str = "unit_id", text_col: str = "src") -> DataFrame:
     """(unit, term, policy, ...) of every term that stands in a unit between word boundaries, case ignored.
 
-    No cross join: a unit's distinct words meet the first words of terms; longer terms are then verified."""
-    body = units.withColumn("_w", words_of(F.col(text_col)))
-    seen = body.select(*units.columns, F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_body"), F.explode(F.array_distinct("_w")).alias("_first"))
+    No cross join: a unit's distinct words meet the first words of terms; longer terms are then verified. The first
+    words are counted: up to FIRST_WORDS of them go with the plan, so that only words that begin a term become rows."""
     terms = glossary.withColumn("_t", words_of(F.col("term"))).where(F.size("_t") > 0).withColumn("_first", F.get("_t", F.lit(0))).withColumn("_phrase", F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" "))).drop("_t")
-    return seen.join(terms, "_first").where(F.contains("_body", "_phrase")).drop("_first", "_body", "_phrase")
+    firsts = [r[0] for r in terms.select("_first").distinct().limit(FIRST_WORDS + 1).collect()]
+    small = len(firsts) <= FIRST_WORDS
+    body = units.withColumn("_w", words_of(F.col(text_col)))
+    begins = F.filter("_w", lambda x: x.isin(firsts)) if small else F.col("_w")
+    seen = body.select(*units.columns, F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_body"), F.explode(F.array_distinct(begins)).alias("_first"))
+    return seen.join(F.broadcast(terms) if small and terms.count() <= 10 * FIRST_WORDS else terms, "_first").where(F.contains("_body", "_phrase")).drop("_first", "_body", "_phrase")
 
 
 def unit_terms(found: DataFrame, most: int = 12, unit_col: str = "unit_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.session import global_rank
+from leafmill.session import cut, global_rank
 
 
 def latest_state(events: DataFrame, key: str, order: list[str], *cols: str) -> DataFrame:
@@ -70,10 +70,17 @@ def keep_last(rows: DataFrame, identity: list[str], order: list[str], most: int,
 
 
 def weighted_median(rows: DataFrame, key: list[str], value: str, weight: str) -> DataFrame:
-    """(key, median): the least value at which the running weight reaches half of the total (lower median)."""
+    """(key, median): the least value at which the running weight reaches half of the total (lower median).
+
+    Values are dealt into ranges; sums of the ranges tell the one that holds a key's median, and only its values are run through."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_value = rows.groupBy(*key, value).agg(F.sum(weight).alias("_w"))
-    w = Window.partitionBy(*key)
-    run = by_value.withColumn("_c", F.sum("_w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_t", F.sum("_w").over(w))
+    ranged = cut(by_value.repartitionByRange(parts, *key, value).withColumn("_range", F.spark_partition_id()))
+    own = Window.partitionBy(*key)
+    sums = ranged.groupBy(*key, "_range").agg(F.sum("_w").alias("_s"))  # as many rows of a key as there are ranges, at most
+    sums = sums.withColumn("_base", F.sum("_s").over(own.orderBy("_range")) - F.col("_s")).withColumn("_t", F.sum("_s").over(own))
+    there = sums.where("_base * 2 < _t and (_base + _s) * 2 >= _t").drop("_s")
+    run = ranged.join(there, [*key, "_range"]).withColumn("_c", F.col("_base") + F.sum("_w").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return run.where("_c * 2 >= _t").groupBy(*key).agg(F.min(value).alias("median"))
 
 
@@ -110,6 +117,37 @@ def missing_batches(pages: DataFrame, key: str, page: str, loaded: Column, most:
     return part.groupBy(key, "_island", "_k").agg(F.min(page).alias("first"), F.max(page).alias("last")).drop("_island", "_k")
 
 
+def first_attempts(attempts: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Adds won: of the attempts to claim or cancel a waiting job exactly the first one succeeds; those on other jobs never do.
+
+    attempts: (key, order, waiting)."""
+    rank = F.row_number().over(Window.partitionBy(key, "waiting").orderBy(*order))
+    return attempts.withColumn("won", F.col("waiting") & (rank == 1))
+
+
+def created_order(created_at: Column) -> Column:
+    """Nanoseconds of an ISO date, by which jobs without a submit order are restored; 0 for what is none."""
+    return F.coalesce(F.unix_seconds(F.try_to_timestamp(created_at)) * 1_000_000_000, F.lit(0).cast("long"))
+
+
+def iso(ts: Column) -> Column:
+    """A time as it is written in job records: UTC, seconds."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("iso")
+
+
+def page_frame(total: Column, current: Column, radius: int) -> Column:
+    """(start, end) of the pages around the current one, which is kept within the document; 1 to 0 for an empty one."""
+    active = F.least(total, F.greatest(F.lit(1), current))
+    empty = total <= 0
+    return F.struct(F.when(empty, 1).otherwise(F.greatest(F.lit(1), active - radius)).cast("long").alias("start"), F.when(empty, 0).otherwise(F.least(total, active + radius)).cast("long").alias("end"))
+
+
+def page_slice(pages: DataFrame, key: str, page: str, start: Column, limit: int) -> DataFrame:
+    """Pages from start on, `limit` at most, with the total number of pages of their document."""
+    totals = pages.groupBy(key).agg(F.count("*").alias("total"))
+    return pages.where((F.col(page) >= start) & (F.col(page) < start + limit)).join(totals, key)
+
+
 def top_messages(rows: DataFrame, text: str, most: int = 3) -> DataFrame:
     """Distinct messages with counts, the first few, and how many more kinds there are."""
     counts = rows.groupBy(text).agg(F.count("*").alias("n"))

@@ -59,6 +59,17 @@ def cache_plan(units: DataFrame, cache: DataFrame, key: str = "key") -> tuple[Da
     return hits, misses
 
 
+def reconstructed(units: DataFrame, cache: DataFrame, kept: DataFrame, key: str = "key", unit: str = "unit_id") -> DataFrame:
+    """Adds state: skipped (rows with skip), found in the cache, kept as they were by the report, else unverified.
+
+    cache: (key); kept: (unit)."""
+    have = cache.select(key).distinct().withColumn("_found", F.lit(True))
+    same = kept.select(unit).distinct().withColumn("_kept", F.lit(True))
+    joined = units.join(have, key, "left").join(same, unit, "left")
+    state = F.when(F.col("skip"), "skipped").when(F.col("_found"), "found").when(F.col("_kept"), "kept").otherwise("unverified")
+    return joined.withColumn("state", state).drop("_found", "_kept")
+
+
 def degenerate_outputs(rows: DataFrame, out: str, signature: str, least: int = 3) -> DataFrame:
     """(out, n_sources, n_units) of outputs shared by at least `least` distinct sources."""
     g = rows.groupBy(out).agg(F.count_distinct(signature).alias("n_sources"), F.count("*").alias("n_units"))

@@ -8,6 +8,7 @@ from leafmill.functions import markdown, markup, scalars
 from leafmill.functions import unicode as U
 from leafmill.operators import control, folds, layout, textlayer
 from leafmill.plans.layout_queries import CHANGED, OVERLAP, B, _blocks, _changed
+from leafmill.plans.page_queries import LINES
 from leafmill.plans.registry import query, table
 from leafmill.sources import sinks
 
@@ -24,7 +25,7 @@ def exact_normal_forms(spark, d):
 PREVIEW = r"with b as (select l_orderkey as page, '<|det|>' || case l_linenumber % 4 when 0 then 'page_number' when 1 then 'image' else 'text' end || ' [' || l_partkey % 900 || ', 1, 2, 3]<|/det|>part ' || l_suppkey || chr(10) as raw, l_linenumber as n, l_partkey as p, l_suppkey as s from lineitem)"
 
 
-@query("structure_preview", "P29", PREVIEW + r""" select page, n, p, s, regexp_replace(regexp_replace(regexp_replace(raw, '<\|det\|>(?:page_number|header|footer|footnote) \[[^\]]*\]<\|/det\|>[^<]*', '', 'g'), '<\|det\|>image \[[^\]]*\]<\|/det\|>[^<]*', '[figure]' || chr(10), 'g'), '<\|det\|>[a-z_]+ \[[^\]]*\]<\|/det\|>', '', 'g') as view from b""")
+@query("structure_preview", "", PREVIEW + r""" select page, n, p, s, regexp_replace(regexp_replace(regexp_replace(raw, '<\|det\|>(?:page_number|header|footer|footnote) \[[^\]]*\]<\|/det\|>[^<]*', '', 'g'), '<\|det\|>image \[[^\]]*\]<\|/det\|>[^<]*', '[figure]' || chr(10), 'g'), '<\|det\|>[a-z_]+ \[[^\]]*\]<\|/det\|>', '', 'g') as view from b""")
 def structure_preview(spark, d):
     kind = F.when(F.col("l_linenumber") % 4 == 0, "page_number").when(F.col("l_linenumber") % 4 == 1, "image").otherwise("text")
     raw = F.concat(F.lit("<|det|>"), kind, F.lit(" ["), F.col("l_partkey") % 900, F.lit(", 1, 2, 3]<|/det|>part "), "l_suppkey", F.lit("\n"))
@@ -34,7 +35,7 @@ def structure_preview(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), view.alias("view"))
 
 
-@query("changed_blocks", "M08", f"with {B}, {CHANGED} select b.page, count(*)::bigint as changed from b join t using (page, idx) where trim(b.content) <> trim(t.content) group by 1")
+@query("changed_blocks", "", f"with {B}, {CHANGED} select b.page, count(*)::bigint as changed from b join t using (page, idx) where trim(b.content) <> trim(t.content) group by 1")
 def changed_blocks(spark, d):
     b = _blocks(spark, d)
     return layout.align(b.withColumn("type", F.lit("x")), _changed(b).join(b.select("page", "idx", *(F.col(c).alias(f"_{c}") for c in BOX)), ["page", "idx"]).select("page", "idx", F.lit("x").alias("type"), *(F.col(f"_{c}").alias(c) for c in BOX), "content")).where("translated").groupBy("page").agg(F.count("*").alias("changed"))
@@ -49,7 +50,7 @@ def figure_widths(spark, d):
     return b.join(meta, "name", "left").select("page", "idx", "name", width.alias("width"))
 
 
-@query("incremental_merge", "T15 K13 K11", """with e as (select event_type as kind, user_id, event_id, value, event_id // 2500 as chunk from events), r as (select *, row_number() over (partition by kind, user_id order by chunk desc, event_id desc) as k from e)
+@query("incremental_merge", "K11", """with e as (select event_type as kind, user_id, event_id, value, event_id // 2500 as chunk from events), r as (select *, row_number() over (partition by kind, user_id order by chunk desc, event_id desc) as k from e)
 select kind, user_id, event_id from r where k = 1""")
 def incremental_merge(spark, d):
     """Chunks merged one after another, the newest row of a key winning: what foreachBatch does with each batch."""
@@ -127,15 +128,15 @@ def run_breakers(spark, d):
     return control.breakers(table(spark, d, "events").select("user_id", "event_id", o.alias("outcome")), "user_id", "event_id")
 
 
-@query("stale_artefacts", "C07 M28", """with i as (select source as artefact, sha256(string_agg(doc_id || ':' || n_chars || ':' || doc_id % 7, chr(10) order by doc_id::varchar, n_chars)) as signature from documents group by 1)
-select artefact, signature from i where artefact not in ('src1', 'src4')""")
+@query("stale_artefacts", "C07 M28", """with i as (select doc_id // 20 as artefact, sha256(string_agg(doc_id || ':' || n_chars || ':' || doc_id % 7, chr(10) order by doc_id::varchar, n_chars)) as signature from documents group by 1)
+select artefact, signature from i where artefact % 3 <> 1""")
 def stale_artefacts(spark, d):
-    inputs = table(spark, d, "documents").select(F.col("source").alias("artefact"), F.col("doc_id").cast("string").alias("name"), F.col("n_chars").alias("size"), (F.col("doc_id") % 7).alias("mtime"))
-    built = control.stale(inputs.select("artefact").limit(0).withColumn("signature", F.lit("")), inputs).where(F.col("artefact").isin("src1", "src4"))
+    inputs = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 20).alias("artefact"), F.col("doc_id").cast("string").alias("name"), F.col("n_chars").alias("size"), (F.col("doc_id") % 7).alias("mtime"))
+    built = control.stale(inputs.select("artefact").limit(0).withColumn("signature", F.lit("")), inputs).where("artefact % 3 = 1")
     return control.stale(built, inputs)
 
 
-@query("upload_issues", "F23 F18 S01", """select doc_id, case when n_chars % 11 = 0 then 'empty' when n_chars > 5000 then 'too-large' when doc_id % 3 = 0 then 'kind' else '' end as issue, doc_id % 5 = 0 or doc_id % 2 = 0 as fresh from documents""")
+@query("upload_issues", "F23 F18", """select doc_id, case when n_chars % 11 = 0 then 'empty' when n_chars > 5000 then 'too-large' when doc_id % 3 = 0 then 'kind' else '' end as issue, doc_id % 5 = 0 or doc_id % 2 = 0 as fresh from documents""")
 def upload_issues(spark, d):
     f = table(spark, d, "documents").select("doc_id", F.concat(F.lit("a."), F.when(F.col("doc_id") % 3 == 0, "exe").otherwise("PDF")).alias("name"), F.when(F.col("n_chars") % 11 == 0, 0).otherwise(F.col("n_chars") * 1024 * 1024).alias("size"))
     header = F.when(F.col("doc_id") % 5 == 0, "*").when(F.col("doc_id") % 2 == 0, F.concat(F.lit('"x", W/"'), "doc_id", F.lit('"'))).otherwise('"y"')
@@ -161,7 +162,7 @@ def explained_losses(spark, d):
     return control.explained_losses(lost, e.where("value > 60").select(F.col("user_id").alias("page"), F.col("event_type").alias("reason")))
 
 
-@query("engine_pages", "U01 U03 T14")
+@query("engine_pages", "U01 U03 T14", f"with {LINES} select doc_id as job, page, '<|det|>text [0, 0, 999, 999]<|/det|>' || line as raw, null::varchar as warning from lines")
 def engine_pages(spark, d):
     """(job, page, raw, warning): lines of documents as payloads of the registered demonstration engine, in chunks."""
     from leafmill.operators import pages as P
@@ -194,7 +195,7 @@ def markdown_blocks(spark, d):
     return b.select("doc_id", "b.i", "b.kind", "b.start", "b.stop", "b.level")
 
 
-@query("markdown_html", "K07 K08")
+@query("markdown_html", "K07")
 def markdown_html(spark, d):
     return table(spark, d, "documents").select("doc_id", markup.as_udf(markdown.to_html, "string")(F.concat(F.lit("# T <b>\n\n"), "text")).alias("html"))
 

@@ -27,7 +27,7 @@ j as (select user_id as job_id, arg_max(event_type, (us, event_id)) as event_typ
 s as (select *, {STATUS} as status from j)"""
 
 
-@query("job_states", "S07 C09 X14", f"with {JOBS} select job_id, status, us, case status when 'running' then 'error' else status end as after_restart from s")
+@query("job_states", "", f"with {JOBS} select job_id, status, us, case status when 'running' then 'error' else status end as after_restart from s")
 def job_states(spark, d):
     j = _jobs(spark, d)
     return j.select("job_id", "status", "us", F.when(F.col("status") == "running", "error").otherwise(F.col("status")).alias("after_restart"))
@@ -81,7 +81,7 @@ def _log(spark, d):
     return jobs.replay_log(e, "user_id", ["us", "event_id"], F.col("event_type") == "error", "text")
 
 
-@query("replay_log_reconstructed", "T03 T04 S14", f"with {REPLAY} select * from l")
+@query("replay_log_reconstructed", "T03 T04", f"with {REPLAY} select * from l")
 def replay_log_reconstructed(spark, d):
     return _log(spark, d)
 
@@ -152,12 +152,10 @@ k as (select *, row_number() over (partition by source, r <= 4 order by h, doc_i
 select source, doc_id, case when r <= 4 then 'longest' else 'drawn' end as part from k where r <= 4 or s <= 6""")
 def judge_sample(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", F.length("text").alias("n"), F.md5(F.concat(F.lit("7:"), "doc_id").cast("binary")).alias("h"))
-    r = docs.withColumn("long", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "doc_id")) <= 4)
-    s = r.withColumn("s", F.row_number().over(Window.partitionBy("source", "long").orderBy("h", "doc_id"))).where("long or s <= 6")
-    return s.select("source", "doc_id", F.when(F.col("long"), "longest").otherwise("drawn").alias("part"))
+    return evaluate.judge_sample(docs, "source", "doc_id", "n", "h", 4, 6)
 
 
-@query("reason_report", "A16 K12 A21", """with p as (select event_type as reason, (user_id % 50)::bigint as page from events), g as (select reason, page, count(*) as n from p group by 1, 2), r as (select *, row_number() over (partition by reason order by page) as k from g)
+@query("reason_report", "A16", """with p as (select event_type as reason, (user_id % 50)::bigint as page from events), g as (select reason, page, count(*) as n from p group by 1, 2), r as (select *, row_number() over (partition by reason order by page) as k from g)
 select reason, sum(n)::bigint as n, count(*)::bigint as pages, string_agg(page::varchar, ',' order by page) filter (k <= 5) as first_pages from r group by 1""")
 def reason_report(spark, d):
     return jobs.reason_report(table(spark, d, "events").select(F.col("event_type").alias("reason"), (F.col("user_id") % 50).alias("page")), "reason", "page")
@@ -170,9 +168,10 @@ def warning_summary(spark, d):
     return jobs.top_messages(e, "message")
 
 
-@query("artifact_revision", "C08", """select source, substr(sha256(string_agg(doc_id || ':' || n_chars || ':' || lang, chr(10) order by doc_id)), 1, 20) as revision from documents group by 1""")
+@query("artifact_revision", "C08", """select doc_id // 20 as job, substr(sha256(string_agg(doc_id || ':' || n_chars || ':' || lang, chr(10) order by doc_id)), 1, 20) as revision from documents group by 1""")
 def artifact_revision(spark, d):
-    return jobs.revision(table(spark, d, "documents"), "source", F.concat_ws(":", "doc_id", "n_chars", "lang"), "doc_id")
+    files = table(spark, d, "documents").withColumn("job", F.floor(F.col("doc_id") / 20))
+    return jobs.revision(files, "job", F.concat_ws(":", "doc_id", "n_chars", "lang"), "doc_id")
 
 
 @query("bench_timings", "A22", """with e as (select user_id, event_id, value, row_number() over (partition by user_id order by ts, event_id) as run from events)
@@ -192,16 +191,16 @@ def reader_position(spark, d):
     return jobs.position_lookup(h, asked, "doc_id", "page", "h", "asked")
 
 
-@query("hydration_batches", "W15 V01 M31", f"""with {LINES}, m as (select doc_id, page, page - row_number() over (partition by doc_id order by page) as island from lines where (doc_id + page) % 7 <> 0),
+@query("hydration_batches", "W15", f"""with {LINES}, m as (select doc_id, page, page - row_number() over (partition by doc_id order by page) as island from lines where (doc_id + page) % 7 <> 0),
 k as (select *, (row_number() over (partition by doc_id, island order by page) - 1) // 4 as k from m) select doc_id, min(page) as first, max(page) as last from k group by doc_id, island, k""")
 def hydration_batches(spark, d):
     return jobs.missing_batches(pages.explode_pages(table(spark, d, "documents")), "doc_id", "page", (F.col("doc_id") + F.col("page")) % 7 == 0, 4)
 
 
-@query("distinct_page_numbers", "L11 J20", f"with {LINES} select page, count(distinct doc_id)::bigint as docs from (select doc_id, page from lines where doc_id % 2 = 0 union all select doc_id, page from lines where doc_id % 3 = 0) group by 1")
+@query("distinct_page_numbers", "L11 J20", f"with {LINES} select page, count(distinct doc_id)::bigint as docs from (select doc_id, page from lines union all select doc_id, page from lines where page % 2 = 0) group by 1")
 def distinct_page_numbers(spark, d):
     p = pages.explode_pages(table(spark, d, "documents")).select("doc_id", "page")
-    both = p.where("doc_id % 2 = 0").unionByName(p.where("doc_id % 3 = 0")).dropDuplicates(["doc_id", "page"])
+    both = p.unionByName(p.where("page % 2 = 0")).dropDuplicates(["doc_id", "page"])
     return both.groupBy("page").agg(F.count("*").alias("docs"))
 
 
@@ -213,7 +212,7 @@ def drawable_characters(spark, d):
     return each.select(F.expr("ascii(ch)").cast("long").alias("code"), "ch")
 
 
-@query("message_reasons", "P33 V06", """select conv_id, turn, case when contains(lower(text), 'timeout') then 'timeout' when regexp_matches(text, '\\d{3}') then 'status' when text = '' then 'empty' when length(text) > 400 then 'too-long' else 'other' end as reason,
+@query("message_reasons", "", """select conv_id, turn, case when contains(lower(text), 'timeout') then 'timeout' when regexp_matches(text, '\\d{3}') then 'status' when text = '' then 'empty' when length(text) > 400 then 'too-long' else 'other' end as reason,
   len(regexp_extract_all(text, '\\d+'))::bigint as numbers from conversations""")
 def message_reasons(spark, d):
     t = F.col("text")
@@ -230,14 +229,14 @@ def cer_conversations(spark, d):
     return p.select("conv_id", "turn", F.levenshtein("text", "prev").cast("long").alias("distance"), evaluate.cer(F.col("text"), F.col("prev")).alias("cer"))
 
 
-@query("json_props", "P24 X11 F16", """select event_id, json_extract_string(props, '$.k')::bigint as k, case when user_id % 5 = 0 then null else event_type end as kind from events""")
+@query("json_props", "P24 X11", """select event_id, json_extract_string(props, '$.k')::bigint as k, case when user_id % 5 = 0 then null else event_type end as kind from events""")
 def json_props(spark, d):
     raw = F.when(F.col("user_id") % 5 == 0, "noise").otherwise(F.concat(F.lit("```json\n{\"kind\": \""), "event_type", F.lit("\"}\n```")))
     kind = F.get_json_object(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), "$.kind")
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), kind.alias("kind"))
 
 
-@query("url_parts", "P31 F17 X13 V03", r"""select page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) as host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) as path, nullif(regexp_extract(url, '\?([^#]*)', 1), '') as query,
+@query("url_parts", "F17 X13", r"""select page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) as host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) as path, nullif(regexp_extract(url, '\?([^#]*)', 1), '') as query,
   starts_with(url, 'https://') and regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) in ('therst.example.net', 'ththou.example.com', 'thered.example.org') as allowed from pages""")
 def url_parts(spark, d):
     host = F.parse_url(F.col("url"), F.lit("HOST"))

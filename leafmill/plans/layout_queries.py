@@ -28,7 +28,7 @@ def _changed(blocks: DataFrame) -> DataFrame:
     )
 
 
-@query("layout_alignment", "J01 S11", f"with {B}, {CHANGED} select page, idx, b.type, trim(b.content) <> trim(t.content) as translated from b join t using (page, idx) where b.type = t.type and b.x0 = t.x0 and b.y0 = t.y0 and b.x1 = t.x1 and b.y1 = t.y1 and (trim(b.content) <> '' or trim(t.content) <> '')")
+@query("layout_alignment", "J01", f"with {B}, {CHANGED} select page, idx, b.type, trim(b.content) <> trim(t.content) as translated from b join t using (page, idx) where b.type = t.type and b.x0 = t.x0 and b.y0 = t.y0 and b.x1 = t.x1 and b.y1 = t.y1 and (trim(b.content) <> '' or trim(t.content) <> '')")
 def layout_alignment(spark, d):
     b = _blocks(spark, d)
     return layout.align(b, _changed(b))

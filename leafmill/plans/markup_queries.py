@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import markup
 from leafmill.operators import folds, pages
-from leafmill.plans.layout_queries import _blocks
+from leafmill.plans.layout_queries import B, _blocks
 from leafmill.plans.registry import query, table
 from leafmill.streaming import machines, processors
 
@@ -32,16 +32,16 @@ def table_cells(spark, d):
     return x.select("l_orderkey", "c.row", "c.col", "c.colspan", "c.text")
 
 
-@query("table_matrix", "P17 A14")
+@query("table_matrix", "P17 A14", "select l_orderkey, count(*)::bigint + 1 as rows, 3::bigint as cols, '#|part & quantity|part & quantity' as first_row from lineitem group by 1")
 def table_matrix(spark, d):
     """(l_orderkey, rows, cols, first_row) of dense matrices, spanned values repeated."""
     m = _tables(spark, d).select("l_orderkey", markup.as_udf(markup.table_matrix, "array<array<string>>")("html").alias("m"))
     return m.select("l_orderkey", F.size("m").cast("long").alias("rows"), F.size(F.get("m", F.lit(0))).cast("long").alias("cols"), F.array_join(F.get("m", F.lit(0)), "|").alias("first_row"))
 
 
-@query("table_tags_balanced", "P16", """with r as (select doc_id, substr(text, 1, 20) as t from documents) select doc_id, '<table><tr><td rowspan="2">' || regexp_replace(t, '<', '', 'g') || '</td></tr></table>&lt;b&gt;' as html from r""")
+@query("table_tags_balanced", "P16", """select doc_id, '<table><tr><td rowspan="2">' || regexp_replace(text, '<', '', 'g') || '</td></tr></table>&lt;b&gt;' as html from documents""")
 def table_tags_balanced(spark, d):
-    raw = F.concat(F.lit("&lt;table&gt;&lt;tr&gt;&lt;td rowspan=&quot;2&quot;&gt;"), F.regexp_replace(F.substring("text", 1, 20), "<", ""), F.lit("&lt;/td&gt;&lt;/th&gt;&lt;/tr&gt;&lt;/table&gt;&lt;b&gt;"))
+    raw = F.concat(F.lit("&lt;table&gt;&lt;tr&gt;&lt;td rowspan=&quot;2&quot;&gt;"), F.regexp_replace("text", "<", ""), F.lit("&lt;/td&gt;&lt;/th&gt;&lt;/tr&gt;&lt;/table&gt;&lt;b&gt;"))
     fixed = markup.as_udf(lambda x: markup.balance_table_tags(markup.restore_table_tags(x)), "string")
     return table(spark, d, "documents").select("doc_id", fixed(raw).alias("html"))
 
@@ -59,13 +59,36 @@ def math_recovered(spark, d):
     return x.select("doc_id", (F.regexp_count("out", F.lit(r"\\\(")) - F.regexp_count("text", F.lit(r"\\\("))).cast("long").alias("wrapped"), (F.replace(F.replace("out", F.lit("\\("), F.lit("")), F.lit("\\)"), F.lit("")) == F.replace(F.replace("text", F.lit("\\("), F.lit("")), F.lit("\\)"), F.lit(""))).alias("same"))
 
 
-@query("inline_math_runs", "P15 P30")
+MATHY = "case doc_id % 4 when 0 then 'so x_1 + y^2 = 3z and a = b' || chr(10) when 1 then '```' || chr(10) || 'x_1 = y^2' || chr(10) || '```' || chr(10) when 2 then 'price $5 and $x_2$ or \\(z\\)' || chr(10) else '# Title' || chr(10) || '> **bold** x^{10} < 4' || chr(10) end || text".replace("\\\\", "\\")
+RUN = r"'\\\[(?s:.+?)\\\]|\\\((?s:.+?)\\\)'"
+
+
+@query("inline_math_runs", "P30", f"""with t as (select doc_id, {MATHY} as t from documents)
+select doc_id, (len(list_filter(string_split_regex(t, {RUN}), lambda x: x <> '')) + len(regexp_extract_all(t, {RUN})))::bigint as runs, len(regexp_extract_all(t, {RUN}))::bigint as maths from t""")
 def inline_math_runs(spark, d):
     """(doc_id, runs, maths): runs of text and maths of every document."""
-    x = _mathy(spark, d).select("doc_id", markup.as_udf(markup.split_inline_math, "array<struct<kind: string, text: string>>")("text").alias("r"))
+    x = _mathy(spark, d).select("doc_id", markup.as_udf(markup.split_inline_math, "array<struct<kind: string, text: string, display: boolean>>")("text").alias("r"))
     return x.select("doc_id", F.size("r").cast("long").alias("runs"), F.size(F.filter("r", lambda e: e["kind"] == "math")).cast("long").alias("maths"))
 
 
+# Maths in the forms of several engines, and in the one form.
+DELIMITED = (
+    ("costs $5 or $6 ", "costs \\$5 or \\$6 "), ("so $x_1$ and $ \\alpha $ ", "so $x_1$ and $\\alpha$ "), ("at \\(a+b\\) by \\[ c \\] ", "at $a+b$ by \n\n$$\nc\n$$\n\n "), ("`$x_1$` and $$ y\nz $$ ", "`$x_1$` and \n\n$$\ny\nz\n$$\n\n "),
+    ("```\n$a_1$\n```\n", "```\n$a_1$\n```\n"), ("one $ and \\( ", "one \\$ and \\( "),
+)
+
+
+def _literal(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+@query("math_delimiters", "P15", "select doc_id, case doc_id % 6 " + " ".join(f"when {k} then {_literal(want)}" for k, (_, want) in enumerate(DELIMITED)) + " end || translate(text, '$`\\', '') as text from documents")
+def math_delimiters(spark, d):
+    """Documents, without signs of their own, behind maths in the forms of several engines."""
+    head = F.element_at(F.array(*(F.lit(given) for given, _ in DELIMITED)), (F.col("doc_id") % len(DELIMITED) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", markup.as_udf(markup.dollar_delimiters, "string")(F.concat(head, F.translate("text", "$`\\", ""))).alias("text"))
+
+
 @query("markdown_stripped", "P19")
 def markdown_stripped(spark, d):
     """(doc_id, plain): marks go where the source, here the bare document, has none."""
@@ -78,20 +101,27 @@ def markdown_stripped(spark, d):
     return pair.select("doc_id", strip("text", "source").alias("plain"))
 
 
-@query("plain_math_text", "P18 P32 M05", r"""select doc_id, doc_id || '/' || (doc_id + 1) || ' ≤√2αx⁽¹⁰⁾ ' as plain from documents""")
+@query("plain_math_text", "P18", r"""select doc_id, doc_id || '/' || (doc_id + 1) || ' ≤√2αx⁽¹⁰⁾ ' as plain from documents""")
 def plain_math_text(spark, d):
     tex = F.concat(F.lit(r"\frac{"), "doc_id", F.lit("}{"), F.col("doc_id") + 1, F.lit(r"} \leq \sqrt{2}\alpha x^{(10)} "))
     return table(spark, d, "documents").select("doc_id", markup.as_udf(markup.plain_math, "string")(tex).alias("plain"))
 
 
-@query("visual_line_clusters", "W11")
+@query("visual_line_clusters", "W11", f"""with recursive {B}, o as (select page, idx as span, y0 / 100 as y, row_number() over (partition by page order by y0 / 100, x0, idx) as rn from b),
+w(page, rn, anchor, line) as (select page, rn, y, 0 from o where rn = 1 union all select o.page, o.rn, case when o.y - anchor > 1.25 then o.y else anchor end, line + (o.y - anchor > 1.25)::int from w join o on o.page = w.page and o.rn = w.rn + 1)
+select page, span, line::bigint as line from w join o using (page, rn)""")
 def visual_line_clusters(spark, d):
     """(page, span, line) of derived spans: an anchor fold in the JVM."""
     s = _blocks(spark, d).select("page", F.col("idx").alias("span"), F.col("x0").alias("x"), (F.col("y0") / 100).alias("y"))
     return folds.visual_lines(s, "page", 2.0)
 
 
-@query("fragments_merged", "W07 F13")
+@query("fragments_merged", "W07 F13", f"""with recursive {B}, o as (select *, row_number() over (partition by page order by y0, x0, idx) as rn from b),
+w(page, rn, grp, x0, y0, x1, y1, n) as (select page, rn, 0, x0, y0, x1, y1, 1 from o where rn = 1
+  union all select page, rn, case when near then grp else grp + 1 end, case when near then a0 else x0 end, case when near then least(b0, y0) else y0 end, case when near then greatest(a1, x1) else x1 end, case when near then greatest(b1, y1) else y1 end, case when near then n + 1 else 1 end
+  from (select o.page, o.rn, grp, n, w.x0 as a0, w.y0 as b0, w.x1 as a1, w.y1 as b1, o.x0, o.y0, o.x1, o.y1, least(w.y1, o.y1) - greatest(w.y0, o.y0) >= 0.4 * greatest(1, least(w.y1 - w.y0, o.y1 - o.y0)) and o.x0 >= w.x1 and o.x0 - w.x1 <= 0.6 * greatest(1, least(w.y1 - w.y0, o.y1 - o.y0)) as near
+    from w join o on o.page = w.page and o.rn = w.rn + 1))
+select page, grp::bigint as group, arg_max(x0, rn) as x0, arg_max(y0, rn) as y0, arg_max(x1, rn) as x1, arg_max(y1, rn) as y1, arg_max(n, rn)::bigint as n from w group by page, grp""")
 def fragments_merged(spark, d):
     return folds.merge_fragments(_blocks(spark, d).select("page", "idx", "x0", "y0", "x1", "y1"), "page")
 
@@ -121,7 +151,7 @@ def _log(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.posexplode(pieces).alias("seq", "text"))
 
 
-@query("event_framing", "T01 T02 T09", r"""with l as (select doc_id, string_split(text, chr(10)) as l from documents)
+@query("event_framing", "T01", r"""with l as (select doc_id, string_split(text, chr(10)) as l from documents)
 select doc_id::varchar as key, len(list_filter(l, lambda x: true))::bigint as pages, sum(length(x))::bigint as chars from l, unnest(l) u(x) group by doc_id, l""")
 def event_framing(spark, d):
     """Page framing of every log: as many pages as marks and one, and no text lost."""
@@ -129,7 +159,7 @@ def event_framing(spark, d):
     return out.groupBy("key").agg(F.count_if(F.col("event") == "page").alias("pages"), F.sum(F.when(F.col("event") == "text", F.length("data")).otherwise(0)).alias("chars"))
 
 
-@query("grounding_events", "T06 T08")
+@query("grounding_events", "T06 T08", f"with {B} select page::varchar as key, 1::bigint as pages, count(*)::bigint as boxes from b group by 1")
 def grounding_events(spark, d):
     """(key, pages, boxes) of derived grounded markup that arrives in pieces."""
     from leafmill.operators import layout
@@ -141,7 +171,10 @@ def grounding_events(spark, d):
     return out.groupBy("key").agg(F.count_if(F.col("event") == "page").alias("pages"), F.count_if(F.col("event") == "box").alias("boxes"))
 
 
-@query("rate_limit_stateful", "W13 T12")
+@query("rate_limit_stateful", "W13 T12", """with recursive e as (select user_id, epoch_us(ts) // 1000 as ms, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+w(user_id, rn, kept, admitted, refused) as (select distinct user_id, 0::bigint, []::bigint[], 0::bigint, 0::bigint from e
+  union all select user_id, rn, case when len(inside) < 2 then list_append(inside, ms) else inside end, admitted + (len(inside) < 2)::int, refused + (len(inside) >= 2)::int from (select e.user_id, e.rn, e.ms, list_filter(kept, lambda x: x > e.ms - 21600000) as inside, admitted, refused from w join e on e.user_id = w.user_id and e.rn = w.rn + 1))
+select user_id::varchar as key, max(admitted) as admitted, max(refused) as refused from w group by 1""")
 def rate_limit_stateful(spark, d):
     """(key, admitted, refused): the exact limiter, which does not count refusals, over each user's events."""
     ms = F.expr("cast(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) / 1000 as bigint)")

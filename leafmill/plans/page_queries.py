@@ -99,7 +99,7 @@ def overflow_pages_folded(spark, d):
     return g.select("doc_id", "slot", F.array_join(F.col("x.name"), ",").alias("names"))
 
 
-@query("page_texts_normalized", "P01 P02 P03 P28 X01 X07", r"""
+@query("page_texts_normalized", "P02 P28 X01 X07", r"""
 select doc_id, lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) as plain,
   lower(regexp_replace(regexp_replace(regexp_replace('<|ref|>title<|/ref|> ![x](y.png) <b>' || text || '</b>', '<\|[^|]*\|>', ' ', 'g'), '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '</?[A-Za-z][^>\n]*>', '', 'g').regexp_replace('[^\p{L}\p{N}]+', '', 'g')) as aligned,
   regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+', ''), '\s+$', '') as collapsed
@@ -110,10 +110,10 @@ def page_texts_normalized(spark, d):
 
 
 @query("special_tokens_sanitized", "P09", r"""
-with r as (select doc_id, '<|<|a|>b|>' || substr(text, 1, 40) || '<PAGE>' || case when doc_id % 2 = 0 then '<|det|>' else '' end as t from documents)
+with r as (select doc_id, '<|<|a|>b|>' || text || '<PAGE>' || case when doc_id % 2 = 0 then '<|det|>' else '' end as t from documents)
 select doc_id, replace(regexp_replace(regexp_replace(t, '<\|[^|]*\|>', '', 'g'), '<\|[^|]*\|>', '', 'g'), '<PAGE>', '⟨PAGE⟩') as clean from r""")
 def special_tokens_sanitized(spark, d):
-    raw = F.concat(F.lit("<|<|a|>b|>"), F.substring("text", 1, 40), F.lit("<PAGE>"), F.when(F.col("doc_id") % 2 == 0, "<|det|>").otherwise(""))
+    raw = F.concat(F.lit("<|<|a|>b|>"), "text", F.lit("<PAGE>"), F.when(F.col("doc_id") % 2 == 0, "<|det|>").otherwise(""))
     return _docs(spark, d).select("doc_id", T.sanitize(raw).alias("clean"))
 
 
@@ -177,15 +177,14 @@ def untrusted_text_share(spark, d):
 
 
 @query("answer_postprocess", "P23 P25", r"""
-with a as (select doc_id, case doc_id % 4 when 0 then '<think>plan' || chr(10) || 'more</think> <think>x</think>  ' || substr(text, 1, 30) when 1 then '```md' || chr(10) || substr(text, 1, 30) || chr(10) || '```'
-  when 2 then 'GET http://h/p?token=' || doc_id || '&x=1 (again) ' else substr(text, 1, 30) end as t from documents),
+with a as (select doc_id, case doc_id % 4 when 0 then '<think>plan' || chr(10) || 'more</think> <think>x</think>  ' || text when 1 then '```md' || chr(10) || text || chr(10) || '```'
+  when 2 then 'GET http://h/p?token=' || doc_id || '&x=1 (again) ' || text else text end as t from documents),
 b as (select doc_id, regexp_replace(regexp_replace(regexp_replace(t, '^(?s:\s*<think>.*?</think>)+', ''), '^\s+', ''), '\s+$', '') as t from a)
 select doc_id, regexp_replace(case when regexp_matches(t, '^```[^\n]*\n(?s:.*)\n```$') then regexp_extract(t, '^```[^\n]*\n(?s:(.*))\n```$', 1) else t end, '\?[^\s''"()<>]*', '?…', 'g') as answer from b""")
 def answer_postprocess(spark, d):
-    cut = F.substring("text", 1, 30)
     k = F.col("doc_id") % 4
     raw = (
-        F.when(k == 0, F.concat(F.lit("<think>plan\nmore</think> <think>x</think>  "), cut)).when(k == 1, F.concat(F.lit("```md\n"), cut, F.lit("\n```")))
-        .when(k == 2, F.concat(F.lit("GET http://h/p?token="), "doc_id", F.lit("&x=1 (again) "))).otherwise(cut)
+        F.when(k == 0, F.concat(F.lit("<think>plan\nmore</think> <think>x</think>  "), "text")).when(k == 1, F.concat(F.lit("```md\n"), "text", F.lit("\n```")))
+        .when(k == 2, F.concat(F.lit("GET http://h/p?token="), "doc_id", F.lit("&x=1 (again) "), "text")).otherwise(F.col("text"))
     )
     return _docs(spark, d).select("doc_id", T.redact_query(T.strip_think(raw)).alias("answer"))

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.functions.arrays import let
-from leafmill.operators import gates, glossary, pages, repetition, units
+from leafmill.operators import gates, glossary, overlap, pages, repetition, units
 from leafmill.plans.page_queries import LINES
 from leafmill.plans.registry import query, table
 from leafmill.session import spread
@@ -34,55 +33,81 @@ def specimen() -> F.Column:
     return out.otherwise(F.col("line"))
 
 
-@query("skip_reason_counts", "F01 F02 A10 S10", f"""
-with {LINES}, u as (select doc_id, {SPECIMEN_SQL} as t from lines), b as (select *, regexp_replace(t, '\\s+', '', 'g') as bare from u),
-r as (select case when bare = '' then 'non-linguistic'
-  when regexp_matches(t, '^\\s*\\[\\d+\\]\\s+\\S') and regexp_matches(t, '(?:\\b(?:19|20)\\d\\d\\b.*\\b(?:pp|vol|doi|arXiv|Proc|Journal|Conference)\\b|\\bdoi:|\\barXiv:\\d)') then 'references'
-  when (length(bare) - length(regexp_replace(bare, '[\\x{{AC00}}-\\x{{D7A3}}\\x{{1100}}-\\x{{11FF}}\\x{{3130}}-\\x{{318F}}]', '', 'g'))) * 2 > length(bare) then 'already-korean'
-  when len(list_filter(string_split_regex(trim(t), '\\s+'), lambda x: x <> '' and not regexp_matches(x, '^(?:arXiv:)?\\d{{4}}\\.\\d{{4,5}}(?:v\\d+)?$'))) = 0 then 'identifier'
-  when not regexp_matches(t, '\\p{{L}}{{2}}') or (length(bare) - length(regexp_replace(bare, '\\p{{L}}', '', 'g'))) * 10 < length(bare) * 3 then 'non-linguistic' else '' end as reason from b)
+def quoted(x: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + x.replace("'", "''") + "'"
+
+
+def has(c: str, pattern: str) -> str:
+    """SQL: whether the pattern is found; classes by code point are spelt as DuckDB reads them."""
+    return f"regexp_matches({c}, {quoted(pattern)})"
+
+
+def count_of(c: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({c}, {quoted(pattern)}))"
+
+
+@query("skip_reason_counts", "F01 F02 A10", f"""
+with {LINES}, u as (select doc_id, {SPECIMEN_SQL} as t from lines), b as (select t, regexp_replace(regexp_replace(t, '^\\s+', ''), '\\s+$', '') as s from u),
+r as (select case when s = '' then 'non-linguistic'
+  when {has('t', gates.REFERENCE_LINE)} and {has('t', gates.BIBLIOGRAPHY)} then 'references'
+  when {count_of('t', gates.HANGUL)} * 2 > {count_of('t', r'[^ \t\n\v\f\r]')} then 'already-korean'
+  when {has('s', gates.ARXIV)} then 'identifier'
+  when not regexp_matches(t, '[A-Za-z]{{2}}') or {count_of('t', '[A-Za-z]')} * 10 < {count_of('t', r'[^ \t\n\v\f\r]')} * 3 then 'non-linguistic' else '' end as reason from b)
 select reason, count(*)::bigint as n from r group by 1""")
 def skip_reason_counts(spark, d):
     u = _lines(spark, d).select(gates.skip_reason(specimen(), with_code=False).alias("reason"))
     return u.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-CODE_SQL = r"(?:[;{}]\s*$|^\s*(?:def|class|import|from|return|if|for|while|else|elif|try|except|#include|function|const|let|var)\b|^\s*(?:\$|>>>)\s|\w\(.*\)\s*[:;{]?\s*$|^\s*//|^\s*#!)"
+# Every line, and behind each document a listing, a transcript, a list of names or a sentence behind a prompt.
+TAILS = ("def f(x):\n  return x;\n", "$ ls -l\n-rw-r--r-- 1 a b\nfoo.c: No such file", "a, b_c, d.e, f, g, h, i1, j", "$ Since there are no other ways to do this we build it here.", '"key": {\n}\n"b": 1', "x == y && f(x)", "let z = 3\nThe rest of this is what they had.")
+TAIL_SQL = "case doc_id % 8 " + " ".join(f"when {k} then {quoted(x)}" for k, x in enumerate(TAILS)) + " else text end"
+SIGNS_SQL = " + ".join(f"{has('x', p)}::int" for p in gates.CODE_SIGNS)
+CODE_SQL = f"({has('x', gates.CODE_SURE)} or (not {has('x', gates.SENTENCE_END)} and ({has('x', gates.DECLARATION)} or {has('x', gates.ASSIGNMENT)} or {SIGNS_SQL} >= 2)))"
 
 
 @query("code_like_units", "F03 F15", rf"""
-with u as (select doc_id, case doc_id % 5 when 0 then 'def f(x):' || chr(10) || '  return x;' || chr(10) when 1 then 'a, b_c, d.e, f, g, h, i1, j, ' || doc_id else '' end || case when doc_id % 5 < 2 then '' else text end as t from documents),
-l as (select doc_id, t, list_filter([trim(x) for x in string_split(t, chr(10))], lambda x: x <> '') as ls, list_filter([trim(x) for x in string_split(t, ',')], lambda x: x <> '') as ps from u),
-k as (select doc_id, t, ls, ps, len(list_filter(ls, lambda x: regexp_matches(x, '{CODE_SQL}'))) as code,
-  len(list_filter(ls, lambda x: len(regexp_extract_all(x, '[A-Za-z]+')) >= 5 and regexp_matches(x, '[A-Za-z]{{4}}') and regexp_matches(x, '(?:[.!?]\s*$|^[A-Z][a-z])') and not regexp_matches(x, '{CODE_SQL}'))) as prose from l)
-select doc_id, (len(ls) > 0 and code * 2 > len(ls) and prose = 0) or (len(ps) >= 8 and len(list_filter(ps, lambda x: regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_.]*$'))) * 10 >= len(ps) * 9) as code_like,
-  regexp_matches(t, '[.!?]\s+\S') or len(regexp_extract_all(t, '</tr>')) > 1 as splittable from k""")
+with t as (select doc_id, {TAIL_SQL} as t from documents), ls as (select doc_id, t, list_filter([regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '') for x in string_split(t, chr(10))], lambda x: x <> '') as l,
+  list_filter([trim(x) for x in string_split(replace(t, chr(10), ' '), ',')], lambda x: x <> '') as p from t),
+e as (select doc_id, unnest(l) as x from ls), f as (select *, regexp_replace(x, {quoted(gates.PROMPT_MARK)}, '') as body from e), w as (select *, regexp_extract_all(lower(body), {quoted(gates.PROSE_WORD)}) as words from f),
+j as (select doc_id, {CODE_SQL} as code, not {has('x', gates.LISTING)} and len(words) >= 6 and len(list_filter(words, lambda v: v in ({', '.join(map(quoted, gates.PROSE_WORDS))}))) >= 2 and not {has('body', gates.DECLARATION)} and not regexp_matches(body, ';\s*$')
+  and {count_of('body', r'[^\p{L}\p{N}_\s]')} * 100 < length(body) * 18 as prose from w),
+g as (select doc_id, count(*) filter (code) * 2 > count(*) and count(*) filter (prose) = 0 as code from j group by 1)
+select doc_id, case when {has('t', gates.HANGUL)} then '' when len(p) >= 8 and len(list_filter(p, lambda v: regexp_matches(v, {quoted(gates.IDENTIFIER)}))) * 10 >= len(p) * 9 then 'identifier-list' when coalesce(code, false) then 'code' else '' end as reason,
+  regexp_matches(t, '[.!?]\s+\S') or len(regexp_extract_all(t, '</tr>')) > 1 as splittable from ls left join g using (doc_id)""")
 def code_like_units(spark, d):
-    k = F.col("doc_id") % 5
-    t = F.when(k == 0, "def f(x):\n  return x;\n").when(k == 1, F.concat(F.lit("a, b_c, d.e, f, g, h, i1, j, "), "doc_id")).otherwise(F.col("text"))
-    return _docs(spark, d).select("doc_id", gates.looks_like_code(t).alias("code_like"), gates.splittable(t).alias("splittable"))
-
-
-@query("output_gate_reasons", "F04 F05 A11", r"""
-with u as (select conv_id, turn, text as src, case (conv_id + turn) % 8 when 0 then text when 1 then 'Source: ' || text when 2 then 'I am unable to do that' when 3 then '한국어 번역 문장 입니다 그리고 더' || chr(10) || text
-  when 4 then repeat('가나다라 ', greatest(1, (length(text) / 5)::int)) when 5 then '가' when 6 then upper(text) else repeat('번역 ', greatest(1, (length(text) / 3)::int)) end as o from conversations),
-b as (select *, regexp_replace(src, '\s+', '', 'g') as sb, regexp_replace(o, '\s+', '', 'g') as ob, length(o) - length(regexp_replace(o, '\p{L}', '', 'g')) as letters,
-  length(o) - length(regexp_replace(o, '[\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}\x{3130}-\x{318F}]', '', 'g')) as own, list_distinct(regexp_extract_all(lower(src), '[a-z]{2,}')) as sw, list_distinct(regexp_extract_all(lower(o), '[a-z]{2,}')) as ow,
-  regexp_extract_all(src, '\d{4,}') as nums from u),
-m as (select *, case when letters > 0 then own / letters else 0 end as share, case when len(sw) > 0 then len(list_intersect(sw, ow)) / len(sw) else 0 end as kept from b)
-select conv_id, turn, case when regexp_matches(o, '(?i)^\s*(?:\[?(?:source|translation|glossary|context)\]?\s*:|###\s*(?:source|task|output))') and not regexp_matches(src, '(?i)^\s*(?:\[?(?:source|translation|glossary|context)\]?\s*:|###\s*(?:source|task|output))') then 'scaffold'
-  when regexp_matches(o, '(?i)\b(?:i can(?:no|'')t (?:assist|help|translate)|i am unable to|as an ai)\b') and not regexp_matches(src, '(?i)\b(?:i can(?:no|'')t (?:assist|help|translate)|i am unable to|as an ai)\b') then 'refusal'
-  when length(sb) < 12 then '' when length(sb) <= 80 and len(nums) > 0 and len(list_filter(nums, lambda x: contains(o, x))) = 0 then 'numbers'
-  when share < 0.15 and (share < 0.05 or kept >= 0.9) then 'untranslated' when lower(sb) = lower(ob) then 'echo'
-  when length(ob) < case when length(sb) >= 200 then 0.25 else 0.12 end * length(sb) or length(ob) * 3 > length(sb) * 4 then 'length' else '' end as reason from m""")
+    k = F.col("doc_id") % 8
+    t = F.when(k == 0, TAILS[0])
+    for n, x in enumerate(TAILS[1:], 1):
+        t = t.when(k == n, x)
+    return _docs(spark, d).withColumn("t", t.otherwise(F.col("text"))).select("doc_id", gates.code_reason(F.col("t")).alias("reason"), gates.splittable(F.col("t")).alias("splittable"))
+
+
+OUTPUTS = ("text", "'Source: ' || text", "'I am unable to do that'", "'한국어 번역 문장 입니다 그리고 더' || chr(10) || text", "'가나다 라마 바사 ' || length(text) || ' 아자차'", "'번역할 수 없습니다'", "upper(text)", "'번역 ' || left(text, (length(text) / 2)::int) || ' 이다'", "'요약입니다.'", "repeat(text || ' 그리고 다른 문장 ', 4)")
+
+
+@query("output_gate_reasons", "F04 F05 A11", rf"""
+with u as (select conv_id, turn, case turn % 3 when 0 then left(text, 9) when 1 then text || ' about translation 2024' else text end as text from conversations),
+o as (select conv_id, turn, text as src, case (conv_id + turn) % {len(OUTPUTS)} {' '.join(f'when {k} then {x}' for k, x in enumerate(OUTPUTS))} end as o from u),
+b as (select *, regexp_extract_all(lower(src), '[a-z]{{2,}}') as sw, list_distinct(regexp_extract_all(lower(o), '[a-z]{{2,}}')) as ow, {count_of('o', gates.HANGUL)} as own, {count_of('o', r'[^ \t\n\v\f\r]')} as dense, regexp_extract_all(src, '\d{{4,}}') as nums,
+  ' ' || array_to_string([case when regexp_matches(x, {quoted(gates.HANGUL)}) then '|' else lower(x) end for x in regexp_extract_all(o, {quoted('[A-Za-z]{2,}|' + gates.HANGUL + '+')})], ' ') || ' ' as body from o),
+m as (select *, greatest(8, (len(sw) * 4 + 4) // 5) as need, case when dense > 0 then own / dense else 1 end as share, case when len(sw) > 0 then len(list_filter(sw, lambda x: list_contains(ow, x))) / len(sw) end as kept from b)
+select conv_id, turn, case when {has('o', gates.SCAFFOLD)} and not {has('src', gates.SCAFFOLD)} then 'scaffold'
+  when {has('o', gates.REFUSAL)} and not {has('src', gates.REFUSAL)} and (not regexp_matches(src, '(?i)translat') or regexp_matches(regexp_replace(o, {quoted(gates.KO_NEGATION)}, ' ', 'g'), {quoted(gates.REFUSAL)})) then 'refusal'
+  when len(sw) <= 2 and not regexp_matches(src, '[.!?:;]\s*$') and {has('o', gates.POLITE_END)} then 'label-sentence'
+  when len(sw) < 2 then case when length(o) > greatest(40, 6 * length(src)) then 'length-ratio' else '' end
+  when length(src) <= 80 and len(nums) > 0 and len(list_filter(nums, lambda x: contains(regexp_replace(o, '[,\s]', '', 'g'), x))) = 0 then 'number-mismatch'
+  when share < 0.15 and (share < 0.05 or kept >= 0.9) then 'hangul-ratio'
+  when len(sw) >= 8 and len(list_filter(range(1, (len(sw) - need + 2)::bigint), lambda k: contains(body, ' ' || array_to_string(sw[k:k + need - 1], ' ') || ' '))) > 0 then 'echo'
+  when length(o) < case when length(src) <= 80 then 0.12 else 0.25 end * length(src) or length(o) > 3 * length(src) then 'length-ratio' else '' end as reason from m""")
 def output_gate_reasons(spark, d):
-    k = (F.col("conv_id") + F.col("turn")) % 8
-    n = F.length("text")
-    o = (
-        F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("Source: "), "text")).when(k == 2, "I am unable to do that").when(k == 3, F.concat(F.lit("한국어 번역 문장 입니다 그리고 더\n"), "text"))
-        .when(k == 4, F.expr("repeat('가나다라 ', greatest(1, cast(round(length(text) / 5) as int)))")).when(k == 5, "가").when(k == 6, F.upper("text")).otherwise(F.expr("repeat('번역 ', greatest(1, cast(round(length(text) / 3) as int)))"))
-    )
-    return table(spark, d, "conversations").select("conv_id", "turn", gates.output_reason(F.col("text"), o).alias("reason"))
+    """Gates over messages, shortened or lengthened by turn, and derived outputs; repetition has a query of its own."""
+    table(spark, d, "conversations").createOrReplaceTempView("_leafmill_conversations")
+    outputs = " ".join(f"when {k} then {x.replace('chr(10)', 'char(10)').replace('(length(text) / 2)::int', 'cast(round(length(text) / 2) as int)')}" for k, x in enumerate(OUTPUTS))
+    u = spark.sql("select conv_id, turn, case turn % 3 when 0 then left(text, 9) when 1 then text || ' about translation 2024' else text end as text from _leafmill_conversations")
+    o = u.withColumn("o", F.expr(f"case (conv_id + turn) % {len(OUTPUTS)} {outputs} end"))
+    return o.select("conv_id", "turn", gates.output_reason(F.col("text"), F.col("o"), with_repetition=False).alias("reason"))
 
 
 @query("degenerate_repetition", "F06 W06")
@@ -99,20 +124,7 @@ g as (select item_id, unnest([' ' || array_to_string(w[k:k + n - 1], ' ') || ' '
 t as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' as body from documents)
 select distinct doc_id, item_id from t join g on contains(body, run)""")
 def benchmark_contamination_echo(spark, d):
-    """Documents that hold four fifths (8 at least) of an item's words in a row: 8-word runs meet first."""
-    def runs(words):
-        none = F.expr("cast(array() as array<bigint>)")
-        return let(words, lambda w: F.when(F.size(w) >= 8, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda k: F.xxhash64(F.slice(w, k, F.lit(8)))))).otherwise(none))
-
-    body = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-    item = table(spark, d, "benchmark").select("item_id", T.words_of(F.col("text")).alias("w"))
-    item = item.withColumn("n", F.greatest(F.lit(8), F.ceil(F.size("w") * 0.8)).cast("int")).where("size(w) >= n")
-    docs = _docs(spark, d).select("doc_id", T.words_of(F.col("text")).alias("w"))
-    met = docs.select("doc_id", F.explode(runs(F.col("w"))).alias("run")).join(item.select("item_id", F.explode(runs(F.col("w"))).alias("run")), "run")
-    pairs = met.select("doc_id", "item_id").distinct()
-    full = item.select("item_id", F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda k: body(F.slice("w", k, F.col("n")))).alias("full"))
-    checked = pairs.join(docs.select("doc_id", body(F.col("w")).alias("body")), "doc_id").join(full, "item_id")
-    return checked.where(F.exists("full", lambda x: F.contains("body", x))).select("doc_id", "item_id")
+    return overlap.echoed_items(_docs(spark, d).select("doc_id", "text"), table(spark, d, "benchmark"))
 
 
 @query("repeated_line_runs", "W04", f"""
@@ -124,8 +136,8 @@ def repeated_line_runs(spark, d):
     return repetition.template_runs(_lines(spark, d), 2)
 
 
-@query("counter_loops", "W05 T05", r"""
-with t as (select doc_id, array_to_string(['# ' || case when doc_id % 3 = 0 and k = 11 then 3 else k + doc_id % 4 end || '. x' for k in range(1, 15 + doc_id % 20)], ' ') as t from documents),
+@query("counter_loops", "W05", r"""
+with t as (select doc_id, text || ' ' || array_to_string(['# ' || case when doc_id % 3 = 0 and k = 11 then 3 else k + doc_id % 4 end || '. x' for k in range(1, 15 + doc_id % 20)], ' ') as t from documents),
 n as (select doc_id, unnest(l)::bigint as n, generate_subscripts(l, 1) as i from (select doc_id, regexp_extract_all(t, '#\s*(\d{1,9})\.', 1) as l from t)),
 g as (select doc_id, i, n, sum(case when n = p + 1 then 0 else 1 end) over (partition by doc_id order by i) as g from (select *, lag(n) over (partition by doc_id order by i) as p from n)),
 c as (select doc_id, g, count(*) as run from g group by 1, 2), b as (select doc_id, max(run) as run from c group by 1)
@@ -133,7 +145,7 @@ select doc_id, case when run >= 20 then run else 0 end::bigint as run from b""")
 def counter_loops(spark, d):
     k = F.col("doc_id") % 4
     t = F.transform(F.sequence(F.lit(1).cast("long"), 14 + F.col("doc_id") % 20), lambda i: F.concat(F.lit("# "), F.when((F.col("doc_id") % 3 == 0) & (i == 11), F.lit(3).cast("long")).otherwise(i + k), F.lit(". x")))
-    return _docs(spark, d).select("doc_id", repetition.counter_runs(F.array_join(t, " "), 20).alias("run"))
+    return _docs(spark, d).select("doc_id", repetition.counter_runs(F.concat("text", F.lit(" "), F.array_join(t, " ")), 20).alias("run"))
 
 
 @query("ngram_ban_words", "G04 X10", r"""
@@ -171,10 +183,10 @@ m as (select u.*, term, policy from u join g on contains(body, ' ' || term || '
 def _matches(spark, d):
     seed = spark.sql(f"select * from values {TERMS} as v(term, policy)")
     u = _lines(spark, d).select(F.concat_ws(":", F.lit("md"), "doc_id", "page").alias("unit_id"), (F.col("doc_id") * 100000 + F.col("page")).alias("ord"), F.col("line").alias("src"))
-    return glossary.matches(u, F.broadcast(seed))  # the fixed list above
+    return glossary.matches(u, seed)
 
 
-@query("glossary_unit_terms", "J05 S12", MATCHES + """
+@query("glossary_unit_terms", "J05", MATCHES + """
 select unit_id, count(distinct term)::bigint as n_terms, coalesce(array_to_string(list_sort(list(distinct term) filter (policy = 'A'))[1:12], '|'), '') as keep from m group by 1""")
 def glossary_unit_terms(spark, d):
     return glossary.unit_terms(_matches(spark, d))
@@ -256,7 +268,7 @@ def assemble_identity(spark, d):
     return units.assemble(u, u.where("false").select("unit_id", F.col("src").alias("out")))
 
 
-@query("cache_hits_misses", "J06 J19 X06", f"""
+@query("cache_hits_misses", "J06 X06", f"""
 with {LINES}, u as (select 'md:' || doc_id || ':' || page as unit_id, sha256(line || chr(31) || 'model') as key from lines), c as (select distinct key from u where substr(key, 1, 1) in ('0', '2', '4', '6', '8')),
 m as (select key, min(unit_id) as owner, count(*) as sharers from u where key not in (select key from c) group by 1)
 select 'hit' as kind, count(*)::bigint as units, count(distinct key)::bigint as keys from u where key in (select key from c)

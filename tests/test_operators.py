@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,17 +29,29 @@ def test_text_functions(spark):
 
 
 def test_skip_reasons(spark):
-    texts = ["", "  \n", "[1] A, Title\n[2] B, Title", "[1] A. Proc. 2020, vol. 3", "[1] hello there friend", "한국어 문장", "2401.00001v2", "x = 1;\ny = 2;", "a, b, c, d, e, f, g, h", "1 + 2 = 3 ...", "This is an ordinary line of text."]
-    want = ["non-linguistic", "non-linguistic", "references", "references", "", "already-korean", "identifier", "code", "code", "non-linguistic", ""]
+    texts = ["", "  \n", "[1] A, Title\n[2] B, Title", "[1] A. Proc. 2020, vol. 3", "[1] hello there friend", "한국어 문장", "arXiv:2401.00001v2", "x = 1;\ny = 2;", "a, b, c, d, e, f, g, h", "1 + 2 = 3 ...", "This is an ordinary line of text."]
+    want = ["non-linguistic", "non-linguistic", "references", "references", "", "already-korean", "identifier", "code", "identifier-list", "non-linguistic", ""]
     assert column(spark, texts, gates.skip_reason) == want
 
 
 def test_output_reasons(spark):
     src = "A sentence of some length with 2024 in it."
-    outs = ["Source: x", "I am unable to help", "짧은 문장 하나가 여기 있다 그리고 2024 더", src, "가" * 30, "번역된 문장이 여기 하나 있다 정말로 그렇다 2024" * 3]
+    outs = ["Source: x", "I am unable to help", "짧은 문장 하나가 여기 있다 그리고 2024 더", src, "가" * 30, "번역된 문장이 여기 하나 있다", "번역된 문장이 여기 하나 있다 정말로 그렇다 2,024" * 5, "번역 A sentence of some length with 2024 in it 문서입니다 그리고", "2024", "죄송합니다 2024"]
     df = spark.createDataFrame([(k, src, o) for k, o in enumerate(outs)], "k int, s string, o string")
     got = [r.x for r in df.select("k", gates.output_reason(F.col("s"), F.col("o")).alias("x")).orderBy("k").collect()]
-    assert got == ["scaffold", "refusal", "", "untranslated", "numbers", "length"]
+    assert got == ["scaffold", "refusal", "", "hangul-ratio", "repetition", "number-mismatch", "length-ratio", "", "hangul-ratio", "refusal"]
+    pairs = [("Abstract", "요약입니다."), ("Abstract", "요약"), ("Abstract", "가" * 10 + " 나다라마" * 10), ("We study translation here", "번역할 수 없는 문장"), ("We study it here now", "번역할 수 없는 문장"), ("I'm sorry", "죄송합니다"), ("One two three four five six seven eight nine ten.", "다음 문서는 번역하지 않습니다: one two three four five six seven eight 이상 그리고 끝"), ("One two three four five six seven eight nine ten.", "하나에서 넷까지(one two three four), 다섯에서 여덟까지의 수(five six seven eight) 그리고 아홉(nine ten) 등")]
+    assert [r.x for r in spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, s string, o string").select("k", gates.output_reason(F.col("s"), F.col("o")).alias("x")).orderBy("k").collect()] == ["label-sentence", "", "length-ratio", "", "refusal", "", "echo", ""]
+
+
+def test_reference_lists_and_code(spark):
+    refs = ["[12] Gersho, A. Vector quantization, 1992", "[12] Gersho, A. Vector quantization", "[1] shows that it holds", "[1] see pp. 3", "plain\n[1] a\n[2] b"]
+    assert column(spark, refs, gates.is_reference_list) == [True, True, False, True, True]
+    texts = [
+        "$ ls -l\ntotal 12\n-rw-r--r-- 1 a b", "import os", "import duties rise.", "x == y && f(x)", "[Step: 3/9]", '{"a": 1}', "data[sos+4] = 2", "make: No such file",
+        "$ Since there are no other ways to do this we build it here\nx = 1", "x = 1\n한국어", "a, b, c, d, e, f, g, h.i", "A title of some kind", "see main.rs for f(x)",
+    ]
+    assert column(spark, texts, gates.code_reason) == ["code", "code", "", "code", "code", "code", "code", "code", "", "", "identifier-list", "", "code"]
 
 
 def test_repetition(spark):
@@ -137,19 +150,37 @@ def test_tables_and_markup():
     assert markup.table_matrix(html) == [["a", "b"], ["a", "c d"]]
     assert markup.table_matrix("<table><tr><td>a</td></tr><tr><td>b</td><td>c</td></tr></table>") is None
     assert markup.table_cells("no table") is None
+    large = "<table>" + "".join("<tr>" + "".join(f"<td>{r}.{c}</td>" for c in range(90)) + "</tr>" for r in range(60)) + "</table>"
+    assert len(markup.table_cells(large)) == 5400 and markup.table_matrix(large)[59][89] == "59.89"
+    assert markup.table_cells("<table><tr><td>a</td></tr><tr><td>b</td><td>c</td></tr></table>") is None
+    assert markup.table_cells("<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr></table>") is not None
+    assert markup.table_cells("<table><tr><td rowspan=2>a</td><td rowspan=2>b</td></tr><tr></tr></table>") is not None
+    assert markup.table_cells("<table><tr><td>a</td><td rowspan=2>b</td></tr><tr><td colspan=2>c</td></tr></table>") is None
     assert markup.balance_table_tags("<table><tr><td>x</tr></td></table></table>") == "<table><tr><td>x</td></tr></table>"
     assert markup.restore_table_tags("&lt;td colspan=&quot;2&quot;&gt;&lt;script&gt;") == '<td colspan="2">&lt;script&gt;'
     assert markup.plain_math(r"\frac{1}{x^{2}} \leq \sqrt{a_{i}} \foo") == "1/x² ≤√a(i) foo"
     assert markup.recover_math("so x_1 = y^2 + 3\n```\nx_1 = 2\n```\na = b and `x_1 = 2`") == "so \\(x_1 = y^2 + 3\\)\n```\nx_1 = 2\n```\na = b and `x_1 = 2`"
-    assert [r["kind"] for r in markup.split_inline_math("costs $5 and $6, but $x^2$ and \\(y\\)")] == ["text", "math", "text", "math"]
+    assert [(r["kind"], r["text"]) for r in markup.split_inline_math("costs $5, but \\[ x^2 \\] and \\(y\\)\\( \\)")] == [("text", "costs $5, but "), ("math", "x^2"), ("text", " and "), ("math", "y")]
+    assert markup.split_inline_math("") == [{"kind": "text", "text": "", "display": False}]
+    assert markup.dollar_delimiters("a \\(b\n\n c\\) \\\\[2pt] $x$ $5 to $6") == "a \\(b\n\n c\\) \\\\[2pt] $x$ \\$5 to \\$6"
     assert markup.strip_markdown("# A **b** `*c*`\n> q", "plain") == "A b `*c*`\nq" and markup.strip_markdown("# A", "# x") == "# A"
     assert markup.equation_found("as \\(a + b\\) shows", "a+b") and markup.equation_found("value: 2 = 1, 1", "2=1") and not markup.equation_found("c + a + b", "a+b")
+    found = lambda page, want="E=mc^2": markup.equation_found(page, want)
+    assert all(map(found, ["$E = m c^{2}$", "\\[E=\\mathrm{m}c^2\\]", "so E = mc^2, where", "E=mc^2\n= 3", "<b>E=mc^2</b>", "E − x $E=mc^{ 2 }$", "E=mc^2. Next"]))
+    assert not any(map(found, ["$E=mc^2+1$", "E=mc^2.5", "E = mc^2 + 1", "E=mc^2x", "E=mc^2 x + 1", "E=mc^2 7", "2E=mc^2", "- E=mc^2", "E=mc^{*2}", "$E=mc^2", "E=mc^2 \\alpha"][:9]))
+    assert markup.math_text("\\left( a \\times \\sqrt{x_{i}+1} \\right)") == "(a*sqrt(x_i+1))" and markup.math_text("a)") is None and markup.math_text("\\alpha") is None
+    assert found("a \\cdot b = &lt; 3".replace("&lt; ", ""), "a*b=3") and found("x ≤ 2", "x≤2")
+    with pytest.raises(ValueError):
+        markup.equation_found("x", "\\int x")
 
 
 def test_folds(spark):
     spans = spark.createDataFrame([(1, k, 0.0, y) for k, y in enumerate([0.0, 1.0, 1.2, 2.4, 3.0])], "page long, span long, x double, y double")
     assert [r.line for r in folds.visual_lines(spans, "page", 1.0).orderBy("span").collect()] == [0, 0, 0, 1, 1]  # by the anchor, not by the neighbour
     blocks = spark.createDataFrame([(1, 1, 0, 0, 10, 10), (1, 2, 12, 0, 20, 10), (1, 3, 40, 0, 50, 10), (1, 4, 0, 30, 10, 40)], "page long, idx long, x0 long, y0 long, x1 long, y1 long")
+    assert markup.recover_math_line("z" * 5000 + " so x_1 = y^2 + 3").endswith("\\(x_1 = y^2 + 3\\)")
+    wide = spark.range(6000).selectExpr("1L page", "id idx", "id * 20 x0", "0L y0", "id * 20 + 15 x1", "10L y1")
+    assert folds.merge_fragments(wide, "page").collect()[0].n == 6000
     assert [(r.x0, r.x1, r.n) for r in folds.merge_fragments(blocks, "page").orderBy("group").collect()] == [(0, 20, 2), (40, 50, 1), (0, 10, 1)]
     own = spark.createDataFrame([(k, 1) for k in range(6)], "node long, cost long")
     edges = spark.createDataFrame([(0, 1), (0, 1), (1, 2), (3, 4), (4, 3)], "node long, child long")
@@ -242,8 +273,10 @@ def test_control(spark):
 
 
 def test_exact_forms():
-    assert unicode.normalize("<b>ﬁne</b> Ⅳ \\alpha Straße_1") == "fineivαstrasse1"
-    assert unicode.for_truth("![x](y) a &amp; B <i>c</i>") == "abc"
+    forms = lambda fn, *texts: fn(pa.array(texts, pa.string())).to_pylist()
+    assert forms(unicode.comparison_forms, "<b>ﬁne</b> Ⅳ \\alpha Straße_1", None, "", "\\Gamma\\frac{\\theta}2 <a, b> <td colspan=2>x</td> \\varphi \\ell \\") == ["fineivαstrasse1", None, "", "γθ2abxφℓ"]
+    assert forms(unicode.truth_forms, "![x](y) a &amp; B <i>c</i>", None, "\\text{Fo o}\\mathrm {b} <x y> É") == ["abc", None, "foobé"]
+    assert len(unicode.LETTERS) == 37
 
 
 def test_markdown_blocks_cover_every_line():
