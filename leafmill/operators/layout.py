@@ -160,3 +160,24 @@ def alignment(lines: DataFrame) -> DataFrame:
     )
     align = F.when((F.col("share") >= 0.75) & (F.col("mid") < 0.72), "center").when((F.col("n") >= 3) & (F.col("full") >= 0.5), "justify")
     return g.select("page", "idx", align.alias("align"))
+
+
+def block_html(aspect: float = 1.414) -> Column:
+    """A block's element at its place on the page, in hundredths: figures as images, other blocks with their text escaped;
+    null for unreadable ones. A box that is six times as high as wide with twelve characters or more runs upwards.
+
+    Columns: type, x0, y0, x1, y1, content, image, fs (null if the page tells none)."""
+    at = {c: F.least(F.greatest(F.col(c), F.lit(0)), F.lit(999)) for c in ("x0", "y0", "x1", "y1")}
+    percent = lambda v: F.format_string("%.2f", v / 999 * 100)
+    wide, high = at["x1"] - at["x0"], at["y1"] - at["y0"]
+    size = lambda v: percent(F.greatest(v, F.lit(4)))
+    style = F.concat(F.lit("left:"), percent(at["x0"]), F.lit("%;top:"), percent(at["y0"]), F.lit("%;width:"), size(wide), F.lit("%;height:"), size(high), F.lit("%;"))
+    kind = F.when(F.col("type").rlike(r"^[A-Za-z_][\w-]{0,40}$"), F.col("type")).otherwise("text")
+    up = F.col("fs").isNull() & (wide > 0) & (high * aspect >= 6 * wide) & (F.length("content") >= 12)
+    font = F.when(F.col("fs").isNotNull(), F.concat(F.lit("font-size:"), F.format_string("%.2f", F.greatest(F.lit(0.6), F.least(F.lit(6.0), F.col("fs")))), F.lit("cqw;line-height:1.22;"))).otherwise("")
+    text = F.col("content")
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    image = F.concat(F.lit('<img class="layout-block layout-image" src="images/'), "image", F.lit('" style="'), style, F.lit('" alt="">'))
+    element = F.concat(F.lit('<div class="layout-block layout-'), kind, F.when(up, " layout-vertical-up").otherwise(""), F.lit('" style="'), style, font, F.lit('" title="'), kind, F.lit('">'), text, F.lit("</div>"))
+    return F.when(F.col("type") == "unreadable", None).when(F.col("image").rlike(r"^[\w.-]+$"), image).otherwise(element)

@@ -179,3 +179,29 @@ def clusters(boxes: DataFrame, most: int = 32) -> DataFrame:
         if not moved:
             return now
     raise RuntimeError("clusters did not settle")
+
+
+def span_records(pages: DataFrame) -> DataFrame:
+    """(page, span, x0, y0, x1, y1, text, size, flags, x, y, dx, dy): spans of nested pages (page, blocks) that are not blank, in order.
+
+    A span's text is that of its characters where it lists them; the base point of a span without one is its lower
+    left corner, the direction of a line without one is to the right."""
+    b = pages.select("page", F.posexplode("blocks").alias("i", "b"))
+    lines_ = b.select("page", "i", F.posexplode("b.lines").alias("j", "l"))
+    spans = lines_.select("page", "i", "j", F.col("l.dir").alias("dir"), F.posexplode("l.spans").alias("k", "s"))
+    text = F.when(F.col("s.chars").isNotNull(), F.array_join("s.chars", "")).otherwise(F.coalesce("s.text", F.lit("")))
+    at = lambda c, k, other: F.coalesce(F.get(c, F.lit(k)), other)
+    corner = [F.get("s.bbox", F.lit(k)).alias(n) for k, n in enumerate(BOX)]
+    kept = spans.where((F.size("s.bbox") == 4) & (F.trim(F.regexp_replace(text, r"\s", " ")) != ""))
+    named = kept.select(
+        "page", F.struct("i", "j", "k").alias("_at"), *corner, text.alias("text"), F.coalesce("s.size", F.lit(0.0)).alias("size"), F.coalesce("s.flags", F.lit(0)).alias("flags"),
+        at("s.origin", 0, F.get("s.bbox", F.lit(0))).alias("x"), at("s.origin", 1, F.get("s.bbox", F.lit(3))).alias("y"), at("dir", 0, F.lit(1.0)).alias("dx"), at("dir", 1, F.lit(0.0)).alias("dy"),
+    )
+    return named.withColumn("span", F.row_number().over(Window.partitionBy("page").orderBy("_at")).cast("long")).drop("_at")
+
+
+def table_rules(segments: DataFrame, tables: DataFrame) -> DataFrame:
+    """(page, tbl, x0, x1, y, width): horizontal segments that touch a table's frame, 2 wider and 3 higher than it is."""
+    t = tables.select("page", "tbl", *(F.col(c).alias(f"_{c}") for c in BOX))
+    near = (F.col("x1") >= F.col("_x0") - 2) & (F.col("x0") <= F.col("_x1") + 2) & F.col("y").between(F.col("_y0") - 3, F.col("_y1") + 3)
+    return segments.join(t, "page").where(near).select("page", "tbl", "x0", "x1", "y", "width")

@@ -42,9 +42,11 @@ def layout_units(flat: DataFrame) -> DataFrame:
     return kept.select(F.concat_ws(":", F.lit("lay"), "page", "idx").alias("unit_id"), F.col("type").alias("kind"), "page", F.col("content").alias("src"), reason.alias("skip_reason"))
 
 
-def jobs(spark: SparkSession, root: str) -> DataFrame:
-    """Job records under root/j_*/meta.json: a running one is an error after a restart, a queued one is submitted again in order."""
-    df = spark.read.schema(JOB).option("multiLine", True).json(f"{root}/j_*/meta.json").where("id rlike '^j_[0-9a-f]{12}$'")
+def jobs(spark: SparkSession, root: str, files: str = "j_*/meta.json", records: str = "files") -> DataFrame:
+    """Job records under root: a running one is an error after a restart, a queued one is submitted again in order.
+
+    records: a record to a file (files) or to a line (lines)."""
+    df = spark.read.schema(JOB).option("multiLine", records == "files").json(f"{root}/{files}").where("id rlike '^j_[0-9a-f]{12}$'")
     return df.withColumn("status", F.when(F.col("status") == "running", "error").otherwise(F.col("status"))).withColumn("resubmit", (F.col("status") == "queued") & F.coalesce("submitted", F.lit(False)))
 
 
@@ -59,9 +61,9 @@ def units_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, string>")).alias("key", "text"))
 
 
-def glossary(spark: SparkSession, path: str, lower: bool = False) -> DataFrame:
-    """Glossary entries; lower folds the sources of a seed."""
-    df = spark.read.schema(GLOSSARY).option("multiLine", True).json(path).where("src is not null")
+def glossary(spark: SparkSession, path: str, lower: bool = False, records: str = "files") -> DataFrame:
+    """Glossary entries; lower folds the sources of a seed. records: an array to a file (files) or an entry to a line (lines)."""
+    df = spark.read.schema(GLOSSARY).option("multiLine", records == "files").json(path).where("src is not null")
     return df.withColumn("src", F.lower("src")) if lower else df
 
 

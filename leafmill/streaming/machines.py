@@ -283,6 +283,27 @@ class Coalescer(Machine):
         return [("text", out)] if out else []
 
 
+class PreviewPlan(Machine):
+    """What a preview renders again after each input: pages that have become complete, each once, and the tail if it has changed."""
+
+    START = {"tail": "", "done": 0}
+
+    def feed(self, text: str) -> list[Event]:
+        *whole, tail = (self.s["tail"] + text).split(PAGE)
+        out = []
+        for page in whole:
+            out.append(("page", page))
+            self.s["done"] += 1
+        held = held_back(tail, PAGE)
+        if whole or text:
+            out.append(("tail", tail[: len(tail) - held]))
+        self.s["tail"] = tail
+        return out
+
+    def finish(self) -> list[Event]:
+        return [("page", self.s["tail"])] if self.s["tail"] else []
+
+
 def joined(events: list[Event]) -> str:
     """Text of events, page marks included: what must be equal however the input was cut."""
     return "".join(PAGE if kind == "page" else data for kind, data in events if kind in ("text", "page"))
