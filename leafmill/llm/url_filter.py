@@ -4,19 +4,24 @@ A list is dated entries (pattern, action, listed_at): from that moment on the
 action holds for the pattern, until its next entry. Actions are ``block``,
 ``allow`` and ``off`` (delisted). Dated entries become validity intervals
 [valid_from, valid_to), and every capture is evaluated as of its fetch time
-against the intervals of all patterns that cover its URL: its host, every
-parent domain of at least two labels, and host plus first path segment.
+against the intervals of all patterns that cover its URL: its host and every
+parent domain of at least two labels, each alone or with a beginning of the
+path, in whole segments, up to the whole of it. Patterns may be written as
+URLs are (see normal_pattern); queries and fragments are no part of them.
 Among the active entries the longest pattern decides.
 
-Captures are reduced to their distinct (host, first segment, fetch time)
-before the list is joined, and the verdicts are joined back on that key, so a
-hot host is spread over its fetch times and its copies are judged once. The
-list is broadcast only if it has at most BROADCAST_ENTRIES intervals; a
-longer one is joined by shuffle, where adaptive execution splits hot patterns.
+Captures are reduced to their distinct (host, beginning of the path as deep as
+patterns go, fetch time) before the list is joined, and the verdicts are
+joined back on that key, so a hot host is spread over its fetch times and its
+copies are judged once. The list is broadcast only if it has at most
+BROADCAST_ENTRIES intervals and BROADCAST_BYTES of patterns; a longer one is
+joined by shuffle, where adaptive execution splits hot patterns.
 
 Defined results: a null or unparsable URL, or a null fetch time, is kept with
 verdict ``none``; entries with a null pattern, action or date are left out; of
 entries of one pattern and date ``block`` wins over ``allow`` over ``off``;
+of active patterns of one length the last in order decides; very long URLs are
+read whole;
 equal captures are judged alike and each returned; an empty list keeps all;
 an empty table gives an empty result; other columns are not read.
 """
@@ -28,8 +33,8 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.storage import Scratch
 
-#: About 10 MB of patterns and dates.
-BROADCAST_ENTRIES = 100_000
+#: Intervals, and bytes of their patterns, up to which the list is broadcast.
+BROADCAST_ENTRIES, BROADCAST_BYTES = 100_000, 8 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -39,41 +44,61 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
+def path_of(url: Column, depth: int) -> Column:
+    """The first `depth` segments of the path, without empty ones at its end."""
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)", 1)
+    return F.slice(F.split(F.regexp_replace(F.coalesce(path, F.lit("")), "/+$", ""), "/"), 1, depth) if depth else F.array().cast("array<string>")
+
+
 def first_segment(url: Column) -> Column:
     """First path segment; empty if there is none."""
     return F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]*)", 1), F.lit(""))
 
 
+def normal_pattern(pattern: Column) -> Column:
+    """A list's pattern as URLs are read: without scheme, user, port, leading www., trailing dot, query and trailing
+    slashes, the host in lower case; null if it has no host."""
+    bare = F.regexp_replace(F.trim(pattern), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    host = host_of(F.concat(F.lit("x://"), bare))
+    path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?#]*(/[^?#]*)", 1), "/+$", "")
+    return F.concat(host, path)
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, action, valid_from, valid_to) from dated entries; valid_to is null for the last of a pattern."""
     rank = F.when(F.col("action") == "block", 0).when(F.col("action") == "allow", 1).otherwise(2)
-    clean = entries.where("pattern is not null and action is not null and listed_at is not null")
+    clean = entries.withColumn("pattern", normal_pattern(F.col("pattern"))).where("pattern is not null and action is not null and listed_at is not null")
     one = clean.groupBy("pattern", "listed_at").agg(F.min(F.struct(rank.alias("r"), F.col("action").alias("action"))).alias("s"))
     following = F.lead("listed_at").over(Window.partitionBy("pattern").orderBy("listed_at"))
     return one.select("pattern", F.col("s.action").alias("action"), F.col("listed_at").alias("valid_from"), following.alias("valid_to"))
 
 
-def patterns_of(host: Column, segment: Column) -> Column:
-    """Patterns that cover a URL: host and parents of two labels or more, and host/segment."""
+def patterns_of(host: Column, path: Column) -> Column:
+    """Patterns that cover a URL: host and parents of two labels or more, each alone and with every beginning of the path."""
     labels = F.split(host, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    return F.concat(parents, F.when(segment != "", F.array(F.concat(host, F.lit("/"), segment))).otherwise(F.expr("cast(array() as array<string>)")))
+    starts = F.transform(F.filter(F.sequence(F.lit(0), F.size(path)), lambda k: (k == 0) | (F.get(path, F.lit(0)) != "")), lambda k: F.when(k == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(F.slice(path, F.lit(1), k), "/"))))
+    return F.array_distinct(F.flatten(F.transform(parents, lambda h: F.transform(starts, lambda t: F.concat(h, t)))))
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame, keep: list[str], url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """The columns of keep and (host, verdict, pattern, listed_at, blocked) of every capture."""
-    rows = captures.select(*(F.col(c).alias(f"_k{n}") for n, c in enumerate(keep)), host_of(F.col(url_col)).alias("host"), first_segment(F.col(url_col)).alias("segment"), F.col(time_col).alias("at"))
-    asked = rows.where("host is not null and at is not null").select("host", "segment", "at").distinct()
-    asked = asked.withColumn("pattern", F.explode(patterns_of(F.col("host"), F.col("segment"))))
-    valid = intervals(entries).where("action <> 'off'")
-    if valid.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES:
+    scratch = Scratch(captures.sparkSession, "urls")
+    # written, as it is counted before it is joined
+    valid = scratch.table(intervals(entries).where("action <> 'off'"), "intervals")
+    n, size, depth = valid.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0)), F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0))).first()
+    rows = captures.select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(keep)), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col), depth).alias("path"), F.col(time_col).alias("at"))
+    asked = rows.where("host is not null and at is not null").select("host", "path", "at").distinct()
+    asked = asked.withColumn("pattern", F.explode(patterns_of(F.col("host"), F.col("path"))))
+    if n <= BROADCAST_ENTRIES and size <= BROADCAST_BYTES:
         valid = F.broadcast(valid)
     active = asked.join(valid, "pattern").where("valid_from <= at and (valid_to is null or at < valid_to)")
     best = F.max(F.struct(F.length("pattern").alias("n"), "pattern", "action", "valid_from"))
-    verdicts = active.groupBy("host", "segment", "at").agg(best.alias("best"))
+    verdicts = active.groupBy("host", "path", "at").agg(best.alias("best"))
     # written, so that both sides of the join back are shuffled and the copies of a hot capture can be split
-    verdicts = Scratch(captures.sparkSession, "urls").table(verdicts, "verdicts")
-    judged = rows.join(verdicts, ["host", "segment", "at"], "left")
+    verdicts = scratch.table(verdicts, "verdicts")
+    scratch.keep(verdicts)
+    judged = rows.join(verdicts, ["host", "path", "at"], "left")
     return judged.select(
         *(F.col(f"_k{n}").alias(c) for n, c in enumerate(keep)), "host", F.coalesce("best.action", F.lit("none")).alias("verdict"),
         F.col("best.pattern").alias("pattern"), F.col("best.valid_from").alias("listed_at"), F.coalesce(F.col("best.action") == "block", F.lit(False)).alias("blocked"),
@@ -90,6 +115,7 @@ def dated_entries(pages: DataFrame) -> DataFrame:
     by the digest of its name a host is listed on one day, delisted or allowed on a later one, and
     its parent domain or its path may be listed as well."""
     hosts = pages.select(host_of(F.col("url")).alias("host"), first_segment(F.col("url")).alias("segment")).where("host is not null").distinct()
+    hosts = Scratch(pages.sparkSession, "hosts").table(hosts, "hosts")  # read several times
     h = hosts.select("host").distinct().withColumn("x", _number(F.col("host")))
     listed = h.where("x % 3 = 0").select(F.col("host").alias("pattern"), F.lit("block").alias("action"), (F.col("x") % 180).alias("listed_at"))
     later = h.where("x % 3 = 0 and x % 2 = 0").select(

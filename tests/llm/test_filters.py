@@ -27,6 +27,15 @@ def test_urls_are_judged_as_of_their_fetch_time(spark):
     assert url_filter.filter_captures(df.where("false"), none, ["page_id"]).count() == 0
 
 
+def test_patterns_of_paths_and_parents(spark):
+    entries = [("HTTP://user@WWW.Bad.com.:80/a/b/?q", "block", 0), ("good.net/x", "allow", 0), ("good.net", "block", 0), ("exact.org/p/q/r.html", "block", 0), ("  ", "block", 0), ("/path", "block", 0)]
+    urls = ["http://bad.com/a/b", "http://bad.com/a/b/c?d", "http://bad.com/a", "http://bad.com/a/bc", "http://sub.bad.com/a/b/", "http://good.net/x/1", "http://a.good.net/x", "http://good.net/y", "http://exact.org/p/q/r.html#f", "http://exact.org/p/q", "http://other.org//a"]
+    df = captures(spark, [(k, u, 1, "h", "p") for k, u in enumerate(urls)])
+    got = sorted((r.page_id, r.verdict, r.pattern) for r in url_filter.filter_captures(df, spark.createDataFrame(entries, "pattern string, action string, listed_at long"), ["page_id"]).collect())
+    assert [v for _, v, _ in got] == ["block", "block", "none", "none", "block", "allow", "allow", "block", "block", "none", "none"]
+    assert got[0][2] == "bad.com/a/b" and got[8][2] == "exact.org/p/q/r.html"
+
+
 def test_a_long_list_is_joined_without_a_broadcast(spark, monkeypatch):
     df = captures(spark, [(k, f"http://h{k % 7}.com/{k}", k % 40, "h", "p") for k in range(300)])
     entries = spark.createDataFrame([(f"h{k % 9}.com", ["block", "off", "allow"][k % 3], k * 5 % 37) for k in range(40)], "pattern string, action string, listed_at long")
@@ -138,3 +147,20 @@ def test_pipeline_stages(spark, small):
     assert sizes[0] >= sizes[1] > sizes[2] >= sizes[3] == sizes[4] == sizes[5] > 0
     assert docs.select("doc_id").distinct().count() == sizes[-1]
     assert corpus_pipeline.run(spark, small).count() == sizes[-1]
+
+
+def test_pipeline_stages_on_nothing_and_on_odd_rows(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{small}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rows = [(1, None), (1, None), (2, ""), (3, "!!!"), (None, "a text without an id"), (None, "a text without an id"), (4, "word " * 30_000)]
+    odd = spark.createDataFrame([(k, t, None, None, 0, "x") for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score string")
+    kept = odd
+    for name, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, kept, str(tmp_path)).cache()
+        if name != "encoding":
+            assert kept.columns == odd.columns
+        assert kept.count() == (7 if name == "quality" else 6)
+    assert sorted(r.n_tokens for r in kept.collect())[:3] == [0, 0, 0]
