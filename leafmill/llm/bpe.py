@@ -11,8 +11,10 @@ Short pre-tokens, nearly all, are merged many at a time: one matrix holds
 one tree in each row, and each step performs one merge of every row. Long ones
 (over BATCH_BYTES bytes) get a tree of their own. Both give the same ids.
 
-Defined results: a null text is encoded as an empty one (no ids). Repeated
-rows are encoded each. An empty table gives an empty result. Columns other
+Defined results: a null text is encoded as an empty one (no ids). Texts and
+pre-tokens of any length are encoded whole; of pairs of equal rank the leftmost
+is merged first. Repeated rows are encoded each. An empty table gives an empty
+result. Columns other
 than the id and the text are not read.
 """
 
@@ -107,8 +109,8 @@ class Vocabulary:
 def merge_long(piece: bytes, vocab: Vocabulary) -> list[int]:
     """Ids of one pre-token with a segment tree of its own: O(n log n)."""
     n = len(piece)
-    if n > POS_MASK:
-        raise ValueError("a pre-token has more bytes than a position can hold")
+    bits = max(POS_BITS, n.bit_length())  # numbers of any size: a pre-token may have any length
+    mask = (1 << bits) - 1
     none, pairs = int(NONE), vocab.pairs
     ids = [int(vocab.byte_ids[b]) for b in piece]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -117,7 +119,7 @@ def merge_long(piece: bytes, vocab: Vocabulary) -> list[int]:
     for i in range(n - 1):
         rank = pairs.get(ids[i] << 20 | ids[i + 1])
         if rank is not None:
-            tree[size + i] = rank << POS_BITS | i
+            tree[size + i] = rank << bits | i
     for k in range(size - 1, 0, -1):
         tree[k] = min(tree[2 * k], tree[2 * k + 1])
 
@@ -133,20 +135,20 @@ def merge_long(piece: bytes, vocab: Vocabulary) -> list[int]:
             k >>= 1
 
     while tree[1] != none:
-        i = tree[1] & POS_MASK
-        ids[i] = tree[1] >> POS_BITS
+        i = tree[1] & mask
+        ids[i] = tree[1] >> bits
         j = after[i]
         after[i] = k = after[j]
         update(j, none)
         if k < n:
             before[k] = i
             rank = pairs.get(ids[i] << 20 | ids[k])
-            update(i, none if rank is None else rank << POS_BITS | i)
+            update(i, none if rank is None else rank << bits | i)
         else:
             update(i, none)
         if (h := before[i]) >= 0:
             rank = pairs.get(ids[h] << 20 | ids[i])
-            update(h, none if rank is None else rank << POS_BITS | h)
+            update(h, none if rank is None else rank << bits | h)
     out, i = [], 0
     while i < n:
         out.append(ids[i])

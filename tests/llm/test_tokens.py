@@ -64,6 +64,13 @@ def test_both_forms_of_the_merge_agree():
     assert bpe.merge_batch(pieces, vocab) == [bpe.merge_long(p, vocab) for p in pieces]
 
 
+def test_a_position_may_need_more_bits(monkeypatch, plain):
+    vocab = bpe.Vocabulary(bpe.read_ranks(bpe.vocabulary_file()))
+    monkeypatch.setattr(bpe, "POS_BITS", 3)
+    for piece in (b"a" * 100, b"the" * 50, b"\xff" * 9):
+        assert bpe.merge_long(piece, vocab) == plain._encode_single_piece(piece)
+
+
 def test_a_vocabulary_without_all_bytes_is_refused():
     with pytest.raises(ValueError):
         bpe.Vocabulary({b"a": 0})
@@ -81,6 +88,7 @@ def test_documents_of_every_kind(docs, corpus, plain, empty):
     back = bpe.decode_documents(full, bpe.vocabulary_file())
     assert sorted(bytes(r.decoded) for r in back.collect()) == sorted((t or "").encode() for _, t in corpus)
     assert bpe.encode_digests(empty, bpe.vocabulary_file(), PATTERN).count() == 0
+    assert bpe.encode_documents(empty, bpe.vocabulary_file(), PATTERN).count() == 0
 
 
 def test_token_files_come_back(spark, docs, corpus, library, empty):
