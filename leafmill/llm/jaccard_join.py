@@ -237,7 +237,7 @@ def _sign(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     return spread(docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))).mapInArrow(run, f"doc_id {kind}, key long, node binary, sig array<long>")
 
 
-def _tiles(df: DataFrame, blocks: Column, tag: str = "node") -> DataFrame:
+def tiles(df: DataFrame, blocks: Column, tag: str = "node") -> DataFrame:
     """Adds tile columns i <= j and the row's own block b, of as many blocks as the row's group needs."""
     df = df.withColumn("nb", F.greatest(F.ceil(blocks), F.lit(1)).cast("int")).withColumn("b", F.pmod(F.xxhash64(tag), F.col("nb")).cast("int"))
     return df.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
@@ -247,22 +247,21 @@ def _tiles(df: DataFrame, blocks: Column, tag: str = "node") -> DataFrame:
 
 def _candidate_forest(nodes: DataFrame, least: list[int], scratch: Scratch, block: int) -> DataFrame:
     """Edges (u, v) that connect all pairs of nodes which share a band and survive."""
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bands = nodes.select("node", F.posexplode("sig").alias("band", "value"))
     # counts that are joined back are written first: then both sides of the join are shuffled, and a hot key can be split
     met = scratch.table(bands.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"), "met")
-    members = scratch.table(bands.join(met, ["band", "value"]), "members")
-    small = members.where(F.col("n") <= block).select(F.col("band").cast("long").alias("g"), F.col("value").alias("h"), "node", "n")
-    hot = members.where(F.col("n") > block).select("node", F.xxhash64("band", "value").alias("key"))
-    found = small.select("g", "h", "node", F.lit(0).alias("b"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    if not hot.isEmpty():  # one group for bands that share nodes
+    small = bands.join(met.where(F.col("n") <= block).hint("merge"), ["band", "value"])  # the same plan at every size
+    found = small.select(F.col("band").cast("long").alias("g"), F.col("value").alias("h"), "node", F.lit(0).alias("b"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    large = met.where(F.col("n") > block)
+    if not large.isEmpty():  # one group for bands that share nodes
+        hot = scratch.table(bands.join(large, ["band", "value"]).select("node", F.xxhash64("band", "value").alias("key")), "hot")
         firsts = hot.groupBy("node").agg(F.min("key").alias("v"))
         links = hot.join(firsts, "node").select(F.col("key").alias("u"), "v").distinct()
         merged = components(links, scratch).withColumnRenamed("node", "v")
         homes = firsts.join(merged, "v", "left").select("node", F.coalesce("component", "v").alias("h"))
         homes = scratch.table(homes, "homes")
         sizes = scratch.table(homes.groupBy("h").agg(F.count("*").alias("n")), "group-sizes")
-        found = found.unionByName(_tiles(homes.join(sizes, "h"), F.col("n") / block).select(F.lit(-1).cast("long").alias("g"), "h", "node", "b", "i", "j"))
+        found = found.unionByName(tiles(homes.join(sizes, "h"), F.col("n") / block).select(F.lit(-1).cast("long").alias("g"), "h", "node", "b", "i", "j"))
     ready = found.join(nodes.select("node", "sig"), "node").select("g", "h", "i", "j", "b", "node", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +286,7 @@ def _candidate_forest(nodes: DataFrame, least: list[int], scratch: Scratch, bloc
                 us, vs = [], []
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
 
-    return ready.repartition(parts, "g", "h", "i", "j").sortWithinPartitions("g", "h", "i", "j").mapInArrow(run, "u binary, v binary")
+    return ready.repartition("g", "h", "i", "j").sortWithinPartitions("g", "h", "i", "j").mapInArrow(run, "u binary, v binary")
 
 
 def _shingle_sets(docs: DataFrame, homes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -313,9 +312,8 @@ def _shingle_sets(docs: DataFrame, homes: DataFrame, id_col: str, text_col: str,
 def _verify(homes: DataFrame, least: list[int], threshold: Fraction, block: int, block_bytes: int) -> DataFrame:
     """(node, root, links, tiled): the node's links with documents of other nodes in one tile, and the
     least node that it is connected with there. homes has the nodes' sets, and the rows and bytes of their component."""
-    parts = int(homes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = F.greatest(F.col("size") / block, F.col("bytes") / block_bytes)
-    tiles = _tiles(homes, blocks).select("home", "i", "j", (F.ceil(blocks) > 1).alias("tiled"), "b", "node", "n", "sig", "shingles")
+    laid = tiles(homes, blocks).select("home", "i", "j", (F.ceil(blocks) > 1).alias("tiled"), "b", "node", "n", "sig", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j, tiled), rows in _runs(batches, 4):
@@ -332,7 +330,7 @@ def _verify(homes: DataFrame, least: list[int], threshold: Fraction, block: int,
             )
 
     return (
-        tiles.repartition(parts, "home", "i", "j").sortWithinPartitions("home", "i", "j", "tiled")
+        laid.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j", "tiled")
         .mapInArrow(run, "node binary, root binary, links long, tiled boolean")
     )
 
@@ -369,6 +367,7 @@ def jaccard_classes(
         "node", F.col("n").alias("n_copies"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("class_rep", "rep").alias("class_rep")
     )
     facts = scratch.table(facts, "facts")
+    scratch.keep(signed, facts)
     return signed.select("doc_id", "node").join(facts, "node", "left").select(
         "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_rep")).alias("class_id"),
         F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"),

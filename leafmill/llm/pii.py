@@ -235,6 +235,7 @@ def _mark(docs: DataFrame, columns: list[Column], scratch: Scratch, text_col: st
     held, near = _held(some, scratch, total)
     told = scratch.table(disclosures(docs, held, near, scratch, text_col, total), "disclosures")
     found = scratch.table(_pairs(held).join(told, ["entity", "term"]).groupBy("uid", "term").agg(F.max("disclosure").alias("disclosure")), "found")
+    scratch.keep(marked, found)
     each = _words(some.join(found.select("uid").distinct(), "uid", "left_semi")).join(found, ["uid", "term"])
     hits = each.join(some.select("uid", "_spans"), "uid").where(_free(F.col("start"), F.col("end")))
     span = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", F.when(F.col("disclosure") >= REMOVE, "").otherwise("[term]").alias("value"))
