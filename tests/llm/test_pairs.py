@@ -1,6 +1,7 @@
 """Operators 7, 8 and 9: links between texts and vectors, overlaps with a benchmark."""
 
 import itertools
+import math
 import random
 from fractions import Fraction
 
@@ -83,7 +84,9 @@ def test_rows_without_an_id_keep_their_links(spark):
     assert got == [(0, -1, 1), (3, 7, 1), (3, 7, 1), (3, 7, 2), (3, 7, 2)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 100, 200_000])
+def test_components(spark, one_task, monkeypatch):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5)]
     forest = jaccard_join.Forest(2000)
@@ -92,6 +95,19 @@ def test_components(spark):
     got = graph.components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test")).collect()
     assert sorted(map(tuple, got)) == sorted({(x, forest.find(x)) for e in edges if e[0] != e[1] for x in e})
     assert graph.components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "test")).count() == 0
+    named = graph.components(spark.createDataFrame([(f"n{u}", f"n{v}") for u, v in edges], "u string, v string"), Scratch(spark, "test")).collect()
+    assert {r.component for r in named if r.node == "n1060"} == {"n1000"}
+
+
+def test_labels_of_long_chains():
+    rng = np.random.default_rng(6)
+    order = rng.permutation(5000)
+    assert (graph.labels(order[:-1], order[1:], 5000) == 0).all()
+    left, right = rng.integers(0, 3000, 1500), rng.integers(0, 3000, 1500)
+    forest = jaccard_join.Forest(3000)
+    for u, v in zip(left.tolist(), right.tolist(), strict=True):
+        forest.join(u, v)
+    assert graph.labels(left, right, 3000).tolist() == [forest.find(k) for k in range(3000)]
 
 
 def vectors():
@@ -113,8 +129,9 @@ def vectors():
     return rows
 
 
-@pytest.mark.parametrize("block", [2048, 8])
-def test_embedding_links_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "cell_rows"), [(2048, 256), (8, 256), (2048, 3)])
+def test_embedding_links_equal_brute_force(spark, block, cell_rows, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", cell_rows)
     rows = vectors()
     df = spark.createDataFrame([(k, v, c, "x") for k, v, c in rows], "vec_id long, embedding array<double>, label int, node string")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_links(df, block=block).collect()}
@@ -154,6 +171,42 @@ def test_collision_count_is_calibrated():
     assert len(i) == 2000 and len(k) < 20
 
 
+@pytest.mark.parametrize("largest", [300, 50_000, 20_000_000])
+def test_pairs_at_the_threshold_share_a_cell(largest):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal(x.shape)
+    y -= (y * x).sum(1)[:, None] * x
+    y = 0.98 * x + math.sqrt(1 - 0.98**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    radius = math.sqrt(0.04)
+    width, grids = embedding_dedup.grids_for(largest, radius)
+    a, b = (embedding_dedup.cells_of(v, width, grids, embedding_dedup.SIDE * radius) for v in (x, y))
+    same = a == b
+    assert same.any(axis=1).all()
+    near = embedding_dedup.same_cell(embedding_dedup.SIDE) ** width
+    assert abs(same.mean() - near) < 0.1 * near and (1 - near) ** grids <= embedding_dedup.PARTED
+    other = (a == np.roll(a, 1, axis=0)).mean() * largest  # rows of other directions that a cell has
+    assert other < 2 * embedding_dedup.CELL_ROWS
+
+
+def test_collisions_equal_windows_written_out():
+    rng = np.random.default_rng(2)
+    q, base = rng.standard_normal((30, 12)), rng.standard_normal((41, 12))
+    base[:5] = q[:5]
+    for least in (1, 3, 12):
+        want = (np.abs(q[:, None, :] - base[None, :, :]) <= 0.3).sum(axis=2) >= least
+        i, j = embedding_dedup.collisions(q, base, 0.3, least)
+        assert sorted(zip(i, j, strict=True)) == sorted(zip(*np.nonzero(want), strict=True))
+
+
+def test_vectors_of_one_id_count_each(spark):
+    v = [1.0, 2.0, 3.0]
+    df = spark.createDataFrame([(1, v, 0), (1, v, 0), (1, [-1.0, 2.0, 3.0], 0), (2, v, 0)], "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in embedding_dedup.embedding_links(df).collect())
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
+
+
 def bench(spark, rows):
     return spark.createDataFrame(rows, "item_id long, text string")
 
@@ -214,11 +267,58 @@ def test_every_placement_of_substitutions_is_found(n):
         assert index.overlaps(hashed(words("before " + text + " after"))) == [(1, 1, n, n - n // 5)], places
 
 
-def test_slices_of_the_index_give_the_same(spark, docs, monkeypatch):
+def brute_overlap(h, w):
+    """(words, equal words) of the longest overlap on any diagonal, by all starts and ends."""
+    least, best = min(decontamination.MIN_WORDS, len(w)), (0, 0)
+    for shift in range(-len(w) + 1, len(h)):
+        a, b = max(0, shift), min(len(h), shift + len(w))
+        same = [h[p] == w[p - shift] for p in range(a, b)]
+        for x in range(len(same)):
+            for e in range(x, len(same)):
+                n, equal = e - x + 1, sum(same[x : e + 1])
+                if same[x] and same[e] and n >= least and 5 * equal >= 4 * n:
+                    best = max(best, (n, equal))
+    return best
+
+
+@pytest.mark.parametrize("sent", [2_000_000, 10])
+def test_contamination_equals_a_scan_of_all_diagonals(spark, sent, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", sent)
+    monkeypatch.setattr(decontamination, "LOT", 50)
+    rng = random.Random(21)
+    pool = [f"w{k}" for k in range(40)]
+    items = [[rng.choice(pool) for _ in range(n)] for n in (5, 8, 13, 20, 31)] + [["a"] * 16, ["a", "b"] * 9, ["of"] * 4]
+    texts = []
+    for k in range(60):
+        w = list(rng.choice(items))
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = rng.choice(pool)
+        texts.append([rng.choice(pool) for _ in range(rng.randint(0, 8))] + w[rng.randint(0, 3) :] + [rng.choice(pool) for _ in range(rng.randint(0, 8))])
+    texts += [["a"] * 40, ["a", "b"] * 20, [], ["w1"], texts[0], texts[0]]
+    df = make(spark, [(k, " ".join(t)) for k, t in enumerate(texts)] + [(500, None)])
+    got = {r.doc_id: (r.item_ids, r.overlap_words, r.equal_words) for r in decontamination.contamination(df, bench(spark, [(k, " ".join(w)) for k, w in enumerate(items)])).collect()}
+    assert got.pop(500) == ([], 0, 0) and len(got) == len(texts)
+    for k, t in enumerate(texts):
+        found = {i: brute_overlap(t, w) for i, w in enumerate(items) if len(w) >= decontamination.SHORTEST}
+        hit = sorted(i for i, (n, _) in found.items() if n)
+        assert got[k] == (hit, *max([found[i] for i in hit], default=(0, 0))), t
+
+
+def test_a_large_benchmark_gives_the_same_by_joins(spark, docs, corpus, monkeypatch):
     items = bench(spark, [(k, r.text) for k, r in enumerate(docs.where(F.col("doc_id").between(100, 104)).select("text").collect())])
-    want = sorted(map(str, decontamination.contamination(docs, items).collect()))
-    monkeypatch.setattr(decontamination, "SLICE", 10)
-    assert sorted(map(str, decontamination.contamination(docs, items).collect())) == want
+    want = sorted(map(str, decontamination.contamination(docs, items, ["doc_id", "node", "_row"]).collect()))
+    kept = sorted(map(str, decontamination.uncontaminated(docs, items).collect()))
+    assert 0 < len(kept) < len(want) == len(corpus)
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", 10)
+    monkeypatch.setattr(decontamination, "SIEVE_BITS", 16)
+    assert sorted(map(str, decontamination.contamination(docs, items, ["doc_id", "node", "_row"]).collect())) == want
+    assert sorted(map(str, decontamination.uncontaminated(docs, items).collect())) == kept
+
+
+def test_names_that_are_used_inside_may_be_kept(spark):
+    df = make(spark, [(1, "five words of one item")]).selectExpr("doc_id as found", "text", "uid as _k0", "node as a", "label as item_id")
+    row = decontamination.contamination(df, bench(spark, [(92, "five words of one item")]), ["found", "_k0", "a", "item_id"]).first()
+    assert row.asDict() == {"found": 1, "_k0": 1, "a": "y", "item_id": "z", "contaminated": True, "item_ids": [92], "overlap_words": 5, "equal_words": 5}
 
 
 def test_overlaps_equal_an_exhaustive_search():
@@ -236,5 +336,10 @@ def test_overlaps_equal_an_exhaustive_search():
         assert (found[1] if found else 0) == best
 
 
-def test_decontamination_of_nothing(spark, empty):
-    assert decontamination.contamination(empty, bench(spark, [(1, "a b c d e f")])).count() == 0
+def test_decontamination_of_nothing(spark, empty, monkeypatch):
+    items = bench(spark, [(1, "a b c d e f")])
+    assert decontamination.contamination(empty, items).count() == 0
+    assert decontamination.uncontaminated(empty, items).count() == 0
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", 0)
+    assert decontamination.contamination(empty, items).count() == 0
+    assert decontamination.uncontaminated(empty, items).count() == 0
