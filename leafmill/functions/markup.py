@@ -197,9 +197,24 @@ def split_inline_math(text: str) -> list[dict]:
     return out
 
 
-# Commands, accents and digits by the character that stands for them.
-COMMANDS = {"alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "lambda": "λ", "mu": "μ", "pi": "π", "sigma": "σ", "omega": "ω", "times": "×", "cdot": "·", "leq": "≤", "geq": "≥", "neq": "≠", "infty": "∞", "sum": "∑", "int": "∫", "pm": "±"}
-SUPERS = str.maketrans("0123456789+-=()n", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿ")
+# The character that stands for a command, commands that stand for nothing, letters with a doubled stroke,
+# accents, raised characters, fractions, binomials, and commands that only wrap what follows.
+SIGNS = """
+alpha α beta β gamma γ delta δ epsilon ε zeta ζ eta η theta θ iota ι kappa κ lambda λ mu μ nu ν xi ξ pi π rho ρ sigma σ tau τ upsilon υ phi φ chi χ psi ψ omega ω
+Gamma Γ Delta Δ Theta Θ Lambda Λ Xi Ξ Pi Π Sigma Σ Upsilon Υ Phi Φ Psi Ψ Omega Ω varepsilon ε vartheta θ varphi φ varrho ρ varsigma σ varpi π ell ℓ
+oplus ⊕ otimes ⊗ times × pm ± mp ∓ cdot · ast * in ∈ notin ∉ ni ∋ le ≤ leq ≤ ge ≥ geq ≥ neq ≠ approx ≈ sim ∼ simeq ≃ cong ≅ equiv ≡ propto ∝ ll ≪ gg ≫
+to → rightarrow → leftarrow ← leftrightarrow ↔ uparrow ↑ downarrow ↓ Rightarrow ⇒ Leftarrow ⇐ Leftrightarrow ⇔ implies ⇒ iff ⇔
+ldots … cdots … dots … infty ∞ partial ∂ nabla ∇ forall ∀ exists ∃ cup ∪ cap ∩ subset ⊂ supset ⊃ subseteq ⊆ supseteq ⊇ wedge ∧ land ∧ vee ∨ lor ∨ neg ¬ lnot ¬
+mid | vert | lvert | rvert | Vert ‖ lVert ‖ rVert ‖ langle ⟨ rangle ⟩ sum ∑ prod ∏ int ∫ prime ′ dagger † angle ∠ perp ⊥ bot ⊥ therefore ∴ because ∵ triangle △ colon : top T intercal T
+""".split()
+COMMANDS = dict(zip(SIGNS[::2], SIGNS[1::2], strict=True)) | {"quad": " ", "qquad": "  "}
+SILENT = frozenset("left right big Big bigg Bigg bigl bigr Bigl Bigr biggl biggr Biggl Biggr displaystyle textstyle scriptstyle limits nolimits".split())
+DOUBLED = str.maketrans("CHNPQRZ", "ℂℍℕℙℚℝℤ")
+ACCENTS = {"hat": "\u0302", "widehat": "\u0302", "tilde": "\u0303", "widetilde": "\u0303", "bar": "\u0304", "overline": "\u0304", "dot": "\u0307", "ddot": "\u0308", "vec": "\u20d7"}
+SUPERS = str.maketrans("0123456789+-=()", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾")
+FRACTIONS, BINOMIALS = ("frac", "dfrac", "tfrac", "cfrac"), ("binom", "dbinom", "tbinom")
+WRAPS = ("text", "mathrm", "mathbf", "mathit", "mathsf", "mathtt", "mathcal", "mathfrak", "boldsymbol", "operatorname", "textbf", "textit", "emph", "underline")
+_ATOM_TEXT = re.compile(r"√?(?:[^\W_]|[.′'\u0300-\u036f\u20d0-\u20ff⁺⁻⁼⁽⁾])+(?:\^?\([^()]*\))*")
 
 
 def _group(s: str, at: int) -> tuple[str, int]:
@@ -214,42 +229,90 @@ def _group(s: str, at: int) -> tuple[str, int]:
     return s[at + 1 :], len(s)
 
 
-def plain_math(s: str, depth: int = 0) -> str:
-    """Readable text of LaTeX: fractions, roots, scripts and known commands; an unknown command keeps its name."""
+def _argument(s: str, at: int) -> tuple[str, int] | None:
+    """What a command takes from a position on: a group, a command or one character; None if there is nothing to take."""
+    while at < len(s) and s[at] in " \t":
+        at += 1
+    if m := re.compile(r"\\(?:[A-Za-z]+|.)").match(s, at):
+        return m[0], m.end()
+    if at >= len(s) or s[at] in "}^_\\":
+        return None
+    inner, end = _group(s, at)
+    return None if s[at] == "{" and s[end - 1 : end] != "}" else (inner, end)
+
+
+def _bracketed(text: str) -> str:
+    """A part of a fraction or root: in brackets unless it is one number, name or root."""
+    text = text.strip()
+    return text if _ATOM_TEXT.fullmatch(text) else f"({text})"
+
+
+def _script(mark: str, text: str) -> str:
+    text = text.strip()
+    if mark == "^" and text and not any(map(str.isalpha, text)) and all(ord(c) in SUPERS for c in text):
+        return text.translate(SUPERS)
+    return f"({text})" if mark == "_" else f"^({text})"
+
+
+def _command(name: str, s: str, at: int, depth: int) -> tuple[str, int]:
+    """The text of a command with its arguments, and where it ends; a command that is not known keeps its name."""
+    first = _argument(s, at) if name in (*FRACTIONS, *BINOMIALS, *WRAPS, *ACCENTS, "mathbb", "sqrt") else None
+    if name == "sqrt" and (m := re.compile(r"\s*\[([^\]]*)\]").match(s, at)):
+        order, first = m[1].strip(), _argument(s, m.end())
+        if first:
+            return f"{order.translate(SUPERS) if order.isdigit() else order}√{_bracketed(_read(first[0], depth + 1))}", first[1]
+    if first is None:
+        return "" if name in SILENT else COMMANDS.get(name, name), at
+    inner = _read(first[0], depth + 1)
+    if name in (*FRACTIONS, *BINOMIALS):
+        second = _argument(s, first[1])
+        if second is None:
+            return name, at
+        below = _read(second[0], depth + 1)
+        return (f"{_bracketed(inner)}/{_bracketed(below)}" if name in FRACTIONS else f"C({inner.strip()}, {below.strip()})"), second[1]
+    if name == "sqrt":
+        return f"√{_bracketed(inner)}", first[1]
+    if name == "mathbb":
+        return inner.translate(DOUBLED), first[1]
+    if name in ACCENTS:
+        return inner.strip() + ACCENTS[name] * (len(inner.strip()) == 1), first[1]
+    return inner, first[1]
+
+
+_ESCAPED = {",": " ", ";": " ", ":": " ", " ": " ", ">": " ", "!": "", "|": "‖", "(": "", ")": "", "[": "", "]": "", "\\": " "}
+
+
+def _read(s: str, depth: int) -> str:
     if depth > 8:
         return s
     out, k = [], 0
     while k < len(s):
-        if s[k] == "\\":
-            m = re.match(r"\\([A-Za-z]+|.)\s*", s[k:])
-            name = m[1] if m else ""
-            k += m.end() if m else 1
-            if name in ("frac", "dfrac", "tfrac"):
-                a, k = _group(s, k)
-                b, k = _group(s, k)
-                out.append(f"{plain_math(a, depth + 1)}/{plain_math(b, depth + 1)}")
-            elif name == "sqrt":
-                a, k = _group(s, k)
-                out.append("√" + plain_math(a, depth + 1))
-            elif name in ("text", "mathrm", "mathbf", "mathit"):
-                a, k = _group(s, k)
-                out.append(plain_math(a, depth + 1))
-            else:
-                out.append(COMMANDS.get(name, name))
-        elif s[k] in "^_":
-            a, end = _group(s, k + 1)
-            a = plain_math(a, depth + 1)
-            raised = a.translate(SUPERS)
-            out.append(raised if s[k] == "^" and all(c not in "0123456789" for c in raised) and raised != a else f"{'^' if s[k] == '^' else ''}({a})")
-            k = end
-        elif s[k] in "{}":
-            k += 1
+        m = re.compile(r"\\(?:([A-Za-z]+)\*?|(.))", re.S).match(s, k)
+        if m and m[1]:
+            text, k = _command(m[1], s, m.end(), depth)
+            out.append(text)
+        elif m:
+            out.append(_ESCAPED.get(m[2], m[2]))
+            k = m.end()
+        elif s[k] in "^_" and (found := _argument(s, k + 1)):
+            out.append(_script(s[k], _read(found[0], depth + 1)))
+            k = found[1]
+        elif s.startswith("$$", k):
+            k += 2
         else:
-            out.append(s[k])
+            out.append("" if s[k] in "{}" else s[k])
             k += 1
     return "".join(out)
 
 
+def plain_math(s: str) -> str:
+    """Readable text of LaTeX in a text: fractions, roots, accents, scripts (of HTML too) and known commands; an unknown
+    command keeps its name. Tags become blanks, runs of blanks one, and blank lines go."""
+    s = re.sub(r"<(sup|sub)>([^<]*)</\1>", lambda m: ("^{" if m[1].lower() == "sup" else "_{") + m[2] + "}", s, flags=re.I)
+    text = _read(re.sub(r"</?[A-Za-z][^>\n]*>", " ", s), 0)
+    return "\n".join(x for x in (" ".join(line.split()) for line in text.splitlines()) if x)
+
+
 def strip_markdown(content: str, source: str) -> str:
     """Marks of headings, quotes, bullets and emphasis go unless the source has them; code spans stay."""
     spans: list[str] = []

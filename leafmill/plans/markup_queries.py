@@ -101,9 +101,11 @@ def markdown_stripped(spark, d):
     return pair.select("doc_id", strip("text", "source").alias("plain"))
 
 
-@query("plain_math_text", "P18", r"""select doc_id, doc_id || '/' || (doc_id + 1) || ' ≤√2αx⁽¹⁰⁾ ' as plain from documents""")
+@query("plain_math_text", "P18", r"""select doc_id, doc_id || '/(' || (doc_id + 1) || '+n) ≤ √2 α · x⁽¹⁰⁾ ^(n) ℝ(' || doc_id % 7 || ') ‖C(a, b)‖' || case when t <> '' then ' ' || t else '' end as plain
+from (select doc_id, trim(regexp_replace(translate(text, '<>{}\^_$', ''), '\s+', ' ', 'g')) as t from documents)""")
 def plain_math_text(spark, d):
-    tex = F.concat(F.lit(r"\frac{"), "doc_id", F.lit("}{"), F.col("doc_id") + 1, F.lit(r"} \leq \sqrt{2}\alpha x^{(10)} "))
+    """Formulas before the text of each document, which is without signs of its own and on one line."""
+    tex = F.concat(F.lit(r"\frac{"), "doc_id", F.lit("}{"), F.col("doc_id") + 1, F.lit(r"+n} \leq \sqrt{2} \alpha \cdot x^{(10)} ^n \mathbb{R}_{"), F.col("doc_id") % 7, F.lit(r"} \|\binom{a}b\| "), F.regexp_replace(F.translate("text", "<>{}\\^_$", ""), r"\s+", " "))
     return table(spark, d, "documents").select("doc_id", markup.as_udf(markup.plain_math, "string")(tex).alias("plain"))
 
 

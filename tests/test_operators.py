@@ -158,7 +158,12 @@ def test_tables_and_markup():
     assert markup.table_cells("<table><tr><td>a</td><td rowspan=2>b</td></tr><tr><td colspan=2>c</td></tr></table>") is None
     assert markup.balance_table_tags("<table><tr><td>x</tr></td></table></table>") == "<table><tr><td>x</td></tr></table>"
     assert markup.restore_table_tags("&lt;td colspan=&quot;2&quot;&gt;&lt;script&gt;") == '<td colspan="2">&lt;script&gt;'
-    assert markup.plain_math(r"\frac{1}{x^{2}} \leq \sqrt{a_{i}} \foo") == "1/x² ≤√a(i) foo"
+    assert markup.plain_math(r"\frac{1}{x^{2}} \leq \sqrt{a_{i}} \foo") == "1/x² ≤ √a(i) foo"
+    forms = {
+        r"\(E=mc^{2}\)": "E=mc²", r"\frac{a+b}{\sqrt{d_k}}": "(a+b)/√d(k)", r"\binom n 2": "C(n, 2)", r"\mathbb{R}^{d} \hat{y}": "ℝ^(d) y\u0302", r"\sqrt[3]{x} \{a\}": "³√x {a}",
+        r"x<sub>1</sub> \cdot \left( \text{if } n-1 \right)": "x(1) · ( if n-1 )", r"3\,GB \| x \|": "3 GB ‖ x ‖", r"\frac{1": r"frac1", "a\n\n  b  c": "a\nb c", "x^": "x^", "": "",
+    }
+    assert {x: markup.plain_math(x) for x in forms} == forms
     assert markup.recover_math("so x_1 = y^2 + 3\n```\nx_1 = 2\n```\na = b and `x_1 = 2`") == "so \\(x_1 = y^2 + 3\\)\n```\nx_1 = 2\n```\na = b and `x_1 = 2`"
     assert [(r["kind"], r["text"]) for r in markup.split_inline_math("costs $5, but \\[ x^2 \\] and \\(y\\)\\( \\)")] == [("text", "costs $5, but "), ("math", "x^2"), ("text", " and "), ("math", "y")]
     assert markup.split_inline_math("") == [{"kind": "text", "text": "", "display": False}]
