@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from leafmill.functions.arrays import let
 from leafmill.functions.text import lines, nonempty_lines, strip_ws
 
 HANGUL = r"[\x{AC00}-\x{D7A3}]"
+LATIN = string.ascii_letters
 # Lines of a reference list and the evidence that a single one needs, an identifier, refusals, and marks of a prompt.
 REFERENCE_LINE = r"^\s*\[\d+\]\s+\S"
 BIBLIOGRAPHY = r"(?i)\b(?:19|20)\d{2}\b|arXiv|,\s*[A-Z]\.|\bpp\.\s*\d|\bvol\.\s*\d"
@@ -47,9 +50,11 @@ IDENTIFIER = r"^[a-z0-9][a-z0-9._+-]*$"
 
 def is_reference_list(text: Column) -> Column:
     """Two lines or more in citation form, or a single one with bibliographic evidence."""
-    each = nonempty_lines(text)
-    cited = F.size(F.filter(each, lambda x: x.rlike(REFERENCE_LINE)))
-    return (cited >= 2) | ((F.size(each) == 1) & (cited == 1) & text.rlike(BIBLIOGRAPHY))
+    def judged(each: Column) -> Column:
+        cited = F.size(F.filter(each, lambda x: x.rlike(REFERENCE_LINE)))
+        return (cited >= 2) | ((F.size(each) == 1) & (cited == 1) & text.rlike(BIBLIOGRAPHY))
+
+    return F.contains(text, F.lit("[")) & let(nonempty_lines(text), judged)
 
 
 def code_line(line: Column) -> Column:
@@ -92,14 +97,15 @@ def looks_like_code(text: Column) -> Column:
 def skip_reason(text: Column, with_code: bool = True, residual: Column | None = None) -> Column:
     """Why a unit needs no translation; empty if it does. residual: what is left of it when marks are taken out; the text if None."""
     residual = text if residual is None else residual
-    count = lambda c, p: F.regexp_count(c, F.lit(p))
+    dense = lambda c: F.length(F.translate(c, " \t\n\x0b\f\r", ""))
+    latin = F.length(residual) - F.length(F.translate(residual, LATIN, ""))
     found = (
-        F.when(strip_ws(text) == "", "non-linguistic").when(is_reference_list(text), "references").when(count(text, HANGUL) * 2 > count(text, r"\S"), "already-korean")
-        .when(strip_ws(text).rlike(ARXIV), "identifier")
+        F.when(dense(text) == 0, "non-linguistic").when(is_reference_list(text), "references").when(F.regexp_count(text, F.lit(HANGUL)) * 2 > dense(text), "already-korean")
+        .when(F.contains(text, F.lit("arXiv:")) & strip_ws(text).rlike(ARXIV), "identifier")
     )
     if with_code:
         found = found.when(code_reason(text) != "", code_reason(text))
-    return found.when(~residual.rlike(r"[A-Za-z]{2}") | (count(residual, "[A-Za-z]") * 10 < count(residual, r"\S") * 3), "non-linguistic").otherwise("")
+    return found.when(~residual.rlike(r"[A-Za-z]{2}") | (latin * 10 < dense(residual) * 3), "non-linguistic").otherwise("")
 
 
 def numbers_dropped(src: Column, out: Column) -> Column:
