@@ -41,10 +41,11 @@ def window_counts(events: DataFrame, key: str, ts: Column, span: int, limit: int
 
 
 def replay_log(events: DataFrame, key: str, order: list[str], reset: Column, text: str) -> DataFrame:
-    """(key, log, n): texts after the last reset of each key, in order."""
-    w = Window.partitionBy(key)
-    mark = events.withColumn("_o", F.struct(*order)).withColumn("_reset", F.max(F.when(reset, F.struct(*order))).over(w))
-    kept = mark.where(~reset & (F.col("_reset").isNull() | (F.col("_o") > F.col("_reset"))))
+    """(key, log, n): texts after the last reset of each key, in order.
+
+    The last resets are found by an aggregation; only what comes after them is put together, as the log of a key is one text."""
+    last = events.where(reset).groupBy(key).agg(F.max(F.struct(*order)).alias("_reset"))
+    kept = events.where(~reset).withColumn("_o", F.struct(*order)).join(last, key, "left").where(F.col("_reset").isNull() | (F.col("_o") > F.col("_reset")))
     g = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_o", text))).alias("x"))
     return g.select(key, F.array_join(F.col(f"x.{text}"), "").alias("log"), F.size("x").cast("long").alias("n"))
 

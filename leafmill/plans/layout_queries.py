@@ -63,7 +63,7 @@ def block_headers_normalized(spark, d):
     return _blocks(spark, d).select("page", "idx", layout.normalize_headers(raw).alias("raw"))
 
 
-@query("block_rect_clamp", "P07 P08 X08 K08", f"""with {B}, c as (select page, idx, least(greatest(least(x0 - 100, x1 + 150), 0), 999) as x0, least(greatest(y0 - 50, 0), 999) as y0, least(greatest(greatest(x0 - 100, x1 + 150), 0), 999) as x1, least(greatest(y1 + 100 - case when idx % 4 = 0 then 2000 else 0 end, 0), 999) as y1 from b)
+@query("block_rect_clamp", "P07 P08 X08", f"""with {B}, c as (select page, idx, least(greatest(least(x0 - 100, x1 + 150), 0), 999) as x0, least(greatest(y0 - 50, 0), 999) as y0, least(greatest(greatest(x0 - 100, x1 + 150), 0), 999) as x1, least(greatest(y1 + 100 - case when idx % 4 = 0 then 2000 else 0 end, 0), 999) as y1 from b)
 select page, idx, case when x1 > x0 and greatest(y0, y1) > least(y0, y1) then x0 end as x0, case when x1 > x0 and greatest(y0, y1) > least(y0, y1) then (x1 * 1700) // 999 end as px1,
   least(greatest(round((x0 / 999 * 400 - 8 + 100) / 1700 * 999), 0), 999)::bigint as page_x from c""")
 def block_rect_clamp(spark, d):

@@ -194,7 +194,18 @@ def repetition_stops(spark, d):
     return processors.run_batch(rows, machines.RepetitionGuard).select("key", F.col("data").alias("event"))
 
 
-@query("line_framing", "T07 T10", "select doc_id::varchar as key, len(string_split(rtrim(text, chr(10)), chr(10)))::bigint as lines from documents where text <> ''")
+@query("line_framing", "T10", "select doc_id::varchar as key, len(string_split(rtrim(text, chr(10)), chr(10)))::bigint as lines from documents where text <> ''")
 def line_framing(spark, d):
     rows = pages.explode_pages(table(spark, d, "documents")).select(F.col("doc_id").alias("key"), F.col("page").alias("seq"), F.concat("line", F.lit("\n")).alias("text"))
     return processors.run_batch(rows, machines.Lines).groupBy("key").agg(F.count("*").alias("lines"))
+
+
+@query("math_lines_streamed", "T07", "select doc_id::varchar as key, true as same from documents where text <> ''")
+def math_lines_streamed(spark, d):
+    """Maths recovered line by line from pieces of nine characters: the same text as at once."""
+    x = _mathy(spark, d).where("doc_id is not null").join(table(spark, d, "documents").where("text <> ''").select("doc_id"), "doc_id")
+    rows = x.select(F.col("doc_id").alias("key"), F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,9}"), F.lit(0))).alias("seq", "text"))
+    out = processors.run_batch(rows, machines.MathLines)
+    whole = out.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("p")).select("key", F.array_join("p.data", "").alias("streamed"))
+    once = x.select(F.col("doc_id").cast("string").alias("key"), markup.as_udf(markup.recover_math, "string")("text").alias("once"))
+    return whole.join(once, "key").select("key", (F.col("streamed") == F.col("once")).alias("same"))
