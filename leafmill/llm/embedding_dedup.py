@@ -49,7 +49,7 @@ from leafmill.llm.storage import Scratch, bounded_batches, key_runs, packed
 from leafmill.llm.words import mix, place
 
 #: Lines on which collisions are counted, and the windows' half width in distances at the threshold.
-PROJECTIONS, WIDTH = 32, 2.0
+PROJECTIONS, WIDTH = 24, 2.0
 #: Probability with which a pair at the threshold falls short of the count, and with which it shares no cell.
 MISS, PARTED = 1e-9, 1e-6
 #: Side of a grid's cell in distances at the threshold, and rows that a cell of a label spread evenly should have.
