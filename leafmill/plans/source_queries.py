@@ -369,12 +369,12 @@ def reading_views(spark, d):
 
 
 @query("page_mentions", "V06", """with n as (select doc_id, doc_id % 90 + 1 as a, doc_id % 7 as b from documents)
-select doc_id, [a, b + 2, a + 1, a + 2] as pages, [a || '페이지', (b + 2) || '–' || (b + 4) || '페이지', (a + 1)::varchar, (a + 2)::varchar] as marks from n""")
+select doc_id, concat_ws(',', a, b + 2, a + 1, a + 2) as pages, concat_ws(',', a || '페이지', (b + 2) || '–' || (b + 4) || '페이지', (a + 1)::varchar, (a + 2)::varchar) as marks from n""")
 def page_mentions(spark, d):
     a, b = F.col("doc_id") % 90 + 1, F.col("doc_id") % 7
     text = F.concat(a, F.lit("페이지 실패, "), b + 2, F.lit("–"), b + 4, F.lit("페이지, 3/"), a, F.lit("페이지, 0페이지; 페이지: "), a + 1, F.lit(", "), a + 2, F.lit("\n"), F.regexp_replace("text", "페이지", ""))
     found = markup.as_udf(preview.page_mentions, "array<struct<page: bigint, value: string>>")(text)
-    return table(spark, d, "documents").select("doc_id", found.alias("m")).select("doc_id", F.col("m.page").alias("pages"), F.col("m.value").alias("marks"))
+    return table(spark, d, "documents").select("doc_id", found.alias("m")).select("doc_id", F.array_join(F.col("m.page"), ",").alias("pages"), F.array_join(F.col("m.value"), ",").alias("marks"))
 
 
 @query("viewer_searches", "P31", """with e as (select event_id, event_id % 4 as k, user_id, event_type from events)
