@@ -27,28 +27,36 @@ def translate(rows: DataFrame, provider: Provider, own: str = gates.HANGUL, judg
     """(unit_id, src, out, how, reason) of rows (unit_id, src); equal sources are asked once.
 
     how is skipped, first, repair, split or kept; reason tells why a unit was skipped or what the last gate said.
-    Each pass is written to shared storage before it is judged, so no external call is made twice for one row."""
+    Each pass is written to shared storage with what the gate says of it, so no row is asked or judged twice; of texts only
+    those are kept that are still needed, and sources meet their results on a hash."""
     judge = judge or (lambda s, o: gates.output_reason(s, o, own))
-    todo = rows.select("unit_id", "src").withColumn("skip", gates.skip_reason(F.col("src")))
-    skipped = todo.where("skip <> ''").select("src", F.col("src").alias("out"), F.lit("skipped").alias("how"), F.col("skip").alias("reason")).distinct()
-    asked = todo.where("skip = ''").select("src").distinct()
-    first = cut(asked.withColumn("out", _call(provider, "first")(F.col("src")))).withColumn("reason", judge(F.col("src"), F.col("out")))
-    again = first.where("reason <> ''").select("src")
-    repair = cut(again.withColumn("out", _call(provider, "repair")(F.col("src")))).withColumn("reason", judge(F.col("src"), F.col("out")))
-    parts = repair.where("reason <> ''").where(gates.splittable(F.col("src"))).select("src", F.posexplode(units.split_two(F.col("src"))).alias("k", "part"))
-    split = cut(parts.withColumn("o", _call(provider, "split")(F.col("part")))).withColumn("r", judge(F.col("part"), F.col("o")))
-    whole = _rejoin(split)
-    done = first.where("reason = ''").withColumn("how", F.lit("first")).unionByName(repair.where("reason = ''").withColumn("how", F.lit("repair")))
-    good = whole.where("reason = ''").withColumn("how", F.lit("split"))
-    failed = repair.where("reason <> ''").join(good.select("src"), "src", "left_anti").select("src", F.col("src").alias("out"), "reason", F.lit("kept").alias("how"))
-    result = done.unionByName(good).unionByName(failed).unionByName(skipped)
-    return rows.select("unit_id", "src").join(result, "src").select("unit_id", "src", "out", "how", "reason")
+    todo = cut(rows.select("src").distinct().select(_key(), "src", gates.skip_reason(F.col("src")).alias("reason")))
+    first = _judged(todo.where("reason = ''").select("key", "src"), provider, "first", judge)
+    repair = _judged(first.where("reason <> ''").select("key", F.col("text").alias("src")), provider, "repair", judge)
+    parts = repair.where("reason <> ''").where(gates.splittable(F.col("text"))).select("key", F.posexplode(units.split_two(F.col("text"))).alias("k", "src"))
+    whole = cut(_rejoin(_judged(parts, provider, "split", judge))).where("reason = ''")
+    good = lambda x, how: x.where("reason = ''").select("key", F.col("text").alias("out"), F.lit(how).alias("how"), "reason")
+    same = lambda x, how: x.where("reason <> ''").select("key", F.lit(None).cast("string").alias("out"), F.lit(how).alias("how"), "reason")
+    failed = same(repair, "kept").join(whole.select("key"), "key", "left_anti")
+    result = good(first, "first").unionByName(good(repair, "repair")).unionByName(good(whole, "split")).unionByName(failed).unionByName(same(todo, "skipped"))
+    out = F.when(F.col("how").isin("skipped", "kept"), F.col("src")).otherwise(F.col("out"))
+    return rows.select(_key(), "unit_id", "src").join(result, "key").select("unit_id", "src", out.alias("out"), "how", "reason")
+
+
+def _key() -> Column:
+    return F.sha2("src", 256).alias("key")
+
+
+def _judged(rows: DataFrame, provider: Provider, step: str, judge: Callable[[Column, Column], Column]) -> DataFrame:
+    """(key, ..., text, reason) of rows (key, ..., src): text is the output if it is taken, else the source."""
+    asked = rows.withColumn("_out", _call(provider, step)(F.col("src"))).withColumn("reason", judge(F.col("src"), F.col("_out")))
+    return cut(asked.withColumn("text", F.when(F.col("reason") == "", F.col("_out")).otherwise(F.col("src"))).drop("src", "_out"))
 
 
 def _rejoin(split: DataFrame) -> DataFrame:
     """Parts of a source joined again; the reason of the worst part stands for all."""
-    g = split.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("k", "o"))).alias("x"), F.max("r").alias("reason"))
-    return g.select("src", F.array_join(F.col("x.o"), "").alias("out"), "reason")
+    g = split.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("x"), F.max("reason").alias("reason"))
+    return g.select("key", F.array_join(F.col("x.text"), "").alias("text"), "reason")
 
 
 def precedence(plan: DataFrame) -> DataFrame:
