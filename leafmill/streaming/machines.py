@@ -14,9 +14,11 @@ PAGE = "<PAGE>"
 
 def held_back(text: str, mark: str) -> int:
     """Length of the longest end of text that may be the beginning of mark."""
-    for n in range(min(len(mark) - 1, len(text)), 0, -1):
-        if mark.startswith(text[-n:]):
-            return n
+    at = text.find(mark[0], max(0, len(text) - len(mark) + 1))
+    while at >= 0:
+        if mark.startswith(text[at:]):
+            return len(text) - at
+        at = text.find(mark[0], at + 1)
     return 0
 
 
@@ -225,7 +227,11 @@ class Grounding(Machine):
     TOKEN = re.compile(r"<PAGE>|<\|det\|>([a-z_]+) \[(\d{1,6}), (\d{1,6}), (\d{1,6}), (\d{1,6})\]<\|/det\|>")
 
     def feed(self, text: str) -> list[Event]:
-        data, out, at = self.s["rest"] + text, [], 0
+        rest = self.s["rest"]
+        if "<" not in text and ">" not in text and (not rest or rest.startswith("<|det|>")):  # no token begins or ends here
+            self.s["rest"] = rest + text if rest and len(rest) + len(text) <= self.CAP else ""
+            return []
+        data, out, at = rest + text, [], 0
         for m in self.TOKEN.finditer(data):
             at = m.end()
             if m[0] == PAGE:

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,27 +21,61 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from leafmill.streaming.machines import Factory
 
 OUT = "key string, seq long, event string, data string"
+ARROW = pa.schema([("key", pa.string()), ("seq", pa.int64()), ("event", pa.string()), ("data", pa.string())])
 
 
-def _fold(machine, key: str, rows: pd.DataFrame, start: int, end_mark: str | None) -> tuple[list[tuple], int]:
+def _fold(machine, key: str, rows: pd.DataFrame, start: int, end_mark: str) -> tuple[list[tuple], int]:
     out = []
     for text in rows.sort_values("seq")["text"]:
-        for event, data in machine.finish() if end_mark is not None and text == end_mark else machine.feed(text):
+        for event, data in machine.finish() if text == end_mark else machine.feed(text):
             out.append((key, start, event, data))
             start += 1
     return out, start
 
 
-def run_batch(rows: DataFrame, factory: Factory) -> DataFrame:
-    """(key, seq, event, data) of rows (key, seq, text): each key's rows in order through one machine, then its end."""
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 4, ARROW.types, strict=True)], schema=ARROW)
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        machine, key = factory(None), str(df["key"].iloc[0])
-        out, seq = _fold(machine, key, df, 0, None)
-        out += [(key, seq + k, event, data) for k, (event, data) in enumerate(machine.finish())]
-        return pd.DataFrame(out, columns=["key", "seq", "event", "data"])
 
-    return rows.select(F.col("key").cast("string"), F.col("seq").cast("long"), "text").groupBy("key").applyInPandas(run, OUT)
+def run_batch(rows: DataFrame, factory: Factory) -> DataFrame:
+    """(key, seq, event, data) of rows (key, seq, text): each key's rows in order through one machine, then its end.
+
+    A task reads its keys one after another as they are sorted, so neither a key costs a frame of its own nor a long one memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, last, seq = None, None, 0
+        for batch in batches:
+            out = []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if machine is None or key != last:
+                    out += [(last, seq + k, *e) for k, e in enumerate(machine.finish())] if machine else []
+                    machine, last, seq = factory(None), key, 0
+                for event, data in machine.feed(text):
+                    out.append((key, seq, event, data))
+                    seq += 1
+            yield _batch(out)
+        if machine is not None:
+            yield _batch([(last, seq + k, *e) for k, e in enumerate(machine.finish())])
+
+    each = rows.select(F.col("key").cast("string"), F.col("seq").cast("long"), "text")
+    return each.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(run, OUT)
+
+
+def run_pieces(rows: DataFrame, factory: Factory) -> DataFrame:
+    """The same of rows (key, pieces): all pieces of a key, in order, stand in its one row, so nothing is moved or sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, texts = [], iter(batch.column("pieces").flatten().to_pylist())
+            for key, n in zip(batch.column("key").to_pylist(), batch.column("pieces").value_lengths().to_pylist(), strict=True):
+                machine, events = factory(None), []
+                for text in islice(texts, n or 0):
+                    events += machine.feed(text)
+                events += machine.finish()
+                out += [(key, k, *e) for k, e in enumerate(events)]
+            yield _batch(out)
+
+    return rows.select(F.col("key").cast("string"), "pieces").mapInArrow(run, OUT)
 
 
 def run_stream(stream: DataFrame, factory: Factory, end_mark: str = "\u0004") -> DataFrame:

@@ -87,6 +87,34 @@ def rows_of(texts, size=5):
     return [(k, n, t[a : a + size]) for k, t in enumerate(texts) for n, a in enumerate(range(0, len(t), size))]
 
 
+@pytest.mark.parametrize("make", [M.PageFramer, M.Lines, M.Grounding])
+def test_keys_follow_each_other_through_a_task(spark, make):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # keys cross batches
+    try:
+        rows = [(None if k == 3 else k, n, t) for k, n, t in rows_of(TEXTS)]
+        rows.sort(key=lambda r: -r[1])
+        found = processors.run_batch(spark.createDataFrame(rows, "key int, seq int, text string"), make)
+        grouped = [(None if k == 3 else k, [x for j, _, x in rows_of(TEXTS) if j == k]) for k in range(len(TEXTS))] + [(99, None)]
+        pieces = processors.run_pieces(spark.createDataFrame(grouped, "key int, pieces array<string>"), make)
+        want = set()
+        for k, (key, texts) in enumerate(grouped[:-1]):
+            machine = make()
+            events = [e for x in texts for e in machine.feed(x)] + machine.finish()
+            want |= {(None if key is None else str(k), n, *e) for n, e in enumerate(events)}
+        assert {tuple(r) for r in found.collect()} == want and {tuple(r) for r in pieces.collect()} == want
+        assert "FlatMapGroups" not in found._jdf.queryExecution().toString()  # no frame to a key
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_held_back_is_the_longest_beginning():
+    for mark in (M.PAGE, "<|det|>", "aab"):
+        for text in ("", "x", *(f"{x}{mark[:n]}{y}" for n in range(len(mark) + 1) for x in ("", "a", "<", "aa<|") for y in ("", "a", "<", "b"))):
+            want = max((n for n in range(1, len(mark)) if n <= len(text) and text.endswith(mark[:n])), default=0)
+            assert M.held_back(text, mark) == want
+
+
 def test_batch_and_stream_agree(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     texts = [t for t in TEXTS[:3] if t]
