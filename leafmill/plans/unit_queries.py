@@ -104,7 +104,11 @@ select conv_id, turn, case when {has('o', gates.SCAFFOLD)} and not {has('src', g
 def output_gate_reasons(spark, d):
     """Gates over messages, shortened or lengthened by turn, and derived outputs; repetition has a query of its own."""
     table(spark, d, "conversations").createOrReplaceTempView("_leafmill_conversations")
-    outputs = " ".join(f"when {k} then {x.replace('chr(10)', 'char(10)').replace('(length(text) / 2)::int', 'cast(round(length(text) / 2) as int)')}" for k, x in enumerate(OUTPUTS))
+    outputs = " ".join(f"when {k} then {x}" for k, x in enumerate(OUTPUTS))
+    # SQL's cast takes halves to even numbers; its capitals are letter by letter, a ligature has none.
+    capitals = "array_join(transform(split(text, ''), c -> if(length(upper(c)) > 1, c, upper(c))), '')"
+    for sql, own in {"chr(10)": "char(10)", "(length(text) / 2)::int": "cast(bround(length(text) / 2) as int)", "upper(text)": capitals}.items():
+        outputs = outputs.replace(sql, own)
     u = spark.sql("select conv_id, turn, case turn % 3 when 0 then left(text, 9) when 1 then text || ' about translation 2024' else text end as text from _leafmill_conversations")
     o = u.withColumn("o", F.expr(f"case (conv_id + turn) % {len(OUTPUTS)} {outputs} end"))
     return o.select("conv_id", "turn", gates.output_reason(F.col("text"), F.col("o"), with_repetition=False).alias("reason"))

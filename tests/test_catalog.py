@@ -55,6 +55,25 @@ def test_query_without_a_twin_runs(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 
 
+def same_as_twin(spark, folder, name, table, rows, schema):
+    """The query and its twin over a table of these rows only."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(folder))
+    want = sorted(con.execute(f"select {', '.join(df.columns)} from ({ORACLES[name]})").fetchall(), key=str)
+    assert sorted(map(tuple, df.collect()), key=str) == want
+    return want
+
+
+def test_output_gates_of_odd_texts(spark, tmp_path):
+    word = "abcdefghijk"
+    half = f"{word}  {word}. {word} {word}"  # 49 characters: the half is 24, and one more would tip the share of Hangul
+    texts = [(5, 2, half), (4, 2, "\ufb01\xdf words of a ligature stand here and there for all to see"), (7, 2, "H\u0130l and more"), (8, 2, "Ends\ubc88\uc5ed\ud560 \uc218 \uc5c6\uc2b5\ub2c8\ub2e4\u2028"), (4, 2, "x.\n"), (9, 5, "\u0130T\u3000"), (3, 2, "")]
+    want = same_as_twin(spark, tmp_path, "output_gate_reasons", "conversations", texts, "conv_id long, turn long, text string")
+    assert (5, 2, "") in want
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["doc_id", "truth_chars", "cand_chars", "score"] and df.count() == 200
