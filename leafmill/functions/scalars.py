@@ -23,6 +23,10 @@ def font_style(name: Column) -> Column:
     return F.when(n.rlike("sans|gothic|arial|helvet|dotum"), "sans").when(n.rlike("serif|times|roman|batang|myeongjo|mincho"), "serif")
 
 
-def size_label(n: Column) -> Column:
-    """Bytes in the unit that fits."""
-    return F.when(n < 1024, F.concat(n, F.lit(" B"))).when(n < 1024 * 1024, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", n / 1024 / 1024), F.lit(" MB")))
+def size_label(n: Column, units: tuple[str, ...] = ("B", "KB", "MB")) -> Column:
+    """Bytes in the unit that fits, the last one for all that is larger."""
+    out = F.when(n < 1024, F.concat(n, F.lit(f" {units[0]}")))
+    for k, unit in enumerate(units[1:], 1):
+        label = F.concat(F.format_string("%.1f", n / 1024**k), F.lit(f" {unit}"))
+        out = out.otherwise(label) if k == len(units) - 1 else out.when(n < 1024 ** (k + 1), label)
+    return out

@@ -74,6 +74,12 @@ def test_output_gates_of_odd_texts(spark, tmp_path):
     assert (5, 2, "") in want
 
 
+def test_size_labels_of_many_parts(spark, tmp_path):
+    keys = [(k,) for k in (0, 1, 13, 14, 14169, 14170, 14171, 20000, 1_200_000)]
+    want = same_as_twin(spark, tmp_path, "font_styles", "part", keys, "p_partkey long")
+    assert {r[0]: r[3] for r in want}[14170] == "1024.0 KB"
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["doc_id", "truth_chars", "cand_chars", "score"] and df.count() == 200
