@@ -38,15 +38,18 @@ def plain_pages(blocks: DataFrame, wanted: list[int]) -> DataFrame:
 
 
 def lines_in_boxes(boxes: DataFrame, lines: DataFrame) -> DataFrame:
-    """(page, box, text): lines whose centre lies in a box, in rows of over 0.3 common height, a blank where the gap is over a quarter of it."""
+    """(page, box, text): lines whose centre lies in a box, in rows of over 0.3 common height, a blank where the gap is over a quarter of it.
+
+    Lines go by y0 and x0, those of a row by x0 and y0; of lines that begin at one point the narrower, lower, alphabetically first."""
     q = boxes.select("page", "box", box().alias("qb"))
     j = q.join(lines.select("page", box().alias("lb"), "text"), "page").where(G.center_inside(F.col("lb"), F.col("qb")))
-    w = Window.partitionBy("page", "box").orderBy("lb.y0", "lb.x0")
+    ties = ("lb.x1", "lb.y1", "text")
+    w = Window.partitionBy("page", "box").orderBy("lb.y0", "lb.x0", *ties)
     before = F.lag("lb").over(w)
     high = F.least(G.height(F.col("lb")), G.height(before))
     j = j.withColumn("_new", F.coalesce(G.overlap_y(F.col("lb"), before) <= 0.3 * high, F.lit(True)).cast("int"))
     j = j.withColumn("row", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    along = Window.partitionBy("page", "box", "row").orderBy("lb.x0")
+    along = Window.partitionBy("page", "box", "row").orderBy("lb.x0", "lb.y0", *ties)
     gap = F.col("lb.x0") - F.lag("lb.x1").over(along)
     piece = F.concat(F.when(gap > 0.25 * G.height(F.col("lb")), " ").otherwise(""), "text")
     rows = j.withColumn("_p", piece).groupBy("page", "box", "row").agg(F.array_sort(F.collect_list(F.struct(F.col("lb.x0").alias("x"), F.col("_p").alias("p")))).alias("t"))

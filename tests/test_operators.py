@@ -251,6 +251,14 @@ def test_empty_tables(spark, fn):
     assert fn(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_lines_that_begin_at_one_point(spark):
+    boxes = spark.createDataFrame([(1, 1, 0, 0, 100, 100)], "page long, box long, x0 long, y0 long, x1 long, y1 long")
+    lines = [(1, 0, 0, 10, 40, "a"), (1, 13, 0, 20, 10, "b"), (1, 13, 0, 60, 40, "c")]
+    for given in (lines, lines[::-1]):
+        rows = spark.createDataFrame(given, "page long, x0 long, y0 long, x1 long, y1 long, text string").coalesce(1)
+        assert [r.text for r in textlayer.lines_in_boxes(boxes, rows).collect()] == ["a bc"]
+
+
 def test_text_layer(spark):
     lines = spark.createDataFrame([(1, 1, 0, 0, 10, 10, "aa", 9.0), (1, 2, 12, 0, 20, 10, "b", 12.0), (1, 3, 0, 11, 10, 20, "cc", 12.0)], "block long, line long, x0 long, y0 long, x1 long, y1 long, text string, size double")
     b = textlayer.text_blocks(lines.withColumn("page", F.lit(1)).withColumn("horizontal", F.lit(True))).first()
